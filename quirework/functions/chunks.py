@@ -67,13 +67,21 @@ def scan(
     key: list[str],
     order: list[Column],
     chunk: Column,
+    only_above: int | None = None,
     **wanted: Scan,
 ) -> DataFrame:
     """Add the running values ``wanted`` to ``df``.
 
     ``order`` must be ascending expressions that give a total order inside a key, and
-    ``chunk`` must not decrease along that order.
+    ``chunk`` must not decrease along that order. With ``only_above`` the keys are counted
+    first and only larger ones are cut; use it when the chunks are fine, as the small keys
+    then need no carry. It reads ``df`` once more, so ``df`` should be cheap.
     """
+    if only_above is not None:
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > only_above)
+        same = [F.col(f"d.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in key]
+        cut = df.alias("d").join(sizes.alias("s"), same, "left").select("d.*", F.col("s._rows").isNotNull().alias("_cut"))
+        return scan(cut, key, order, F.when(F.col("_cut"), chunk), **wanted).drop("_cut")
     part = [*key, CHUNK]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -138,12 +146,10 @@ def order_statistics(df: DataFrame, key: list[str], value: str, **ranks: Column)
     running count instead of one sorted list per key.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counted.groupBy(*key).agg(F.sum("_n").alias("n"))
-    ranked = scan(
-        counted, key, [F.col(value)], by_magnitude(F.col(value).cast("double")),
-        _first=sum_before(F.col("_n")),
-    )
-    picked = ranked.join(sizes, key) if key else ranked.crossJoin(sizes)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    sized = counted.join(sizes, key) if key else counted.crossJoin(sizes)
+    fine = F.when(F.col("n") > CHUNK_WIDTH, by_magnitude(F.col(value).cast("double")))
+    picked = scan(sized, key, [F.col(value)], fine, _first=sum_before(F.col("_n")))
     inside = {
         name: (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n"))
         for name, rank in ranks.items()

@@ -14,6 +14,8 @@ MARGIN_BYTES, MARGIN_SHARE = 512, 20_000
 WEIGHT_LOW, WEIGHT_HIGH = 0.5, 2.0
 # ------------------------------------------------------------------------------
 
+SMALL_DOCUMENT = 4096  # assets; the steps of a smaller document are ordered in one task
+
 ASSET = ["doc_id", "key"]
 
 
@@ -92,56 +94,43 @@ def budget_floor(variant: DataFrame, budget: DataFrame) -> DataFrame:
     )
 
 
-def _hull_steps(options: DataFrame) -> DataFrame:
-    """Upper concave hull of (dx, du) per asset as upgrade steps, at most one per level.
+def _hull_steps(packed: DataFrame) -> DataFrame:
+    """Upper concave hull of the gains ``p`` = (level, dx, du) per asset, as upgrade steps.
 
     A point is on the hull when the flattest slope reaching it from the left exceeds the
     steepest slope leaving it; that flattest slope is the utility per byte of its step.
+    ``p`` has at most one entry per ladder level, so this stays inside one row.
     """
-    points = options.groupBy(*ASSET, "asset_ord", "rest").agg(
-        F.collect_list(F.struct("level", "dx", "du")).alias("p")
-    )
 
     def slope(a: Column, b: Column) -> Column:
-        gap = F.nullif(b.getField("dx") - a.getField("dx"), F.lit(0).cast("long"))
-        return (b.getField("du") - a.getField("du")) / gap
+        return (b["du"] - a["du"]) / F.nullif(b["dx"] - a["dx"], F.lit(0).cast("long"))
 
     def entering(b: Column) -> Column:
-        left = F.filter("p", lambda a: a.getField("dx") < b.getField("dx"))
-        best = F.array_min(F.transform(left, lambda a: slope(a, b)))
-        own = F.when(
-            b.getField("dx") > 0, b.getField("du") / F.nullif(b.getField("dx"), F.lit(0).cast("long"))
-        ).otherwise(F.lit(float("inf")))
-        return F.least(best, own)
+        left = F.filter("p", lambda a: a["dx"] < b["dx"])
+        own = F.when(b["dx"] > 0, b["du"] / F.nullif(b["dx"], F.lit(0).cast("long"))).otherwise(F.lit(float("inf")))
+        return F.least(F.array_min(F.transform(left, lambda a: slope(a, b))), own)
 
     def leaving(a: Column) -> Column:
-        right = F.filter("p", lambda b: b.getField("dx") > a.getField("dx"))
+        right = F.filter("p", lambda b: b["dx"] > a["dx"])
         return F.greatest(F.lit(0.0), F.array_max(F.transform(right, lambda b: slope(a, b))))
 
     def beaten(i: Column) -> Column:
-        return F.exists("p", lambda j: (j.getField("dx") == i.getField("dx")) & (
-            (j.getField("du") > i.getField("du"))
-            | ((j.getField("du") == i.getField("du")) & (j.getField("level") < i.getField("level")))
+        return F.exists("p", lambda j: (j["dx"] == i["dx"]) & (
+            (j["du"] > i["du"]) | ((j["du"] == i["du"]) & (j["level"] < i["level"]))
         ))
 
     rated = F.transform("p", lambda i: F.struct(
-        i.getField("level").alias("level"), i.getField("dx").alias("dx"),
-        entering(i).alias("ratio"), leaving(i).alias("next_ratio"), beaten(i).alias("beaten"),
+        i["dx"].alias("dx"), i["level"].alias("level"), entering(i).alias("ratio"),
+        leaving(i).alias("next_ratio"), beaten(i).alias("beaten"),
     ))
-    hull = F.filter(
-        "rated", lambda i: ~i.getField("beaten") & (i.getField("ratio") > i.getField("next_ratio"))
-    )
-    steps = F.transform("hull", lambda i: F.struct(
-        i.getField("level").alias("level"),
-        (i.getField("dx") - F.coalesce(F.array_max(F.transform(
-            F.filter("hull", lambda j: j.getField("dx") < i.getField("dx")), lambda j: j.getField("dx")
-        )), F.lit(0).cast("long"))).alias("step_bytes"),
-        i.getField("ratio").alias("ratio"),
+    hull = F.array_sort(F.filter("rated", lambda i: ~i["beaten"] & (i["ratio"] > i["next_ratio"])))
+    steps = F.transform("hull", lambda h, n: F.struct(
+        h["level"].alias("level"), h["ratio"].alias("ratio"),
+        (h["dx"] - F.coalesce(F.get("hull", n - 1)["dx"], F.lit(0).cast("long"))).alias("step_bytes"),
     ))
-    return (
-        points.withColumn("rated", rated).withColumn("hull", hull)
-        .select(*ASSET, "asset_ord", "rest", F.explode(steps).alias("s"))
-        .select(*ASSET, "asset_ord", "rest", "s.*")
+    rows = packed.withColumn("rated", rated).withColumn("hull", hull)
+    return rows.select(*ASSET, "asset_ord", "rest", "assets", F.explode(steps).alias("s")).select(
+        *ASSET, "asset_ord", "rest", "assets", "s.*"
     )
 
 
@@ -150,9 +139,9 @@ def _take_steps(steps: DataFrame) -> DataFrame:
 
     The order is (magnitude bin, slab of 65 536 asset ordinals, ratio, ordinal, level). The
     bin keeps eight significant bits of the ratio, so documents of up to 65 536 assets get
-    the exact ratio order and larger ones treat ratios within 0.8 % as equal; bin and slab
-    together are the chunk, so neither a huge document nor many copies of one asset end up
-    in one task.
+    the exact ratio order and larger ones treat ratios within 0.8 % as equal. For documents
+    with many assets bin and slab are the chunk, so neither a huge document nor many copies
+    of one asset end up in one task.
     """
     fixed = F.floor(F.least(F.col("ratio") * F.lit(2.0**50), F.lit(9.0e18))).cast("long")
     rated = steps.withColumn("q", fixed).withColumn("bits", F.length(F.bin("q")))
@@ -160,11 +149,12 @@ def _take_steps(steps: DataFrame) -> DataFrame:
         "bin", F.col("bits") * 256 + F.expr("shiftright(q, greatest(bits - 8, 0))")
     ).withColumn("slab", chunks.by_width(F.col("asset_ord")))
     ordered = [-F.col("bin"), F.col("slab"), -F.col("q"), F.col("asset_ord"), F.col("key"), F.col("level")]
+    fine = F.struct((-F.col("bin")).alias("bin"), F.col("slab"))
     run = chunks.scan(
-        rated, ["doc_id"], ordered, F.struct((-F.col("bin")).alias("bin"), F.col("slab")),
+        rated, ["doc_id"], ordered, F.when(F.col("assets") > SMALL_DOCUMENT, fine),
         spent=chunks.sum_upto(F.col("step_bytes")),
     )
-    return run.where("spent <= rest").groupBy(*ASSET).agg(F.max("level").alias("level"))
+    return run.where("spent <= rest").groupBy(*ASSET).agg(F.max("level").alias("new_level"))
 
 
 def budget_upgrade(variant: DataFrame, floor: DataFrame, budget: DataFrame, rounds: int = 2) -> DataFrame:
@@ -173,56 +163,63 @@ def budget_upgrade(variant: DataFrame, floor: DataFrame, budget: DataFrame, roun
     Utility of a level is ``clamp(sqrt(weight / median), 0.5, 2) * sqrt(score - floor score)``.
     Never exceeds the budget and never goes below the floor. Each round drops what it can
     no longer pay, so a second round can use the remainder of the first.
+
+    An asset is packed into one row with its levels (as many as the ladder has), so a round
+    costs one aggregate per document and one pass over the steps.
     """
-    spark = variant.sparkSession
-    base = (
-        variant.join(floor, "doc_id").where("level = floor_level")
-        .select(*ASSET, "asset_ord", "visual_weight", F.col("level").alias("floor_level"),
-                F.col("payload_bytes").alias("floor_bytes"), F.col("score").alias("floor_score"))
-    )
-    share = F.sqrt(F.col("visual_weight") / F.col("median_weight"))
-    weighted = (
-        base.join(upper_median(base, "visual_weight"), "doc_id")
-        .withColumn("area_weight", scalars.clamp(share, WEIGHT_LOW, WEIGHT_HIGH))
-    )
-    options = (
-        variant.select(*ASSET, "level", "score", "payload_bytes")
-        .join(weighted.select(*ASSET, "asset_ord", "floor_level", "floor_bytes", "floor_score", "area_weight"), ASSET)
-        .where("level >= floor_level")
+    median = upper_median(variant.where("level = 0"), "visual_weight")
+    about = floor.join(median, "doc_id").join(budget.select("doc_id", "stream_budget"), "doc_id")
+    weight = scalars.clamp(F.sqrt(F.col("visual_weight") / F.col("median_weight")), WEIGHT_LOW, WEIGHT_HIGH)
+
+    def of_level(levels: Column, number: Column) -> Column:
+        return F.get(F.filter(levels, lambda v: v["level"] == number), F.lit(0))
+
+    packed = (
+        variant.groupBy(*ASSET)
+        .agg(
+            F.max("asset_ord").alias("asset_ord"), F.max("visual_weight").alias("visual_weight"),
+            F.collect_list(F.struct("level", "score", "payload_bytes")).alias("levels"),
+        )
+        .join(about, "doc_id")
+        .withColumn("area_weight", weight)
+        .withColumn("base", of_level(F.col("levels"), F.col("floor_level")))
         .select(
-            *ASSET, "asset_ord", "level", "payload_bytes",
-            F.greatest(F.lit(0).cast("long"), F.col("payload_bytes") - F.col("floor_bytes")).alias("added"),
-            (F.col("area_weight") * F.sqrt(F.greatest(F.lit(0), F.col("score") - F.col("floor_score")))).alias("utility"),
+            *ASSET, "asset_ord", "stream_budget", F.col("floor_level").alias("level"),
+            F.transform(
+                F.filter("levels", lambda v: v["level"] >= F.col("floor_level")),
+                lambda v: F.struct(
+                    v["level"].alias("level"), v["payload_bytes"].alias("payload_bytes"),
+                    F.greatest(F.lit(0).cast("long"), v["payload_bytes"] - F.col("base.payload_bytes")).alias("added"),
+                    (F.col("area_weight") * F.sqrt(F.greatest(F.lit(0), v["score"] - F.col("base.score")))).alias("utility"),
+                ),
+            ).alias("options"),
         )
+        .checkpoint()  # every round reads it several times
     )
-    current = base.select(*ASSET, F.col("floor_level").alias("level"))
+    state = packed
     for done in range(rounds):
-        held = options.join(current, [*ASSET, "level"])
-        left = (
-            held.groupBy("doc_id").agg(F.sum("payload_bytes").alias("used"))
-            .join(budget.select("doc_id", "stream_budget"), "doc_id")
-            .select("doc_id", F.greatest(F.lit(0).cast("long"), F.col("stream_budget") - F.col("used")).alias("rest"))
-        )
-        now = held.join(left, "doc_id").select(
-            *ASSET, F.col("added").alias("now_added"), F.col("utility").alias("now_utility"), "rest"
+        held = state.withColumn("now", of_level(F.col("options"), F.col("level")))
+        left = held.groupBy("doc_id").agg(
+            F.greatest(F.lit(0).cast("long"), F.max("stream_budget") - F.sum("now.payload_bytes")).alias("rest"),
+            F.count(F.lit(1)).alias("assets"),
         )
-        gains = (
-            options.join(now, ASSET)
-            .select(
-                *ASSET, "asset_ord", "level", "rest",
-                F.greatest(F.lit(0).cast("long"), F.col("added") - F.col("now_added")).alias("dx"),
-                (F.col("utility") - F.col("now_utility")).alias("du"),
-            )
-            .where("du > 0 AND dx <= rest AND rest > 0")
+        gains = F.filter(
+            F.transform("options", lambda v: F.struct(
+                v["level"].alias("level"),
+                F.greatest(F.lit(0).cast("long"), v["added"] - F.col("now.added")).alias("dx"),
+                (v["utility"] - F.col("now.utility")).alias("du"),
+            )),
+            lambda g: (g["du"] > 0) & (g["dx"] <= F.col("rest")),
         )
-        raised = _take_steps(_hull_steps(gains)).withColumnRenamed("level", "new_level")
-        current = (
-            current.join(raised, ASSET, "left")
-            .select(*ASSET, F.coalesce("new_level", "level").alias("level"))
+        offers = held.join(left.where("rest > 0"), "doc_id").withColumn("p", gains)
+        raised = _take_steps(_hull_steps(offers.select(*ASSET, "asset_ord", "rest", "assets", "p")))
+        state = (
+            state.join(raised, ASSET, "left")
+            .withColumn("level", F.coalesce("new_level", "level")).drop("new_level")
         )
         if done + 1 < rounds:
-            current = current.checkpoint()
-    return current
+            state = state.checkpoint()
+    return state.select(*ASSET, "level")
 
 
 def selection_totals(variant: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def catalog_order(assets: DataFrame) -> DataFrame:
         assets,
         ["doc_id"],
         [first_page, kind_rank(F.col("kind")), F.col("key")],
-        F.struct(first_page, kind_rank(F.col("kind"))),
+        F.struct(first_page.alias("page"), kind_rank(F.col("kind")).alias("kind"), F.substring("key", 1, 12).alias("head")),
+        only_above=chunks.CHUNK_WIDTH,
         catalog_pos=chunks.count(),
     )
 

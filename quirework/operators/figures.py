@@ -7,7 +7,7 @@ page plus a horizontal band of the page, so a box meets only the regions in its
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +69,7 @@ def caption_candidates(captions: DataFrame, boxes: DataFrame) -> DataFrame:
         .where("limit <= caption_top + 2")
         .withColumn("band", bands(F.col("limit"), F.col("caption_top") + TOP_SLACK))
     )
-    # The bottom of the clipped box decides the band; the page bottom is on the other side,
-    # so a box hanging over the page edge is offered in the band of the page bottom too.
+    # The bottom of the clipped box decides the band.
     page_end = captions.groupBy(*PAGE).agg(F.first("py1").alias("page_bottom"))
     offered = boxes.join(page_end, PAGE).withColumn(
         "band", band(F.least(F.col("y1"), F.col("page_bottom")))
@@ -171,26 +170,44 @@ def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> D
         )
     )
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf["w"].iloc[0]), int(pdf["h"].iloc[0])
-        edges = pdf[~pdf["is_box"]]
+    def label(group: tuple, table: pa.Table) -> pa.Table:
+        col = {name: table[name].to_numpy() for name in table.column_names if name not in key}
+        w, h, is_box = int(col["w"][0]), int(col["h"][0]), col["is_box"].astype(bool)
         grid = np.zeros((h + 1, w + 1), dtype=np.int64)
-        np.add.at(grid, (edges["y"].clip(upper=h), edges["x"].clip(upper=w)), edges["step"].to_numpy())
+        np.add.at(grid, (np.minimum(col["y"][~is_box], h), np.minimum(col["x"][~is_box], w)), col["step"][~is_box])
         regions = _connected(grid.cumsum(axis=0).cumsum(axis=1)[:h, :w] > 0)
-        boxes = pdf[pdf["is_box"]].copy()
-        boxes["region"] = regions[boxes["y"], boxes["x"]]
-        boxes = boxes[boxes["region"] > 0].sort_values(["src", "box_no"])
-        out = boxes.groupby("region", sort=False).agg(
-            {**{k: "first" for k in key}, "x0": "min", "y0": "min", "x1": "max", "y1": "max"}
-        )
-        out["component_no"] = np.arange(1, len(out) + 1)
-        return out[[*key, "component_no", *rects.SIDES]]
-
-    kinds = dict(candidates.dtypes)
+        # Boxes in the order they were first seen; components are numbered by their first box.
+        order = np.lexsort((col["box_no"][is_box], col["src"][is_box]))
+        region = regions[col["y"][is_box][order], col["x"][is_box][order]]
+        sides = [col[s][is_box][order][region > 0] for s in rects.SIDES]
+        found, first, member = np.unique(region[region > 0], return_index=True, return_inverse=True)
+        rank = np.argsort(np.argsort(first))
+        box = np.stack([np.full(len(found), np.inf)] * 2 + [np.full(len(found), -np.inf)] * 2)
+        for i, side in enumerate(sides):
+            (np.minimum if i < 2 else np.maximum).at(box[i], rank[member], side)
+        return _rows(key, group, kinds, len(found), component_no=np.arange(1, len(found) + 1, dtype=np.int32),
+                     **dict(zip(rects.SIDES, box)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema if f.name in key}
     schema = ", ".join(
         [f"{k} {kinds[k]}" for k in key] + ["component_no int"] + [f"{s} double" for s in rects.SIDES]
     )
-    return cells.groupBy(*key).applyInPandas(label, schema)
+    return _spread(cells, key).groupBy(*key).applyInArrow(label, schema)
+
+
+def _spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """Fix the number of partitions: the Python work per byte is too high to let small
+    partitions be merged. The grouping that follows reuses this shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def _rows(key: list[str], group: tuple, kinds: dict[str, str], n: int, **cols) -> pa.Table:
+    """A result table that repeats the group key over ``n`` rows."""
+    heads = {k: pa.array([v.as_py()] * n, ARROW_TYPES[kinds[k]]) for k, v in zip(key, group)}
+    return pa.table({**heads, **{name: pa.array(values) for name, values in cols.items()}})
 
 
 def meaningful(components: DataFrame) -> DataFrame:
@@ -215,8 +232,9 @@ def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
     group per caption is bounded by the page size.
     """
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf.sort_values("component_no")[list(rects.SIDES)].to_numpy()
+    def grow(group: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table["component_no"].to_numpy(), kind="stable")
+        parts = np.stack([table[s].to_numpy()[order] for s in rects.SIDES], axis=1)
         sizes = (parts[:, 2] - parts[:, 0]) * (parts[:, 3] - parts[:, 1])
         start = max(range(len(parts)), key=lambda i: (parts[i, 3], sizes[i]))
         box = parts[start].copy()
@@ -235,14 +253,11 @@ def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
                 else:
                     left.append(p)
             joined, waiting = len(left) < len(waiting), left
-        row = pdf.iloc[[0]][CAPTION_KEY].copy()
-        for side, value in zip(rects.SIDES, box):
-            row[side] = value
-        return row
+        return _rows(CAPTION_KEY, group, kinds, 1, **{s: np.array([v]) for s, v in zip(rects.SIDES, box)})
 
-    kinds = dict(components.dtypes)
+    kinds = {f.name: f.dataType.simpleString() for f in components.schema if f.name in CAPTION_KEY}
     schema = ", ".join([f"{k} {kinds[k]}" for k in CAPTION_KEY] + [f"{s} double" for s in rects.SIDES])
-    grown = meaningful(components).groupBy(*CAPTION_KEY).applyInPandas(grow, schema)
+    grown = _spread(meaningful(components), CAPTION_KEY).groupBy(*CAPTION_KEY).applyInArrow(grow, schema)
     about = captions.select(
         *CAPTION_KEY, "label", F.col("y0").alias("caption_top"), *(F.col("p" + s) for s in rects.SIDES)
     )

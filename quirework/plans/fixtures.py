@@ -101,7 +101,7 @@ PROJECTIONS = {
         SELECT doc_id, xref, CAST(max(page_no * 100 + 5000) AS BIGINT) AS bytes FROM {page_stream} GROUP BY doc_id, xref""",
     "page_region": f"""
         SELECT doc_id, page_no, region_no, kind, x0, y0, x0 + w * 3 AS x1, y0 + w * 4 AS y1 FROM (
-          SELECT l_suppkey AS doc_id, {PAGE_OF} AS page_no, {BOX_NO} * 8 + l_partkey % 8 AS region_no, {KIND} AS kind,
+          SELECT l_suppkey AS doc_id, {PAGE_OF} AS page_no, ({BOX_NO}) * 1000003 + l_partkey AS region_no, {KIND} AS kind,
                  CAST((l_partkey * 3) % 450 AS DOUBLE) AS x0,
                  CAST((l_orderkey * 5 + l_linenumber * 41) % 580 AS DOUBLE) AS y0, l_quantity AS w
           FROM {{lineitem}}) AS t""",

@@ -37,13 +37,14 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", names: lis
     return {name: load_table(spark, path, name, fmt) for name in names or schemas.TABLES}
 
 
-def load_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REPORT).json(path, multiLine=True)
+def load_reports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Whole-file reports, or one report per line with ``multi_line=False``."""
+    return spark.read.schema(schemas.REPORT).json(path, multiLine=multi_line)
 
 
-def load_runs(spark: SparkSession, path: str) -> DataFrame:
+def load_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A3: one row per benchmark run; ``run_no`` is its place in the report."""
-    return load_reports(spark, path).select(F.posexplode("runs").alias("run_no", "r")).select(
+    return load_reports(spark, path, multi_line).select(F.posexplode("runs").alias("run_no", "r")).select(
         F.col("r.case").alias("case_name"), "r.label", "run_no", "r.seconds", "r.pages", "r.bytes",
         F.col("r.target").alias("target_bytes"), "r.native", "r.link_count", "r.text_preserved", "r.render_hashes",
     )
