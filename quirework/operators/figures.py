@@ -28,6 +28,9 @@ MIN_WIDTH, MIN_HEIGHT = 18.0, 10.0
 PAGE = ["doc_id", "page_no"]
 CAPTION_KEY = ["doc_id", "page_no", "caption_no"]
 BAND = 72.0
+FAR = 20_000.0  # beyond the largest page a document can have
+SALTS = 8
+IMAGE_SEQ = 2**62  # images come after drawings in the order boxes are seen
 
 
 def band(y: Column) -> Column:
@@ -57,6 +60,10 @@ def caption_candidates(captions: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     limit = F.col("lower_limit") + LIMIT_STEP
     middle = (F.col("px0") + F.col("px1")) / 2
+    # A box hanging over the page bottom is clipped there, so only a caption at the very
+    # bottom can take it; such a caption looks into all bands below.
+    reach_down = F.col("caption_top") + TOP_SLACK
+    deepest = F.when(reach_down >= F.col("py1"), F.greatest(reach_down, F.lit(FAR))).otherwise(reach_down)
     wanted = (
         captions.select(
             *CAPTION_KEY,
@@ -67,13 +74,9 @@ def caption_candidates(captions: DataFrame, boxes: DataFrame) -> DataFrame:
             F.when(F.col("lane") == "left", middle + LANE_REACH).otherwise(F.col("px1")).alias("lane_x1"),
         )
         .where("limit <= caption_top + 2")
-        .withColumn("band", bands(F.col("limit"), F.col("caption_top") + TOP_SLACK))
-    )
-    # The bottom of the clipped box decides the band.
-    page_end = captions.groupBy(*PAGE).agg(F.first("py1").alias("page_bottom"))
-    offered = boxes.join(page_end, PAGE).withColumn(
-        "band", band(F.least(F.col("y1"), F.col("page_bottom")))
+        .withColumn("band", bands(F.col("limit"), deepest))
     )
+    offered = boxes.withColumn("band", band(scalars.clamp(F.col("y1"), -FAR, FAR)))
     clipped = rects.rect_intersection(rects.rect_of(), rects.rect_of("p"))
     reach = F.greatest(
         F.lit(0.0),
@@ -100,8 +103,8 @@ def _connected(mask: np.ndarray) -> np.ndarray:
     begins[:, 1:] &= ~mask[:, :-1]
     runs = np.where(mask, np.cumsum(begins.ravel()).reshape(mask.shape), 0)
     touching = mask[:-1] & mask[1:]
-    pairs = np.unique(np.stack([runs[:-1][touching], runs[1:][touching]]), axis=1)
     root = np.arange(int(runs.max(initial=0)) + 1)
+    pairs = np.stack(np.divmod(np.unique(runs[:-1][touching] * len(root) + runs[1:][touching]), len(root)))
     while pairs.size:
         ends = root[pairs]
         low, high = ends.min(axis=0), ends.max(axis=0)
@@ -138,8 +141,11 @@ def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> D
         at = F.floor(F.floor((F.col(low) + F.col(high)) / 2 - F.col(origin)) / 4).cast("int")
         return F.least(F.col(size) - 1, F.greatest(F.lit(0), at))
 
-    placed = candidates.join(extent, key).select(
-        *key, "w", "h", *rects.SIDES, F.struct("src", "box_no").alias("seen"),
+    # The extent is needed by every box: salting spreads the boxes of a crowded page, and as
+    # the join key is not the grouping key, cells are summed before they are shuffled.
+    salted = extent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = candidates.withColumn("salt", F.pmod(F.hash("box_no"), F.lit(SALTS))).join(salted, [*key, "salt"]).select(
+        *key, "w", "h", *rects.SIDES, (F.col("src") * F.lit(IMAGE_SEQ) + F.col("box_no")).alias("seen"),
         cell(F.col("x0") - GROW, "left").alias("a"), cell(F.col("y0") - GROW, "top").alias("b"),
         (cell(F.col("x1") + GROW, "left") + 1).alias("c"), (cell(F.col("y1") + GROW, "top") + 1).alias("d"),
         centre("x0", "x1", "left", "w").alias("mx"), centre("y0", "y1", "top", "h").alias("my"),
@@ -164,10 +170,6 @@ def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> D
             F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         )
         .where("is_box OR step <> 0")
-        .select(
-            *key, "w", "h", "is_box", "x", "y", "step", F.col("seen.src").alias("src"),
-            F.col("seen.box_no").alias("box_no"), *rects.SIDES,
-        )
     )
 
     def label(group: tuple, table: pa.Table) -> pa.Table:
@@ -177,7 +179,7 @@ def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> D
         np.add.at(grid, (np.minimum(col["y"][~is_box], h), np.minimum(col["x"][~is_box], w)), col["step"][~is_box])
         regions = _connected(grid.cumsum(axis=0).cumsum(axis=1)[:h, :w] > 0)
         # Boxes in the order they were first seen; components are numbered by their first box.
-        order = np.lexsort((col["box_no"][is_box], col["src"][is_box]))
+        order = np.argsort(col["seen"][is_box], kind="stable")
         region = regions[col["y"][is_box][order], col["x"][is_box][order]]
         sides = [col[s][is_box][order][region > 0] for s in rects.SIDES]
         found, first, member = np.unique(region[region > 0], return_index=True, return_inverse=True)

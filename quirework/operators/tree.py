@@ -195,10 +195,10 @@ def move_subtrees(
     The index is clamped and counts only the siblings that stay; children of the target
     are renumbered from 0.
     """
-    chains = ancestor_chains(plan_node, max_depth)
-    chosen = _chosen(plan_node, selection)
+    chains = ancestor_chains(plan_node, max_depth).checkpoint()
+    chosen = _chosen(plan_node, selection).checkpoint()
     picked = chains.where("rooted").join(chosen, NODE, "left_semi")
-    top = picked.join(_covered(picked, chosen, with_self=False), NODE, "left_anti")
+    top = picked.join(_covered(picked, chosen, with_self=False), NODE, "left_anti").checkpoint()
     ordered_top = _with_preorder(chains, F.lit(1), top, "_pre").select(*NODE, "_pre")
 
     target = moves.select("plan_id", F.col("parent_uid").alias("_target"), F.col("index").alias("_index"))
@@ -223,6 +223,7 @@ def move_subtrees(
         .withColumn("reason", F.coalesce("reason", F.lit("")))
         .withColumn("_moves", F.col("_pre").isNotNull() & (F.col("reason") == "") & F.col("_target").isNotNull())
         .withColumn("_child", (F.col("parent_uid") == F.col("_target")) & (F.col("reason") == ""))
+        .checkpoint()  # read four times below
     )
     # Current place of the target's children, counting all of them and the staying ones.
     children = chunks.scan(

@@ -1,4 +1,10 @@
 """All registered queries."""
 
-from quirework.plans import queries_budget, queries_figures, queries_scalar  # noqa: F401
+from quirework.plans import (  # noqa: F401
+    queries_audit,
+    queries_budget,
+    queries_compose,
+    queries_figures,
+    queries_scalar,
+)
 from quirework.plans.registry import ORACLES, QUERIES  # noqa: F401
