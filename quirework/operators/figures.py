@@ -143,7 +143,7 @@ def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> D
 
     # The extent is needed by every box: salting spreads the boxes of a crowded page, and as
     # the join key is not the grouping key, cells are summed before they are shuffled.
-    salted = extent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = _spread(extent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "salt"])
     placed = candidates.withColumn("salt", F.pmod(F.hash("box_no"), F.lit(SALTS))).join(salted, [*key, "salt"]).select(
         *key, "w", "h", *rects.SIDES, (F.col("src") * F.lit(IMAGE_SEQ) + F.col("box_no")).alias("seen"),
         cell(F.col("x0") - GROW, "left").alias("a"), cell(F.col("y0") - GROW, "top").alias("b"),
