@@ -280,5 +280,5 @@ def _(t: Tables):
     SELECT job_id, epoch_us(min(ts)) AS first_tick, count(*) AS ticks FROM s GROUP BY job_id, n""", ("job_event",))
 def _(t: Tables):
     # Without a later event the last sessions stay open, so the check uses complete mode.
-    sessions = _run(t, "heartbeat", jobs.heartbeat_stream(_event_stream(t), "6 hours", "1 hour"), "complete")
+    sessions = _run(t, "heartbeat", jobs.heartbeat_stream(_event_stream(t), 6 * 3_600_000, "1 hour"), "complete")
     return sessions.select("job_id", F.unix_micros("first_tick").alias("first_tick"), "ticks")

@@ -16,7 +16,7 @@ def describe(size: Column, digest: Column | None = None) -> list[Column]:
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*.pdf", with_hash: bool = False) -> DataFrame:
-    """A1: one row per file below ``path``; the content is read only for the digest."""
+    """A1: one row per non-empty file below ``path``; the content is read only for the digest."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     )

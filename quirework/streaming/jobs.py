@@ -19,18 +19,15 @@ def preflight_stream(spark: SparkSession, path: str, glob: str = "*.pdf", max_fi
     """Files that were not seen before, with the rules that need no content.
 
     The checkpoint of the query remembers the paths; a modified file is for the batch
-    form (``preflight`` plus ``snapshot_diff``). The content is never read.
+    form (``preflight`` plus ``snapshot_diff``). The content is never read. The file source
+    leaves out empty files; ``snapshot_diff`` reports them as missing.
     """
     files = (
         spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", max_files)
         .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY").load(path)
     )
-    reason = (
-        F.when(F.col("length") > F.lit(MAX_INPUT_BYTES), "too_large")
-        .when(F.col("length") == 0, "empty")
-        .otherwise("")
-    )
+    reason = F.when(F.col("length") > F.lit(MAX_INPUT_BYTES), "too_large").otherwise("")
     return files.select(
         "path", F.col("length").alias("size_bytes"),
         (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), reason.alias("reason"),
@@ -117,9 +114,11 @@ def terminal_state_stream(job_event: DataFrame, watermark: str = "10 minutes", t
     )
 
 
-def heartbeat_stream(ticks: DataFrame, gap: str = "250 milliseconds", watermark: str = "10 seconds") -> DataFrame:
-    """Sessions of ticks no further apart than ``gap``; each one after the first of a key
-    is a stall of at least that long. A tick exactly ``gap`` later starts a new session."""
+def heartbeat_stream(ticks: DataFrame, gap_ms: int = timeline.RESPONSIVE_MS, watermark: str = "10 seconds") -> DataFrame:
+    """Sessions of ticks less than ``gap_ms`` apart; each one after the first of a key is a
+    stall of at least that long. Session windows that touch are merged, so the window is one
+    microsecond shorter and a tick exactly ``gap_ms`` later starts a new session."""
+    gap = f"{gap_ms * 1000 - 1} microseconds"
     return (
         ticks.withWatermark("ts", watermark)
         .groupBy("job_id", F.session_window("ts", gap).alias("s"))
