@@ -49,6 +49,15 @@ def last_before(expr: Column) -> Scan:
     return Scan("last_before", expr)
 
 
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """Shuffle by ``key`` into the session's number of shuffle partitions, kept as they are.
+
+    For work that is heavy per byte: adaptive execution would merge small partitions, but
+    leaves an explicit number alone. A following grouping by ``key`` reuses the shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def by_width(c: Column, width: int = CHUNK_WIDTH) -> Column:
     """Chunk number of an integer ordinal."""
     return F.floor(c / F.lit(width)).cast("long")

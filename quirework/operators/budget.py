@@ -175,7 +175,7 @@ def budget_upgrade(variant: DataFrame, floor: DataFrame, budget: DataFrame, roun
         return F.get(F.filter(levels, lambda v: v["level"] == number), F.lit(0))
 
     packed = (
-        variant.groupBy(*ASSET)
+        chunks.spread(variant, ASSET).groupBy(*ASSET)
         .agg(
             F.max("asset_ord").alias("asset_ord"), F.max("visual_weight").alias("visual_weight"),
             F.collect_list(F.struct("level", "score", "payload_bytes")).alias("levels"),

@@ -6,12 +6,14 @@ page plus a horizontal band of the page, so a box meets only the regions in its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions import rects, scalars
+from quirework.functions import chunks, rects, scalars
 
 # Detection tolerances in points ---------------------------------
 CELL = 4.0
@@ -30,6 +32,7 @@ CAPTION_KEY = ["doc_id", "page_no", "caption_no"]
 BAND = 72.0
 FAR = 20_000.0  # beyond the largest page a document can have
 SALTS = 8
+STACK_CELLS = 2_000_000  # grid cells labelled at once in a Python worker
 IMAGE_SEQ = 2**62  # images come after drawings in the order boxes are seen
 
 
@@ -98,13 +101,14 @@ def caption_candidates(captions: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def _connected(mask: np.ndarray) -> np.ndarray:
-    """Label the 4-connected regions of a boolean grid; 0 is background."""
+    """Label the 4-connected regions of a stack of boolean grids; 0 is background."""
     begins = mask.copy()
-    begins[:, 1:] &= ~mask[:, :-1]
-    runs = np.where(mask, np.cumsum(begins.ravel()).reshape(mask.shape), 0)
-    touching = mask[:-1] & mask[1:]
+    begins[:, :, 1:] &= ~mask[:, :, :-1]
+    runs = np.where(mask, np.cumsum(begins.ravel(), dtype=np.int32).reshape(mask.shape), 0)
+    touching = mask[:, :-1] & mask[:, 1:]
     root = np.arange(int(runs.max(initial=0)) + 1)
-    pairs = np.stack(np.divmod(np.unique(runs[:-1][touching] * len(root) + runs[1:][touching]), len(root)))
+    codes = runs[:, :-1][touching].astype(np.int64) * len(root) + runs[:, 1:][touching]
+    pairs = np.stack(np.divmod(np.unique(codes), len(root)))
     while pairs.size:
         ends = root[pairs]
         low, high = ends.min(axis=0), ends.max(axis=0)
@@ -116,6 +120,39 @@ def _connected(mask: np.ndarray) -> np.ndarray:
     return root[runs]
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Regroup sorted Arrow batches so that no group is cut; yields rows and group numbers.
+
+    Only the last group of a batch is held back, so memory stays at a batch plus a group.
+    """
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if rows.num_rows == 0:
+            continue
+        number = _group_numbers(rows, key)
+        cut = int(np.searchsorted(number, number[-1]))
+        held = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut), number[:cut]
+    if held is not None and held.num_rows:
+        yield held, np.zeros(held.num_rows, dtype=np.int64)
+
+
+def _group_numbers(rows: pa.Table, key: list[str]) -> np.ndarray:
+    new = np.zeros(rows.num_rows, dtype=bool)
+    for name in key:
+        values = rows[name].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.cumsum(new)
+
+
+def _by_group(df: DataFrame, key: list[str]) -> DataFrame:
+    """Whole groups per partition, in key order."""
+    return chunks.spread(df, key).sortWithinPartitions(*key)
+
+
 def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> DataFrame:
     """Union boxes of graphics that touch on a coarse grid.
 
@@ -143,7 +180,7 @@ def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> D
 
     # The extent is needed by every box: salting spreads the boxes of a crowded page, and as
     # the join key is not the grouping key, cells are summed before they are shuffled.
-    salted = _spread(extent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "salt"])
+    salted = chunks.spread(extent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "salt"])
     placed = candidates.withColumn("salt", F.pmod(F.hash("box_no"), F.lit(SALTS))).join(salted, [*key, "salt"]).select(
         *key, "w", "h", *rects.SIDES, (F.col("src") * F.lit(IMAGE_SEQ) + F.col("box_no")).alias("seen"),
         cell(F.col("x0") - GROW, "left").alias("a"), cell(F.col("y0") - GROW, "top").alias("b"),
@@ -172,44 +209,61 @@ def graphic_components(candidates: DataFrame, key: list[str] = CAPTION_KEY) -> D
         .where("is_box OR step <> 0")
     )
 
-    def label(group: tuple, table: pa.Table) -> pa.Table:
-        col = {name: table[name].to_numpy() for name in table.column_names if name not in key}
-        w, h, is_box = int(col["w"][0]), int(col["h"][0]), col["is_box"].astype(bool)
-        grid = np.zeros((h + 1, w + 1), dtype=np.int64)
-        np.add.at(grid, (np.minimum(col["y"][~is_box], h), np.minimum(col["x"][~is_box], w)), col["step"][~is_box])
-        regions = _connected(grid.cumsum(axis=0).cumsum(axis=1)[:h, :w] > 0)
-        # Boxes in the order they were first seen; components are numbered by their first box.
-        order = np.argsort(col["seen"][is_box], kind="stable")
-        region = regions[col["y"][is_box][order], col["x"][is_box][order]]
-        sides = [col[s][is_box][order][region > 0] for s in rects.SIDES]
-        found, first, member = np.unique(region[region > 0], return_index=True, return_inverse=True)
-        rank = np.argsort(np.argsort(first))
-        box = np.stack([np.full(len(found), np.inf)] * 2 + [np.full(len(found), -np.inf)] * 2)
-        for i, side in enumerate(sides):
-            (np.minimum if i < 2 else np.maximum).at(box[i], rank[member], side)
-        return _rows(key, group, kinds, len(found), component_no=np.arange(1, len(found) + 1, dtype=np.int32),
-                     **dict(zip(rects.SIDES, box)))
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number in _whole_groups(batches, key):
+            bounds = _stacks(np.flatnonzero(np.diff(number, prepend=-1)), rows)
+            for low, high in zip(bounds, bounds[1:]):
+                yield from _label_stack(rows.slice(low, high - low), number[low:high] - number[low], key).to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema if f.name in key}
     schema = ", ".join(
         [f"{k} {kinds[k]}" for k in key] + ["component_no int"] + [f"{s} double" for s in rects.SIDES]
     )
-    return _spread(cells, key).groupBy(*key).applyInArrow(label, schema)
-
-
-def _spread(df: DataFrame, key: list[str]) -> DataFrame:
-    """Fix the number of partitions: the Python work per byte is too high to let small
-    partitions be merged. The grouping that follows reuses this shuffle."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
-
-
-ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-
-
-def _rows(key: list[str], group: tuple, kinds: dict[str, str], n: int, **cols) -> pa.Table:
-    """A result table that repeats the group key over ``n`` rows."""
-    heads = {k: pa.array([v.as_py()] * n, ARROW_TYPES[kinds[k]]) for k, v in zip(key, group)}
-    return pa.table({**heads, **{name: pa.array(values) for name, values in cols.items()}})
+    return _by_group(cells, key).mapInArrow(label, schema)
+
+
+def _stacks(heads: np.ndarray, rows: pa.Table) -> list[int]:
+    """Row bounds of runs of groups whose grids, padded to the largest of them, stay small."""
+    bounds, n, tall, wide = [0], 0, 0, 0
+    sizes = zip(heads.tolist(), rows["h"].to_numpy()[heads].tolist(), rows["w"].to_numpy()[heads].tolist())
+    for head, h, w in sizes:
+        taller, wider = max(tall, h + 1), max(wide, w + 1)
+        if n and (n + 1) * taller * wider > STACK_CELLS:
+            bounds.append(head)
+            n, taller, wider = 0, h + 1, w + 1
+        n, tall, wide = n + 1, taller, wider
+    return [*bounds, rows.num_rows]
+
+
+def _label_stack(rows: pa.Table, number: np.ndarray, key: list[str]) -> pa.Table:
+    """Components of several groups, one grid per group."""
+    col = {name: rows[name].to_numpy() for name in rows.column_names if name not in key}
+    is_box = col["is_box"].astype(bool)
+    shape = (int(number[-1]) + 1, int(col["h"].max()) + 1, int(col["w"].max()) + 1)
+    grid = np.zeros(shape, dtype=np.int32)
+    np.add.at(grid, (number[~is_box], col["y"][~is_box], col["x"][~is_box]), col["step"][~is_box].astype(np.int32))
+    regions = _connected(grid.cumsum(axis=1, dtype=np.int32).cumsum(axis=2, dtype=np.int32) > 0)
+    region = regions[number[is_box], col["y"][is_box], col["x"][is_box]]
+    # Boxes in the order they were first seen; components are numbered by their first box.
+    at = np.flatnonzero(is_box)[region > 0]
+    order = np.lexsort((col["seen"][at], number[at]))
+    at, region = at[order], region[region > 0][order]
+    _, first, member = np.unique(region, return_index=True, return_inverse=True)
+    sorting = np.argsort(first)
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[sorting] = np.arange(len(first))
+    origin = at[first[sorting]]
+    sides = {}
+    for name in rects.SIDES:
+        lowest = name in ("x0", "y0")
+        sides[name] = np.full(len(first), np.inf if lowest else -np.inf)
+        (np.minimum if lowest else np.maximum).at(sides[name], rank[member], col[name][at])
+    group = number[origin]
+    within = np.arange(len(group)) - np.searchsorted(group, group) + 1
+    return pa.table({
+        **{k: rows[k].take(pa.array(origin)) for k in key},
+        "component_no": pa.array(within.astype(np.int32)), **{n: pa.array(v) for n, v in sides.items()},
+    })
 
 
 def meaningful(components: DataFrame) -> DataFrame:
@@ -227,6 +281,26 @@ def nearest_component(components: DataFrame, key: list[str] = CAPTION_KEY) -> Da
     return best.select(*key, "best.*")
 
 
+def _grow(parts: list[list[float]]) -> list[float]:
+    """The lowest part (then the largest) grown over every part beside it or stacked on it."""
+    box = list(max(parts, key=lambda p: (p[3], (p[2] - p[0]) * (p[3] - p[1]))))
+    waiting = [p for p in parts if p != box]
+    joined = True
+    while joined and waiting:
+        left = []
+        for p in waiting:
+            common = [min(box[i + 2], p[i + 2]) - max(box[i], p[i]) for i in (0, 1)]
+            shorter = [max(1.0, min(box[i + 2] - box[i], p[i + 2] - p[i])) for i in (0, 1)]
+            beside = common[1] / shorter[1] >= PANEL_SHARE and -common[0] <= SIDE_GAP
+            stacked = common[0] / shorter[0] >= PANEL_SHARE and -common[1] <= STACK_GAP
+            if beside or stacked:
+                box = [min(box[0], p[0]), min(box[1], p[1]), max(box[2], p[2]), max(box[3], p[3])]
+            else:
+                left.append(p)
+        joined, waiting = len(left) < len(waiting), left
+    return box
+
+
 def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
     """Grow the nearest component over its neighbouring panels, then pad and clamp.
 
@@ -234,32 +308,21 @@ def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
     group per caption is bounded by the page size.
     """
 
-    def grow(group: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table["component_no"].to_numpy(), kind="stable")
-        parts = np.stack([table[s].to_numpy()[order] for s in rects.SIDES], axis=1)
-        sizes = (parts[:, 2] - parts[:, 0]) * (parts[:, 3] - parts[:, 1])
-        start = max(range(len(parts)), key=lambda i: (parts[i, 3], sizes[i]))
-        box = parts[start].copy()
-        waiting = [p for p in parts if not np.array_equal(p, parts[start])]
-        joined = True
-        while joined and waiting:
-            left = []
-            for p in waiting:
-                common = np.minimum(box[2:], p[2:]) - np.maximum(box[:2], p[:2])
-                shorter = np.maximum(1.0, np.minimum(box[2:] - box[:2], p[2:] - p[:2]))
-                share, gap = np.maximum(0.0, common) / shorter, np.maximum(0.0, -common)
-                beside = share[1] >= PANEL_SHARE and gap[0] <= SIDE_GAP
-                stacked = share[0] >= PANEL_SHARE and gap[1] <= STACK_GAP
-                if beside or stacked:
-                    box = np.concatenate([np.minimum(box[:2], p[:2]), np.maximum(box[2:], p[2:])])
-                else:
-                    left.append(p)
-            joined, waiting = len(left) < len(waiting), left
-        return _rows(CAPTION_KEY, group, kinds, 1, **{s: np.array([v]) for s, v in zip(rects.SIDES, box)})
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number in _whole_groups(batches, CAPTION_KEY):
+            order = np.lexsort((rows["component_no"].to_numpy(), number))
+            parts = np.stack([rows[s].to_numpy()[order] for s in rects.SIDES], axis=1).tolist()
+            heads = np.flatnonzero(np.diff(number, prepend=-1))
+            bounds = [*heads.tolist(), rows.num_rows]
+            grown = [_grow(parts[low:high]) for low, high in zip(bounds, bounds[1:])]
+            yield from pa.table({
+                **{k: rows[k].take(pa.array(heads)) for k in CAPTION_KEY},
+                **{s: pa.array([g[i] for g in grown], pa.float64()) for i, s in enumerate(rects.SIDES)},
+            }).to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in components.schema if f.name in CAPTION_KEY}
     schema = ", ".join([f"{k} {kinds[k]}" for k in CAPTION_KEY] + [f"{s} double" for s in rects.SIDES])
-    grown = _spread(meaningful(components), CAPTION_KEY).groupBy(*CAPTION_KEY).applyInArrow(grow, schema)
+    grown = _by_group(meaningful(components), CAPTION_KEY).mapInArrow(grow, schema)
     about = captions.select(
         *CAPTION_KEY, "label", F.col("y0").alias("caption_top"), *(F.col("p" + s) for s in rects.SIDES)
     )
