@@ -27,6 +27,7 @@ PADDING = 3.0
 MIN_WIDTH, MIN_HEIGHT = 18.0, 10.0
 # ------------------------------------------------------------------------------
 
+SIDES = rects.SIDES
 PAGE = ["doc_id", "page_no"]
 CAPTION_KEY = ["doc_id", "page_no", "caption_no"]
 BAND = 72.0
@@ -254,7 +255,7 @@ def _label_stack(rows: pa.Table, number: np.ndarray, key: list[str]) -> pa.Table
     rank[sorting] = np.arange(len(first))
     origin = at[first[sorting]]
     sides = {}
-    for name in rects.SIDES:
+    for name in SIDES:
         lowest = name in ("x0", "y0")
         sides[name] = np.full(len(first), np.inf if lowest else -np.inf)
         (np.minimum if lowest else np.maximum).at(sides[name], rank[member], col[name][at])
@@ -311,13 +312,13 @@ def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, number in _whole_groups(batches, CAPTION_KEY):
             order = np.lexsort((rows["component_no"].to_numpy(), number))
-            parts = np.stack([rows[s].to_numpy()[order] for s in rects.SIDES], axis=1).tolist()
+            parts = np.stack([rows[s].to_numpy()[order] for s in SIDES], axis=1).tolist()
             heads = np.flatnonzero(np.diff(number, prepend=-1))
             bounds = [*heads.tolist(), rows.num_rows]
             grown = [_grow(parts[low:high]) for low, high in zip(bounds, bounds[1:])]
             yield from pa.table({
                 **{k: rows[k].take(pa.array(heads)) for k in CAPTION_KEY},
-                **{s: pa.array([g[i] for g in grown], pa.float64()) for i, s in enumerate(rects.SIDES)},
+                **{s: pa.array([g[i] for g in grown], pa.float64()) for i, s in enumerate(SIDES)},
             }).to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in components.schema if f.name in CAPTION_KEY}
@@ -338,17 +339,24 @@ def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
 def boxes_inside(boxes: DataFrame, regions: DataFrame, on: list[str] = PAGE) -> DataFrame:
     """Pairs of a box and a region of its page that holds the centre of the box.
 
-    Region columns keep their names; the sides of the region come out as rx0..ry1.
+    A region is offered in every tile of the page it touches, a box in the tile of its
+    centre, so even on a crowded page a box meets only regions near it. Region columns keep
+    their names; the sides of the region come out as rx0..ry1.
     """
     own = [c for c in regions.columns if c not in on and c not in rects.SIDES]
-    wanted = regions.select(
-        *on, *own, *(F.col(s).alias("r" + s) for s in rects.SIDES)
-    ).withColumn("band", bands(F.col("ry0"), F.greatest(F.col("ry0"), F.col("ry1"))))
-    offered = boxes.withColumn("band", band(rects.center_y(rects.rect_of())))
+    wanted = (
+        regions.where("x1 > x0 AND y1 > y0")
+        .select(*on, *own, *(F.col(s).alias("r" + s) for s in rects.SIDES))
+        .withColumn("band", bands(F.col("ry0"), F.col("ry1")))
+        .withColumn("strip", bands(F.col("rx0"), F.col("rx1")))
+    )
+    offered = boxes.withColumn("band", band(rects.center_y(rects.rect_of()))).withColumn(
+        "strip", band(rects.center_x(rects.rect_of()))
+    )
     return (
-        offered.join(wanted, [*on, "band"])
+        offered.join(wanted, [*on, "band", "strip"])
         .where(rects.center_inside(rects.rect_of(), rects.rect_of("r")))
-        .drop("band")
+        .drop("band", "strip")
     )
 
 

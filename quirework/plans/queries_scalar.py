@@ -54,7 +54,7 @@ def _(t: Tables):
 @query("a4_write_manifest", f"""
     SELECT doc_id, count(*) AS item_count, count(*) FILTER (kind = 'figure') AS figure_count,
            count(*) FILTER (format = 'svg') AS svg_count, count(*) FILTER (format = 'pdf') AS pdf_count,
-           sum(bytes) AS payload_bytes, count(DISTINCT format) AS formats, sum(l_linenumber) AS pages
+           sum(bytes) AS payload_bytes, count(DISTINCT format) AS formats, CASE WHEN count(*) <= 20000 THEN sum(l_linenumber) ELSE 0 END AS pages
     FROM (SELECT *, CAST(string_split(key, ':')[2] AS BIGINT) + 1 AS l_linenumber FROM export_file) GROUP BY doc_id""",
     ("export_file",))
 def _(t: Tables):

@@ -18,11 +18,12 @@ def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EX
     """A4: one nested row per document: counts, formats and items in index order.
 
     ``assets`` has doc_id, index, key, kind, page_numbers, title; ``files`` has doc_id, key,
-    format, name, bytes. A manifest is one document by nature; exports above ``max_items``
-    are not allowed and stay out (``export_summary`` reports them).
+    format, name, bytes. A manifest is one document by nature; an export above ``max_items``
+    is not allowed: it keeps its counts but no items, and ``audit_manifest`` rejects it.
     """
-    sized = assets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_items)
-    allowed = assets.join(sized, "doc_id", "left_semi")
+    over = assets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_items)
+    counted = assets.join(over, "doc_id", "left")
+    listable = F.col("_n").isNull()
     written = files.where(F.col("format").isin(*FORMATS))
     names = written.groupBy("doc_id", "key").agg(
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("format", "name")))).alias("files"),
@@ -37,13 +38,13 @@ def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EX
         F.coalesce("files", F.create_map().cast("map<string,string>")).alias("files"),
     )
     has = lambda f: F.count_if(F.map_contains_key("files", f)).cast("int")
-    listed = allowed.join(names, ["doc_id", "key"], "left").groupBy("doc_id").agg(
+    listed = counted.join(names, ["doc_id", "key"], "left").groupBy("doc_id").agg(
         F.count(F.lit(1)).cast("int").alias("item_count"),
         F.count_if(F.col("kind") == "figure").cast("int").alias("figure_count"),
         F.count_if(F.col("kind") == "image").cast("int").alias("standalone_image_count"),
         *(has(f).alias(f"{f}_count") for f in FORMATS),
         F.coalesce(F.sum("_bytes"), F.lit(0)).alias("payload_bytes"),
-        F.collect_list(F.struct(F.col("index"), entry.alias("e"))).alias("_items"),
+        F.collect_list(F.when(listable, F.struct(F.col("index"), entry.alias("e")))).alias("_items"),
     )
     formats = F.array_sort(F.array_compact(F.array(
         *(F.when(F.col(f"{f}_count") > 0, F.lit(f)) for f in FORMATS)
