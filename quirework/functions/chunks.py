@@ -156,7 +156,7 @@ def order_statistics(df: DataFrame, key: list[str], value: str, **ranks: Column)
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
     sizes = df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    sized = counted.join(sizes, key) if key else counted.crossJoin(sizes)
+    sized = counted.join(sizes, key)
     fine = F.when(F.col("n") > CHUNK_WIDTH, by_magnitude(F.col(value).cast("double")))
     picked = scan(sized, key, [F.col(value)], fine, _first=sum_before(F.col("_n")))
     inside = {

@@ -82,27 +82,27 @@ def terminal_state_stream(job_event: DataFrame, watermark: str = "10 minutes", t
 
     def settle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         asked, last, done = state.get if state.exists else (0, 0, 0)
-        if done:
-            return
         verdict = None
         if state.hasTimedOut:
+            if done:
+                state.remove()
+                return
             verdict = ("cancelled" if asked else "failed", last)
         else:
             rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
             for ts, kind in zip(rows["ts"], rows["kind"]):
-                micros = int(ts.value // 1000)
-                last = max(last, micros)
+                last = max(last, int(ts.value // 1000))
+                if done or verdict:
+                    continue
                 if kind == "cancel_requested":
                     asked = 1
                 elif kind in TERMINAL:
-                    verdict = ("cancelled" if asked and kind == "completed" else kind, micros)
-                    break
-        if verdict is None:
-            state.update((asked, last, 0))
-            state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
-            return
-        state.update((asked, last, 1))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [verdict[0]], "ended_at": [pd.Timestamp(verdict[1], unit="us")]})
+                    verdict = ("cancelled" if asked and kind == "completed" else kind, int(ts.value // 1000))
+        # A settled job is remembered until it has been silent, so later messages change nothing.
+        state.update((asked, last, int(bool(done or verdict))))
+        state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        if verdict:
+            yield pd.DataFrame({"job_id": [key[0]], "state": [verdict[0]], "ended_at": [pd.Timestamp(verdict[1], unit="us")]})
 
     return (
         job_event.withWatermark("ts", watermark)
