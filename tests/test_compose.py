@@ -3,6 +3,7 @@ import itertools
 import pytest
 
 from quirework.operators import compose, tree
+from quirework.plans import flows
 from quirework.schemas import TABLES
 
 
@@ -168,3 +169,19 @@ def test_move(spark, uids, parent, index, expected):
     for r in moved.collect():
         orders.setdefault(r.parent_uid, []).append(r.ord)
     assert sorted(orders[parent if expected else "root"]) == list(range(len(orders[parent if expected else "root"])))
+
+
+def test_composed_document_end_to_end(spark):
+    rows = [
+        (1, "root", None, 0, "", None, None), (1, "g", "root", 0, "Main", None, None), (1, "a", "g", 0, None, "1", 0), (1, "b", "g", 1, None, "1", 1),
+        (1, "c", "root", 1, None, "2", 0), (2, "root", None, 0, "", None, None), (2, "x", "root", 0, None, "nowhere", 0)]
+    node = spark.createDataFrame(rows, TABLES["plan_node"])
+    pre = spark.createDataFrame(PREFLIGHT, "doc_id long, pages int, reason string, size_bytes long")
+    link = spark.createDataFrame([(2, 0, 0, "goto", 0.0, 0.0, 1.0, 1.0, 0, None)], TABLES["link"])
+    out = flows.compose_document(node, pre, link)
+    assert out["problems"].count() == 0
+    assert [(r.plan_id, r.ref_reason) for r in out["invalid_refs"].collect()] == [(2, "unknown_source")]
+    assert [(r.level, r.title, r.page_no) for r in out["bookmarks"].collect()] == [(1, "Main", 1)]
+    assert {r.plan_id: r.mergeable for r in out["whole"].collect()} == {1: True, 2: False}
+    assert [(r.output_page, r.target_page) for r in out["links"].collect()] == [(2, 2)]
+    assert {r.plan_id: r.saveable for r in out["summary"].collect()} == {1: True, 2: False}
