@@ -1,6 +1,6 @@
 """All queries of this package; importing it registers them."""
 
-from quirework.llm import divergence, license_join, simhash_tree  # noqa: F401
+from quirework.llm import arrow_tokens, divergence, license_join, simhash_tree  # noqa: F401
 from quirework.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
