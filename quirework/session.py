@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +24,11 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings and make sure a checkpoint folder is known."""
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
+    # Python workers that this machine starts find the package from any working directory.
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
     shared_dir(spark)
     return spark
 
