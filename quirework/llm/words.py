@@ -57,13 +57,19 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
 
 def spans(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of member bytes, and the first run of each row."""
-    inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = member[data]
-    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    return runs(member[data], bounds)
+
+
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true items, and the first run of each row; rows cut runs."""
+    n = len(inside)
+    padded = np.zeros(n + 2, dtype=bool)
+    padded[1:-1] = inside
+    first, last = inside & ~padded[:-2], inside & ~padded[2:]
     cuts = bounds[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
-    first[cuts] = inside[1:-1][cuts]
-    last[cuts - 1] = inside[1:-1][cuts - 1]
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, bounds)
 
