@@ -37,27 +37,12 @@ FRONTIER = 1 << 20
 _U = np.uint64
 
 
-def _joined(data, starts, ends, firsts):
-    """The words with single spaces between them: bytes, and each word's start and end there."""
-    lengths = ends - starts
-    after = np.concatenate([[0], np.cumsum(lengths + 1)])
-    begin = after[:-1]
-    out = np.full(int(after[-1]), 0x20, dtype=np.uint8)
-    inside = np.zeros(len(data) + 1, dtype=np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    kept = np.ones(len(out), dtype=bool)
-    kept[begin + lengths] = False
-    # Two words of neighbouring rows may touch, so their marks cancel where one ends and one starts.
-    out[kept] = data[np.cumsum(inside[:-1]) > 0]
-    return out.tobytes(), begin, begin + lengths
-
-
 def fingerprints(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
     """The fingerprint of each row; zero for a row without words."""
     data = W.LOWER[data]
     starts, ends, firsts = W.spans(data, bounds, W.NOT_SPACE)
-    text, begin, stop = _joined(data, starts, ends, firsts)
+    text, begin, _ = W.joined(data, starts, ends)
+    text, stop = text.tobytes(), begin + ends - starts
     n_words = np.diff(firsts)
     n_shingles = np.where(n_words > 0, np.maximum(n_words - width + 1, 1), 0)
     bound = np.concatenate([[0], np.cumsum(n_shingles)])

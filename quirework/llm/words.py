@@ -154,3 +154,14 @@ def windows(h: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray,
 def per_row(positions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many of the rising positions lie in each row."""
     return np.diff(np.searchsorted(positions, bounds))
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments with one space after each: the bytes, each segment's start there, and the place in ``data`` that each byte came from."""
+    lengths = ends - starts
+    after = np.concatenate([[0], np.cumsum(lengths + 1)])
+    begin = after[:-1]
+    origin = np.arange(int(after[-1])) + np.repeat(starts - begin, lengths + 1)
+    out = data[np.minimum(origin, len(data) - 1)] if len(data) else np.zeros(0, np.uint8)
+    out[begin + lengths] = 0x20
+    return out, begin, origin
