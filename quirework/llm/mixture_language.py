@@ -202,6 +202,11 @@ def identify(docs: DataFrame, languages: Languages, carried: tuple[str, ...] = (
 RESULT = "lang_pred string, score double, shares array<struct<lang:string,share:double>>"
 
 
+def keep(docs: DataFrame, languages: Languages, least: float) -> DataFrame:
+    """The documents in a learned language with a share of at least ``least``, with all their columns."""
+    return identify(docs, languages, tuple(docs.columns), least=least, known_only=True).select("row.*")
+
+
 @query("op5_mixture_language")
 def op5(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")

@@ -25,6 +25,7 @@ from quirework.llm import words as W
 from quirework.llm.carry import map_rows
 from quirework.llm.components import components
 from quirework.llm.registry import query, read
+from quirework.session import fresh_dir
 
 RADIUS = 2
 WIDTH = 3
@@ -228,21 +229,43 @@ def near_links(distinct: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(docs: DataFrame, carried: tuple[str, ...], key: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (row, fp, id), and (fp, id, component_id) of the row that stands for each fingerprint.
+
+    Only keys and fingerprints are grouped; the carried columns stay in the stored rows.
+    """
+    path = fresh_dir(docs.sparkSession, "fingerprints")
+    prints = with_fingerprint(docs, tuple(dict.fromkeys([*carried, key])))
+    prints.withColumn("id", F.col("row").getField(key)).write.parquet(path)
+    prints = docs.sparkSession.read.parquet(path)
+    least = prints.groupBy("fp").agg(F.min("id").alias("id")).checkpoint()
+    joined = components(near_links(least.select("fp"))).withColumnRenamed("node", "fp").checkpoint()
+    by_root = least.join(joined, "fp").groupBy("root").agg(F.min("id").alias("reached"))
+    reached = joined.join(by_root, "root").select("fp", "root", "reached")
+    named = least.join(reached, "fp", "left").select(
+        "fp", "id", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("reached")).alias("component_id")
+    )
+    return prints, named
+
+
 def near_duplicates(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), key: str = "doc_id") -> DataFrame:
-    """``row``, ``fp`` and ``component_id``, the smallest key that is reachable over links.
+    """``row`` (the carried columns), ``fp`` and ``component_id``, the smallest key that is reachable over links.
 
     Rows whose texts give the same fingerprint are one node. Null keys get their component like any
     other, but never name one; a component of null keys only has none. Empty texts have fingerprint
     zero. An empty table gives no rows.
     """
-    prints = with_fingerprint(docs, tuple(dict.fromkeys([*carried, key])))
-    prints = prints.withColumn("id", F.col("row").getField(key)).checkpoint()
-    least = prints.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
-    joined = components(near_links(least.select("fp"))).withColumnRenamed("node", "fp").checkpoint()
-    by_root = least.join(joined, "fp").groupBy("root").agg(F.min("least").alias("reached"))
-    reached = joined.join(by_root, "root").select("fp", "reached")
-    named = least.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return prints.join(named, "fp").select("row", "fp", "component_id")
+    prints, named = _grouped(docs, carried, key)
+    return prints.join(named.select("fp", "component_id"), "fp").select("row", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each component, with all columns: the smallest key, and of equal keys the smallest fingerprint."""
+    prints, named = _grouped(docs, tuple(docs.columns), key)
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp")).alias("first"))
+    chosen = chosen.select(F.col("first.id").alias("chosen_id"), F.col("first.fp").alias("chosen_fp"))
+    same = F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("fp") == F.col("chosen_fp"))
+    return prints.join(chosen, same, "left_semi").dropDuplicates(["id", "fp"]).select("row.*")
 
 
 @query("op8_simhash_bk_trees")
