@@ -137,22 +137,29 @@ def _hull_steps(packed: DataFrame) -> DataFrame:
 def _take_steps(steps: DataFrame) -> DataFrame:
     """Best utility per byte first while the running cost fits; the new level per asset.
 
-    The order is (magnitude bin, slab of 65 536 asset ordinals, ratio, ordinal, level). The
-    bin keeps eight significant bits of the ratio, so documents of up to 65 536 assets get
-    the exact ratio order and larger ones treat ratios within 0.8 % as equal. For documents
-    with many assets bin and slab are the chunk, so neither a huge document nor many copies
-    of one asset end up in one task.
+    The order is (ratio, ordinal, key, level), in every document alike. A large document is cut
+    into chunks that follow it: steps whose ratios agree in 17 significant bits, and where very many
+    do (copies of one asset), the exact ratio and a slab of ordinals behind it. Neither a huge
+    document nor many copies end up in one task.
     """
     fixed = F.floor(F.least(F.col("ratio") * F.lit(2.0**50), F.lit(9.0e18))).cast("long")
-    rated = steps.withColumn("q", fixed).withColumn("bits", F.length(F.bin("q")))
-    rated = rated.withColumn(
-        "bin", F.col("bits") * 256 + F.expr("shiftright(q, greatest(bits - 8, 0))")
-    ).withColumn("slab", chunks.by_width(F.col("asset_ord")))
-    ordered = [-F.col("bin"), F.col("slab"), -F.col("q"), F.col("asset_ord"), F.col("key"), F.col("level")]
-    fine = F.struct((-F.col("bin")).alias("bin"), F.col("slab"))
+    bits = F.length(F.bin("q"))
+    rated = (
+        steps.withColumn("q", fixed)
+        .withColumn("bin", bits * (1 << 17) + F.expr("shiftright(q, greatest(length(bin(q)) - 17, 0))"))
+        .checkpoint()  # read three times below, and expensive to find
+    )
+    large = rated.where(F.col("assets") > SMALL_DOCUMENT)
+    crowded = (
+        large.groupBy("doc_id", "bin").agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > chunks.CHUNK_WIDTH).select("doc_id", "bin", F.lit(True).alias("crowded"))
+    )
+    marked = rated.join(crowded, ["doc_id", "bin"], "left")
+    slab = F.when(F.col("crowded"), F.struct((-F.col("q")).alias("q"), chunks.by_width(F.col("asset_ord")).alias("slab")))
+    fine = F.struct((-F.col("bin")).alias("bin"), slab.alias("tie"))
     run = chunks.scan(
-        rated, ["doc_id"], ordered, F.when(F.col("assets") > SMALL_DOCUMENT, fine),
-        spent=chunks.sum_upto(F.col("step_bytes")),
+        marked, ["doc_id"], [-F.col("q"), F.col("asset_ord"), F.col("key"), F.col("level")],
+        F.when(F.col("assets") > SMALL_DOCUMENT, fine), spent=chunks.sum_upto(F.col("step_bytes")),
     )
     return run.where("spent <= rest").groupBy(*ASSET).agg(F.max("level").alias("new_level"))
 

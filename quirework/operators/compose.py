@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions import chunks, scalars
+from quirework.functions import chunks, rects, scalars
 
 # Fixed values ------------------------------------------------------------------
 MAX_SOURCES = 100
@@ -13,6 +13,8 @@ MAX_INPUT_BYTES = 4 * scalars.GIB
 MAX_TOTAL_BYTES = 16 * scalars.GIB
 # -------------------------------------------------------------------------------
 
+TARGET_POINT = ["target_x", "target_y"]
+
 
 # Page-range text ----------------------------------------------------------------
 
@@ -95,13 +97,14 @@ def page_offsets(merge_input: DataFrame) -> DataFrame:
 def offset_navigation(merge_input: DataFrame, toc: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bookmarks and links of every input, shifted to the merged page numbers.
 
-    Bookmarks without a page stay unshifted. Named links and internal links that point
+    Bookmarks without a page stay unshifted; all keep the point that they lead to. Named links and internal links that point
     outside their own document are dropped.
     """
     placed = page_offsets(merge_input).select("merge_id", "pos", "doc_id", "pages", "page_offset")
     marks = placed.join(toc.withColumnRenamed("pos", "toc_pos"), "doc_id").select(
         "merge_id", "pos", "toc_pos", "level", "title",
         F.when(F.col("page_no") > 0, F.col("page_no") + F.col("page_offset")).otherwise(F.col("page_no")).alias("page_no"),
+        "dest_x", "dest_y",
     )
     goto = F.col("kind") == "goto"
     inside = (F.col("target_page") >= 0) & (F.col("target_page") < F.col("pages"))
@@ -111,7 +114,9 @@ def offset_navigation(merge_input: DataFrame, toc: DataFrame, link: DataFrame) -
         .select(
             "merge_id", "pos", "link_no", "kind",
             (F.col("page_no") + F.col("page_offset")).alias("page_no"),
+            *rects.SIDES,
             F.when(goto, F.col("target_page") + F.col("page_offset")).alias("target_page"),
+            *(F.when(goto, F.col(c)).alias(c) for c in TARGET_POINT),
             "uri",
         )
     )
@@ -221,13 +226,15 @@ def remap_links(page_ref: DataFrame, link: DataFrame) -> DataFrame:
     """Links of composed pages; internal targets go to their first output page.
 
     Links to omitted pages and named links are dropped, external ones kept; a page used
-    several times carries its links each time.
+    several times carries its links each time. A link keeps its rectangle, an internal one the
+    point that it leads to.
     """
     first = page_ref.groupBy("plan_id", "source", F.col("page_index").alias("target_page")).agg(
         F.min("pos").alias("mapped")
     )
     usable = link.where("kind <> 'named'").select(
-        F.col("doc_id").alias("source"), F.col("page_no").alias("page_index"), "link_no", "kind", "target_page", "uri"
+        F.col("doc_id").alias("source"), F.col("page_no").alias("page_index"), "link_no", "kind",
+        *rects.SIDES, "target_page", *TARGET_POINT, "uri",
     )
     return (
         page_ref.join(usable, ["source", "page_index"])
@@ -235,7 +242,8 @@ def remap_links(page_ref: DataFrame, link: DataFrame) -> DataFrame:
         .where("kind <> 'goto' OR mapped IS NOT NULL")
         .select(
             "plan_id", F.col("pos").alias("output_page"), "link_no", "kind",
-            F.when(F.col("kind") == "goto", F.col("mapped")).alias("target_page"), "uri",
+            *rects.SIDES, F.when(F.col("kind") == "goto", F.col("mapped")).alias("target_page"),
+            *(F.when(F.col("kind") == "goto", F.col(c)).alias(c) for c in TARGET_POINT), "uri",
         )
     )
 

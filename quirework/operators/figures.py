@@ -31,18 +31,19 @@ SIDES = rects.SIDES
 PAGE = ["doc_id", "page_no"]
 CAPTION_KEY = ["doc_id", "page_no", "caption_no"]
 BAND = 72.0
-FAR = 20_000.0  # beyond the largest page a document can have
+FAR = 14_400.0  # coordinates beyond share the outermost bands
 SALTS = 8
 STACK_CELLS = 2_000_000  # grid cells labelled at once in a Python worker
 IMAGE_SEQ = 2**62  # images come after drawings in the order boxes are seen
 
 
 def band(y: Column) -> Column:
-    return F.floor(y / F.lit(BAND)).cast("int")
+    """The band of a coordinate. Both sides of a join use it, so far coordinates still meet."""
+    return F.floor(scalars.clamp(y, -FAR, FAR) / F.lit(BAND)).cast("int")
 
 
 def bands(low: Column, high: Column) -> Column:
-    """One row per band touched by the closed range; bounded by the page height."""
+    """One row per band touched by the closed range; at most a few hundred whatever the range."""
     return F.explode(F.sequence(band(low), band(high)))
 
 
@@ -80,7 +81,7 @@ def caption_candidates(captions: DataFrame, boxes: DataFrame) -> DataFrame:
         .where("limit <= caption_top + 2")
         .withColumn("band", bands(F.col("limit"), deepest))
     )
-    offered = boxes.withColumn("band", band(scalars.clamp(F.col("y1"), -FAR, FAR)))
+    offered = boxes.withColumn("band", band(F.col("y1")))
     clipped = rects.rect_intersection(rects.rect_of(), rects.rect_of("p"))
     reach = F.greatest(
         F.lit(0.0),
@@ -282,23 +283,36 @@ def nearest_component(components: DataFrame, key: list[str] = CAPTION_KEY) -> Da
     return best.select(*key, "best.*")
 
 
-def _grow(parts: list[list[float]]) -> list[float]:
-    """The lowest part (then the largest) grown over every part beside it or stacked on it."""
-    box = list(max(parts, key=lambda p: (p[3], (p[2] - p[0]) * (p[3] - p[1]))))
-    waiting = [p for p in parts if p != box]
-    joined = True
-    while joined and waiting:
-        left = []
-        for p in waiting:
-            common = [min(box[i + 2], p[i + 2]) - max(box[i], p[i]) for i in (0, 1)]
-            shorter = [max(1.0, min(box[i + 2] - box[i], p[i + 2] - p[i])) for i in (0, 1)]
-            beside = common[1] / shorter[1] >= PANEL_SHARE and -common[0] <= SIDE_GAP
-            stacked = common[0] / shorter[0] >= PANEL_SHARE and -common[1] <= STACK_GAP
-            if beside or stacked:
-                box = [min(box[0], p[0]), min(box[1], p[1]), max(box[2], p[2]), max(box[3], p[3])]
-            else:
-                left.append(p)
-        joined, waiting = len(left) < len(waiting), left
+def _grow(parts: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The lowest part of each caption (then its largest), grown over parts beside it or stacked on it.
+
+    ``parts`` (x0, y0, x1, y1) are sorted by caption ``number`` and come in their own order. All
+    captions of the batch take one step together: their first parts are tried, then their second
+    ones, and so on, over and over until a whole turn joins nothing anywhere.
+    """
+    size = np.bincount(number)
+    first = np.cumsum(size) - size
+    area = (parts[:, 2] - parts[:, 0]) * (parts[:, 3] - parts[:, 1])
+    order = np.lexsort((np.arange(len(parts)), -area, -parts[:, 3], number))
+    box = parts[order[first]].copy()
+    joined = (parts == box[number]).all(axis=1)
+    active = np.arange(len(size))
+    while len(active):
+        grew = np.zeros(len(size), dtype=bool)
+        for step in range(int(size[active].max())):
+            who = active[step < size[active]]
+            who = who[~joined[first[who] + step]]
+            part, own = parts[first[who] + step], box[who]
+            low, high = np.maximum(part[:, :2], own[:, :2]), np.minimum(part[:, 2:], own[:, 2:])
+            shared = high - low
+            short = np.maximum(1.0, np.minimum(part[:, 2:] - part[:, :2], own[:, 2:] - own[:, :2]))
+            level = shared / short >= PANEL_SHARE
+            fits = (level[:, 1] & (-shared[:, 0] <= SIDE_GAP)) | (level[:, 0] & (-shared[:, 1] <= STACK_GAP))
+            took = who[fits]
+            joined[first[took] + step] = True
+            grew[took] = True
+            box[took] = np.concatenate([np.minimum(own[fits, :2], part[fits, :2]), np.maximum(own[fits, 2:], part[fits, 2:])], axis=1)
+        active = np.flatnonzero(grew)
     return box
 
 
@@ -312,13 +326,12 @@ def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, number in _whole_groups(batches, CAPTION_KEY):
             order = np.lexsort((rows["component_no"].to_numpy(), number))
-            parts = np.stack([rows[s].to_numpy()[order] for s in SIDES], axis=1).tolist()
+            parts = np.stack([rows[side].to_numpy()[order] for side in SIDES], axis=1)
             heads = np.flatnonzero(np.diff(number, prepend=-1))
-            bounds = [*heads.tolist(), rows.num_rows]
-            grown = [_grow(parts[low:high]) for low, high in zip(bounds, bounds[1:])]
+            grown = _grow(parts, np.searchsorted(heads, np.arange(len(parts)), "right") - 1)
             yield from pa.table({
                 **{k: rows[k].take(pa.array(heads)) for k in CAPTION_KEY},
-                **{s: pa.array([g[i] for g in grown], pa.float64()) for i, s in enumerate(SIDES)},
+                **{side: pa.array(grown[:, i], pa.float64()) for i, side in enumerate(SIDES)},
             }).to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in components.schema if f.name in CAPTION_KEY}

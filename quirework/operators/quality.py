@@ -48,17 +48,28 @@ def _squared_error(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0).cast("long"), lambda total, s: total + s)
 
 
-def fidelity(page_pairs: DataFrame) -> DataFrame:
-    """Squared error pooled over all pixels of a document, and PSNR (3 dp)."""
-    error = _squared_error(F.col("ref_pixels"), F.col("cand_pixels"))
-    pooled = page_pairs.where("matched").groupBy("doc_id").agg(
-        F.sum(error).alias("_error"), F.sum(F.size("ref_pixels")).alias("_pixels")
+def _pooled(page_pairs: DataFrame, error: Column) -> DataFrame:
+    """Summed error and pixels per document, and the matched pages whose two sides differ in size."""
+    same = F.col("ref_width").eqNullSafe(F.col("cand_width")) & (F.size("ref_pixels") == F.size("cand_pixels"))
+    return page_pairs.where("matched").groupBy("doc_id").agg(
+        F.sum(F.when(same, error)).alias("_error"), F.sum(F.when(same, F.size("ref_pixels"))).alias("_pixels"),
+        F.count_if(~same).alias("size_mismatch"),
     )
-    mse = F.col("_error") / F.greatest(F.lit(1), F.col("_pixels"))
+
+
+def _scored(value: Column) -> Column:
+    """No score for a document with a page that would have to be resampled first."""
+    return F.when(F.col("size_mismatch") == 0, value)
+
+
+def fidelity(page_pairs: DataFrame) -> DataFrame:
+    """Squared error pooled over all pixels of a document, PSNR (3 dp), and ``size_mismatch``."""
+    pooled = _pooled(page_pairs, _squared_error(F.col("ref_pixels"), F.col("cand_pixels")))
+    mse = _scored(F.col("_error") / F.greatest(F.lit(1), F.col("_pixels")))
     psnr = F.when(F.col("mse") == 0, PERFECT_PSNR).otherwise(
-        F.lit(20.0) * F.log10(F.lit(float(WHITE)) / F.sqrt("mse"))
+        F.lit(20.0) * F.log10(F.lit(float(WHITE)) / F.sqrt(F.nullif("mse", F.lit(0.0))))
     )
-    return pooled.withColumn("mse", mse).select("doc_id", "mse", F.round(psnr, 3).alias("psnr_db"))
+    return pooled.withColumn("mse", mse).select("doc_id", "mse", F.round(psnr, 3).alias("psnr_db"), "size_mismatch")
 
 
 def edges(pixels: Column, width: Column) -> Column:
@@ -82,20 +93,20 @@ def edge_similarity(page_pairs: DataFrame) -> DataFrame:
     error = _squared_error(
         edges(F.col("ref_pixels"), F.col("ref_width")), edges(F.col("cand_pixels"), F.col("cand_width"))
     )
-    pooled = page_pairs.where("matched").groupBy("doc_id").agg(
-        F.sum(error).alias("_error"), F.sum(F.size("ref_pixels")).alias("_pixels")
-    )
+    pooled = _pooled(page_pairs, error)
     edge_mse = F.col("_error") / F.greatest(F.lit(1), F.col("_pixels"))
     similarity = F.greatest(F.lit(0.0), F.lit(1.0) - F.sqrt(edge_mse) / WHITE)
-    return pooled.select("doc_id", F.round(similarity, 6).alias("edge_similarity"))
+    return pooled.select("doc_id", _scored(F.round(similarity, 6)).alias("edge_similarity"), "size_mismatch")
 
 
 def dark_regression(page_pairs: DataFrame, limit: float = DARK_LIMIT) -> DataFrame:
     """Largest rise of the dark-pixel share of a page, and whether it is a regression."""
     dark = lambda c: F.size(F.filter(c, lambda v: v < DARK_BELOW))
     rise = (dark("cand_pixels") - dark("ref_pixels")) / F.greatest(F.lit(1), F.size("ref_pixels"))
-    return page_pairs.where("matched").groupBy("doc_id").agg(F.max(rise).alias("_rise")).select(
-        "doc_id", F.round("_rise", 6).alias("max_dark_increase"), (F.col("_rise") > limit).alias("dark_regression")
+    largest = page_pairs.where("matched").groupBy("doc_id").agg(F.max(rise).alias("_rise"))
+    return largest.join(_pooled(page_pairs, F.lit(0)).select("doc_id", "size_mismatch"), "doc_id").select(
+        "doc_id", _scored(F.round("_rise", 6)).alias("max_dark_increase"),
+        _scored(F.col("_rise") > limit).alias("dark_regression"), "size_mismatch",
     )
 
 
@@ -123,9 +134,12 @@ def _text_blocks(lines: DataFrame, name: str) -> DataFrame:
     return pieces.groupBy("doc_id", "block").agg(joined.alias(name))
 
 
-def text_preservation(ref_lines: DataFrame, cand_lines: DataFrame) -> DataFrame:
-    """Page counts equal, text without white space equal, and its length ratio (6 dp)."""
-    pages = lambda d, n: d.select("doc_id", "page_no").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
+def text_preservation(ref_lines: DataFrame, cand_lines: DataFrame, ref_pages: DataFrame, cand_pages: DataFrame) -> DataFrame:
+    """Page counts equal, text without white space equal, and its length ratio (6 dp).
+
+    Pages come from the page tables, so pages without text count as well.
+    """
+    pages = lambda d, n: d.groupBy("doc_id").agg(F.count_distinct("page_no").alias(n))
     blocks = _text_blocks(ref_lines, "a").join(_text_blocks(cand_lines, "b"), ["doc_id", "block"], "full")
     text = blocks.groupBy("doc_id").agg(
         F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("_same"),
@@ -134,7 +148,7 @@ def text_preservation(ref_lines: DataFrame, cand_lines: DataFrame) -> DataFrame:
     )
     ratio = F.coalesce("_cand", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("_ref", F.lit(0)))
     return (
-        pages(ref_lines, "source_pages").join(pages(cand_lines, "candidate_pages"), "doc_id", "full")
+        pages(ref_pages, "source_pages").join(pages(cand_pages, "candidate_pages"), "doc_id", "full")
         .join(text, "doc_id", "left")
         .select(
             "doc_id",

@@ -1,8 +1,8 @@
 """Composition trees as an adjacency list: plan_id, uid, parent_uid, ord, title, source, page_index.
 
 Nodes with a ``page_index`` are pages (leaves), the others groups. Ancestor chains are
-built for groups only, by doubling: four self-joins reach sixteen levels, enough to tell
-trees of the permitted depth from deeper ones and from cycles. Output positions are sums
+built for groups only, by doubling. How deep a tree may be is a rule that validation
+reports; no other operator cuts by it. Output positions are sums
 of sibling prefixes over the ancestors, so no plan is ever sorted as one list.
 """
 
@@ -22,32 +22,40 @@ DEFAULT_TITLE = "分组"
 NODE = ["plan_id", "uid"]
 
 
-def ancestor_chains(plan_node: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``chain`` per node: parent, grandparent, … up to the root; ``rooted`` when it gets there."""
+def ancestor_chains(plan_node: DataFrame) -> DataFrame:
+    """``chain`` per node: parent, grandparent, … up to the root; ``rooted`` when it gets there.
+
+    Chains double in length until none can grow: the rounds follow the deepest group, whatever its
+    depth. A chain that meets a node twice is on or above a cycle, one whose next parent does not
+    exist hangs in the air; both stop there and stay unrooted.
+    """
+    none = F.array().cast("array<string>")
     groups = plan_node.where("page_index IS NULL").select(
         *NODE,
-        F.when(F.col("parent_uid").isNull(), F.array().cast("array<string>"))
-        .otherwise(F.array("parent_uid")).alias("chain"),
+        F.when(F.col("parent_uid").isNull(), none).otherwise(F.array("parent_uid")).alias("chain"),
         F.col("parent_uid").isNull().alias("rooted"),
+        F.col("parent_uid").isNotNull().alias("grows"),
     )
-    reach = 1
-    while reach <= max_depth + 1:
+    while True:
         # Finished chains get a key of their own, so they neither match nor pile up.
-        nxt = F.when(F.col("rooted"), F.concat(F.lit("\u0000"), F.col("uid"))).otherwise(F.try_element_at("chain", F.lit(-1)))
+        nxt = F.when(F.col("grows"), F.try_element_at("chain", F.lit(-1))).otherwise(F.concat(F.lit("\u0000"), F.col("uid")))
         up = groups.select(
-            "plan_id", F.col("uid").alias("_next"), F.col("chain").alias("_more"), F.col("rooted").alias("_top")
-        )
+            "plan_id", F.col("uid").alias("_next"), F.col("chain").alias("_more"), F.col("rooted").alias("_top"), F.col("grows").alias("_on")
+        ).dropDuplicates(["plan_id", "_next"])  # a repeated uid is for validation to report
+        line = F.when(F.col("grows") & F.col("_more").isNotNull(), F.concat("chain", "_more")).otherwise(F.col("chain"))
+        loops = F.array_contains("line", F.col("uid")) | (F.size(F.array_distinct("line")) < F.size("line"))
         groups = (
             groups.withColumn("_next", nxt).join(up, ["plan_id", "_next"], "left")
+            .withColumn("line", line)
             .select(
-                *NODE,
-                F.when(F.col("rooted") | F.col("_more").isNull(), F.col("chain"))
-                .otherwise(F.concat("chain", "_more")).alias("chain"),
-                (F.col("rooted") | F.coalesce("_top", F.lit(False))).alias("rooted"),
+                *NODE, F.col("line").alias("chain"),
+                (F.col("rooted") | (F.col("grows") & F.coalesce("_top", F.lit(False)))).alias("rooted"),
+                (F.col("grows") & F.coalesce("_on", F.lit(False)) & ~loops).alias("grows"),
             )
             .checkpoint()
         )
-        reach *= 2
+        if groups.where("grows").isEmpty():
+            break
     parents = groups.select(
         "plan_id", F.col("uid").alias("parent_uid"), F.col("chain").alias("_up"), F.col("rooted").alias("_top")
     )
@@ -106,18 +114,18 @@ def _with_preorder(chains: DataFrame, weight: Column, of: DataFrame, name: str)
     )
 
 
-def flatten_tree(plan_node: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_tree(plan_node: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     """I4: pages in depth-first order; ``pos`` is the zero-based output page."""
-    chains = ancestor_chains(plan_node, max_depth)
+    chains = ancestor_chains(plan_node) if chains is None else chains
     pages = chains.where("page_index IS NOT NULL AND rooted")
     return _with_preorder(chains, F.col("page_index").isNotNull(), pages, "pos").select(
         "plan_id", "pos", "uid", "depth", "source", "page_index"
     )
 
 
-def tree_bookmarks(plan_node: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def tree_bookmarks(plan_node: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     """Depth, title and first one-based page of every non-empty group below the root."""
-    chains = ancestor_chains(plan_node, max_depth)
+    chains = ancestor_chains(plan_node) if chains is None else chains
     groups = chains.where("page_index IS NULL AND rooted AND parent_uid IS NOT NULL")
     title = F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)^\s+|\s+$", "")
     return (
@@ -131,9 +139,11 @@ def tree_bookmarks(plan_node: DataFrame, max_depth: int = MAX_DEPTH) -> DataFram
     )
 
 
-def validate_tree(plan_node: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Per plan the first broken rule, or an empty reason."""
-    chains = ancestor_chains(plan_node, max_depth)
+def validate_tree(
+    plan_node: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, chains: DataFrame | None = None
+) -> DataFrame:
+    """Per plan the first broken rule, or an empty reason. A plan has exactly one root."""
+    chains = ancestor_chains(plan_node) if chains is None else chains
     repeated = plan_node.groupBy(*NODE).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("plan_id").distinct()
     parents = plan_node.where("parent_uid IS NOT NULL").select("plan_id", F.col("parent_uid").alias("uid")).distinct()
     pages_with_children = plan_node.where("page_index IS NOT NULL").join(parents, NODE, "left_semi").select("plan_id").distinct()
@@ -142,11 +152,13 @@ def validate_tree(plan_node: DataFrame, max_depth: int = MAX_DEPTH, max_pages: i
         F.count_if(F.col("page_index").isNotNull()).alias("pages"),
         F.max(F.when(F.col("rooted"), F.col("depth"))).alias("depth"),
         F.bool_and("rooted").alias("_reached"),
+        F.count_if(F.col("parent_uid").isNull()).alias("_roots"),
     )
     reason = (
         F.when(F.col("_repeated"), "duplicate_uid")
         .when(F.col("_nested"), "page_with_children")
         .when(~F.col("_reached"), "cycle_or_orphan")
+        .when(F.col("_roots") > 1, "several_roots")
         .when(F.col("depth") > max_depth, "too_deep")
         .when(F.col("pages") > max_pages, "too_many_pages")
         .otherwise("")
@@ -158,10 +170,10 @@ def validate_tree(plan_node: DataFrame, max_depth: int = MAX_DEPTH, max_pages: i
     )
 
 
-def top_selected(plan_node: DataFrame, selection: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def top_selected(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     """Selected nodes without a selected ancestor; the root never counts."""
     chosen = _chosen(plan_node, selection)
-    chains = ancestor_chains(plan_node, max_depth).where("rooted")
+    chains = ancestor_chains(plan_node).where("rooted")
     picked = chains.join(chosen, NODE, "left_semi")
     covered = _covered(picked, chosen, with_self=False)
     return picked.join(covered, NODE, "left_anti").select("plan_id", "uid", "parent_uid", "ord", "depth")
@@ -178,16 +190,14 @@ def _covered(chains: DataFrame, chosen: DataFrame, with_self: bool) -> DataFrame
     return _ancestors(chains, with_self).join(marks, ["plan_id", "anc"], "left_semi").select(*NODE).distinct()
 
 
-def remove_subtrees(plan_node: DataFrame, selection: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def remove_subtrees(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     """I8: the tree without the selected nodes and everything below them."""
     chosen = _chosen(plan_node, selection)
-    gone = _covered(ancestor_chains(plan_node, max_depth), chosen, with_self=True)
+    gone = _covered(ancestor_chains(plan_node), chosen, with_self=True)
     return plan_node.join(gone, NODE, "left_anti")
 
 
-def move_subtrees(
-    plan_node: DataFrame, moves: DataFrame, selection: DataFrame, max_depth: int = MAX_DEPTH
-) -> DataFrame:
+def move_subtrees(plan_node: DataFrame, moves: DataFrame, selection: DataFrame) -> DataFrame:
     """Move the selected subtrees below ``parent_uid`` at ``index``, one move per plan.
 
     ``moves`` has plan_id, parent_uid, index. Adds ``reason``: a plan whose target is
@@ -195,7 +205,7 @@ def move_subtrees(
     The index is clamped and counts only the siblings that stay; children of the target
     are renumbered from 0.
     """
-    chains = ancestor_chains(plan_node, max_depth).checkpoint()
+    chains = ancestor_chains(plan_node).checkpoint()
     chosen = _chosen(plan_node, selection).checkpoint()
     picked = chains.where("rooted").join(chosen, NODE, "left_semi")
     top = picked.join(_covered(picked, chosen, with_self=False), NODE, "left_anti").checkpoint()

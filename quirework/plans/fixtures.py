@@ -122,12 +122,15 @@ PROJECTIONS = {
     "link": f"""
         SELECT l_suppkey AS doc_id, l_orderkey % 40 AS page_no, {BOX_NO} AS link_no,
                CASE l_linenumber % 3 WHEN 0 THEN 'goto' WHEN 1 THEN 'uri' ELSE 'named' END AS kind,
-               l_partkey % 60 AS target_page,
+               CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_orderkey % 700 AS DOUBLE) AS y0,
+               CAST(l_partkey % 500 + 40 AS DOUBLE) AS x1, CAST(l_orderkey % 700 + 12 AS DOUBLE) AS y1,
+               l_partkey % 60 AS target_page, CAST(l_partkey % 300 AS DOUBLE) AS target_x, CAST(l_orderkey % 800 AS DOUBLE) AS target_y,
                CASE WHEN l_linenumber % 3 = 1 THEN concat('https://example.com/', CAST(l_partkey AS STRING)) END AS uri
         FROM {{lineitem}}""",
     "toc": f"""
         SELECT l_suppkey AS doc_id, {BOX_NO} AS pos, CAST(l_linenumber AS INT) AS level,
-               concat('Section ', CAST(l_partkey AS STRING)) AS title, l_orderkey % 41 AS page_no
+               concat('Section ', CAST(l_partkey AS STRING)) AS title, l_orderkey % 41 AS page_no,
+               CAST(l_partkey % 200 AS DOUBLE) AS dest_x, CAST(l_orderkey % 800 AS DOUBLE) AS dest_y
         FROM {{lineitem}}""",
     "merge_input": """
         SELECT CAST(s_nationkey AS BIGINT) AS merge_id, s_suppkey AS pos, s_suppkey AS doc_id,

@@ -93,10 +93,12 @@ pixel_pages AS (
   SELECT CAST(floor(vec_id / 8) AS BIGINT) AS doc_id, CAST(floor(vec_id / 2) AS BIGINT) % 4 AS page_no, vec_id % 2 AS side,
          list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(128 + 256 * CAST(x AS DOUBLE)) AS INT)))) AS px
   FROM embeddings),
-pixel_pairs AS (SELECT doc_id, page_no, a.px AS a, b.px AS b FROM (SELECT * FROM pixel_pages WHERE side = 0) a
-                FULL JOIN (SELECT * FROM pixel_pages WHERE side = 1) b USING (doc_id, page_no)),
+sized_pages AS (SELECT doc_id, page_no, side, CASE WHEN side = 1 AND page_no = 1 AND doc_id % 10 = 3 THEN px[1:56] ELSE px END AS px FROM pixel_pages),
+pixel_pairs AS (SELECT doc_id, page_no, a.px AS a, b.px AS b FROM (SELECT * FROM sized_pages WHERE side = 0) a
+                FULL JOIN (SELECT * FROM sized_pages WHERE side = 1) b USING (doc_id, page_no)),
 pixels AS (SELECT doc_id, page_no, i % 8 AS x, i // 8 AS y, a[i + 1] AS a, b[i + 1] AS b FROM pixel_pairs CROSS JOIN (SELECT unnest(range(64)) AS i)
-           WHERE a IS NOT NULL AND b IS NOT NULL)"""
+           WHERE len(a) = len(b)),
+sizes AS (SELECT doc_id, count(*) FILTER (len(a) <> len(b)) AS size_mismatch FROM pixel_pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id)"""
 
 
 def _pages(t: Tables):
@@ -105,6 +107,9 @@ def _pages(t: Tables):
         F.floor(F.col("vec_id") / 8).alias("doc_id"), (F.floor(F.col("vec_id") / 2) % 4).alias("page_no"),
         (F.col("vec_id") % 2).alias("side"), pixel.alias("pixels"), F.lit(8).alias("width"),
     )
+    # Some candidates lost a row of pixels.
+    short = (F.col("side") == 1) & (F.col("page_no") == 1) & (F.col("doc_id") % 10 == 3)
+    pages = pages.withColumn("pixels", F.when(short, F.slice("pixels", 1, 56)).otherwise(F.col("pixels")))
     return quality.pair_pages(pages.where("side = 0").drop("side"), pages.where("side = 1").drop("side"))
 
 
@@ -116,8 +121,9 @@ def _(t: Tables):
 
 
 @query("d13_fidelity", """
-    SELECT doc_id, mse, CASE WHEN mse = 0 THEN 99 ELSE round(20 * log10(255 / sqrt(mse)), 3) END AS psnr_db
-    FROM (SELECT doc_id, sum((a - b) * (a - b)) / count(*) AS mse FROM pixels GROUP BY doc_id)""", extra=PIXELS)
+    SELECT doc_id, mse, CASE WHEN mse = 0 THEN 99 ELSE round(20 * log10(255 / sqrt(nullif(mse, 0))), 3) END AS psnr_db, size_mismatch
+    FROM (SELECT s.doc_id, size_mismatch, CASE WHEN size_mismatch = 0 THEN m END AS mse
+          FROM sizes s LEFT JOIN (SELECT doc_id, sum((a - b) * (a - b)) / count(*) AS m FROM pixels GROUP BY doc_id) p USING (doc_id))""", extra=PIXELS)
 def _(t: Tables):
     return quality.fidelity(_pages(t))
 
@@ -127,15 +133,18 @@ def _(t: Tables):
       FROM pixels p JOIN pixels q ON q.doc_id = p.doc_id AND q.page_no = p.page_no AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1
       GROUP BY p.doc_id, p.page_no, p.x, p.y),
     e AS (SELECT doc_id, CASE WHEN x IN (0, 7) OR y IN (0, 7) THEN va ELSE least(255, greatest(0, 9 * va - sa)) END AS a,
-                 CASE WHEN x IN (0, 7) OR y IN (0, 7) THEN vb ELSE least(255, greatest(0, 9 * vb - sb)) END AS b FROM box)
-    SELECT doc_id, round(greatest(0, 1 - sqrt(sum((a - b) * (a - b)) / count(*)) / 255), 6) AS edge_similarity FROM e GROUP BY doc_id""", extra=PIXELS)
+                 CASE WHEN x IN (0, 7) OR y IN (0, 7) THEN vb ELSE least(255, greatest(0, 9 * vb - sb)) END AS b FROM box),
+    r AS (SELECT doc_id, round(greatest(0, 1 - sqrt(sum((a - b) * (a - b)) / count(*)) / 255), 6) AS v FROM e GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN size_mismatch = 0 THEN v END AS edge_similarity, size_mismatch FROM sizes LEFT JOIN r USING (doc_id)""", extra=PIXELS)
 def _(t: Tables):
     return quality.edge_similarity(_pages(t))
 
 
 @query("d15_dark_regression", """
-    SELECT doc_id, round(max(r), 6) AS max_dark_increase, max(r) > 0.01::DOUBLE AS dark_regression FROM (
-      SELECT doc_id, page_no, (count(*) FILTER (b < 18) - count(*) FILTER (a < 18)) / count(*) AS r FROM pixels GROUP BY ALL) GROUP BY doc_id""", extra=PIXELS)
+    WITH m AS (SELECT doc_id, max(r) AS r FROM (
+      SELECT doc_id, page_no, (count(*) FILTER (b < 18) - count(*) FILTER (a < 18)) / count(*) AS r FROM pixels GROUP BY ALL) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN size_mismatch = 0 THEN round(r, 6) END AS max_dark_increase,
+           CASE WHEN size_mismatch = 0 THEN r > 0.01::DOUBLE END AS dark_regression, size_mismatch FROM sizes LEFT JOIN m USING (doc_id)""", extra=PIXELS)
 def _(t: Tables):
     return quality.dark_regression(_pages(t), limit=0.01)
 
@@ -143,15 +152,23 @@ def _(t: Tables):
 @query("d16_text_preservation", r"""
     WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN concat(text, ' x') WHEN doc_id % 7 = 0 THEN lower(text) ELSE text END AS cand FROM documents),
     n AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS a, regexp_replace(cand, '\s+', '', 'g') AS b FROM c)
-    SELECT doc_id, true AS page_count_preserved, a = b AS text_exact, round(length(b) / greatest(1, length(a)), 6) AS length_ratio FROM n""")
+    SELECT doc_id, doc_id % 11 <> 0 AS page_count_preserved, a = b AS text_exact, round(length(b) / greatest(1, length(a)), 6) AS length_ratio FROM n""")
 def _(t: Tables):
     changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" x"))).when(F.col("doc_id") % 7 == 0, F.lower("text")).otherwise(F.col("text"))
 
-    def lines(text, sep):
-        return t("documents").select("doc_id", F.posexplode(F.split(text, sep)).alias("line_no", "text")).withColumn("page_no", F.lit(0))
+    def lines(text, sep, per_page):
+        split = t("documents").select("doc_id", F.posexplode(F.split(text, sep)).alias("line_no", "text"))
+        return split.withColumn("page_no", F.least(F.floor(F.col("line_no") / per_page), F.lit(2)))
 
-    # The candidate breaks its lines elsewhere; only the text as a whole counts.
-    return quality.text_preservation(lines(F.col("text"), "\n"), lines(changed, "[\n ]"))
+    def pages(less):
+        # The last page holds no text.
+        last = 2 + F.col("doc_id") % 2 + 1 - less
+        return t("documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("page_no"))
+
+    # The candidate breaks its lines and pages elsewhere; only the text as a whole counts.
+    return quality.text_preservation(
+        lines(F.col("text"), "\n", 10), lines(changed, "[\n ]", 100), pages(F.lit(0)), pages((F.col("doc_id") % 11 == 0).cast("int"))
+    )
 
 
 @query("d17_bench_medians", """

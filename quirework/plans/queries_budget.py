@@ -58,9 +58,7 @@ step{i} AS (
          CAST(floor(least(ratio * pow(2, 50), 9e18::DOUBLE)) AS BIGINT) AS q FROM slope{i} WHERE ratio > next_ratio),
 taken{i} AS (
   SELECT doc_id, key, max(level) AS level FROM (
-    SELECT *, sum(step_bytes) OVER (PARTITION BY doc_id ORDER BY
-        length(bin(q)) * 256 + (q >> greatest(length(bin(q)) - 8, 0)) DESC, asset_ord // 65536, q DESC, asset_ord, key, level
-        ROWS UNBOUNDED PRECEDING) AS spent FROM step{i}) WHERE spent <= rest GROUP BY ALL),
+    SELECT *, sum(step_bytes) OVER (PARTITION BY doc_id ORDER BY q DESC, asset_ord, key, level ROWS UNBOUNDED PRECEDING) AS spent FROM step{i}) WHERE spent <= rest GROUP BY ALL),
 chosen{i + 1} AS (SELECT c.doc_id, c.key, coalesce(t.level, c.level) AS level FROM chosen{i} c LEFT JOIN taken{i} t ON c.doc_id = t.doc_id AND c.key = t.key)"""
 
 

@@ -11,7 +11,8 @@ from quirework.plans.registry import Tables, query
 
 @query("c8_remap_links", """
     WITH first_use AS (SELECT plan_id, source, page_index, min(pos) AS mapped FROM compose_ref GROUP BY ALL)
-    SELECT r.plan_id, r.pos AS output_page, l.link_no, l.kind, f.mapped AS target_page, l.uri
+    SELECT r.plan_id, r.pos AS output_page, l.link_no, l.kind, l.x0, l.y0, l.x1, l.y1, f.mapped AS target_page,
+           CASE WHEN l.kind = 'goto' THEN l.target_x END AS target_x, CASE WHEN l.kind = 'goto' THEN l.target_y END AS target_y, l.uri
     FROM compose_ref r JOIN link l ON l.doc_id = r.source AND l.page_no = r.page_index AND l.kind <> 'named'
     LEFT JOIN first_use f ON l.kind = 'goto' AND f.plan_id = r.plan_id AND f.source = r.source AND f.page_index = l.target_page
     WHERE l.kind <> 'goto' OR f.mapped IS NOT NULL""", ("compose_ref", "link"))
@@ -30,14 +31,15 @@ def _(t: Tables):
 
 
 @query("c9_offset_bookmarks", """
-    SELECT merge_id, o.pos, t.pos AS toc_pos, level, title, CASE WHEN page_no > 0 THEN page_no + page_offset ELSE page_no END AS page_no
+    SELECT merge_id, o.pos, t.pos AS toc_pos, level, title, CASE WHEN page_no > 0 THEN page_no + page_offset ELSE page_no END AS page_no, dest_x, dest_y
     FROM offsets o JOIN toc t USING (doc_id)""", ("merge_input", "toc"), OFFSETS)
 def _(t: Tables):
     return flows.merge_documents(t("merge_input"), t("toc"), t("link"))["bookmarks"]
 
 
 @query("c9_offset_links", """
-    SELECT merge_id, o.pos, link_no, kind, page_no + page_offset AS page_no, CASE WHEN kind = 'goto' THEN target_page + page_offset END AS target_page, uri
+    SELECT merge_id, o.pos, link_no, kind, page_no + page_offset AS page_no, x0, y0, x1, y1, CASE WHEN kind = 'goto' THEN target_page + page_offset END AS target_page,
+           CASE WHEN kind = 'goto' THEN target_x END AS target_x, CASE WHEN kind = 'goto' THEN target_y END AS target_y, uri
     FROM offsets o JOIN link l USING (doc_id) WHERE kind = 'uri' OR (kind = 'goto' AND target_page BETWEEN 0 AND pages - 1)""",
     ("merge_input", "link"), OFFSETS)
 def _(t: Tables):

@@ -24,8 +24,8 @@ TABLES = {
     "plan_node": "plan_id BIGINT, uid STRING, parent_uid STRING, ord INT, title STRING, source STRING, page_index BIGINT",
     "page_ref": "plan_id BIGINT, pos INT, source BIGINT, page_index BIGINT",
     "merge_input": "merge_id BIGINT, pos INT, doc_id BIGINT, pages INT, size_bytes BIGINT",
-    "link": f"doc_id BIGINT, page_no INT, link_no INT, kind STRING, {_RECT}, target_page INT, uri STRING",
-    "toc": "doc_id BIGINT, pos INT, level INT, title STRING, page_no INT",
+    "link": f"doc_id BIGINT, page_no INT, link_no INT, kind STRING, {_RECT}, target_page INT, target_x DOUBLE, target_y DOUBLE, uri STRING",
+    "toc": "doc_id BIGINT, pos INT, level INT, title STRING, page_no INT, dest_x DOUBLE, dest_y DOUBLE",
     "render_task": f"batch_id BIGINT, id INT, page_no INT, {_RECT}, dpi INT, quality INT, group_id INT",
     "job_event": "job_id BIGINT, seq BIGINT, ts TIMESTAMP, generation INT, kind STRING, progress INT",
     "page_gray": "doc_id BIGINT, variant STRING, page_no INT, width INT, height INT, pixels ARRAY<INT>",

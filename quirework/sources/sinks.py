@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +15,20 @@ class PublishRefused(RuntimeError):
     """A check failed; the previous result is still the visible one."""
 
 
+def refused_manifests(assets: DataFrame, max_items: int = MAX_EXPORT_ITEMS) -> DataFrame:
+    """A4: documents whose export is too large for a manifest, with their item count and the reason."""
+    counts = assets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("item_count"))
+    return counts.where(F.col("item_count") > max_items).withColumn("reason", F.lit("too_many_items"))
+
+
 def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EXPORT_ITEMS) -> DataFrame:
     """A4: one nested row per document: counts, formats and items in index order.
 
     ``assets`` has doc_id, index, key, kind, page_numbers, title; ``files`` has doc_id, key,
-    format, name, bytes. A manifest is one document by nature; an export above ``max_items``
-    is not allowed: it keeps its counts but no items, and ``audit_manifest`` rejects it.
+    format, name, bytes. A manifest is one document by nature, so an export above ``max_items``
+    gets none; ``refused_manifests`` lists those.
     """
-    over = assets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_items)
-    counted = assets.join(over, "doc_id", "left")
-    listable = F.col("_n").isNull()
+    counted = assets.join(refused_manifests(assets, max_items), "doc_id", "left_anti")
     written = files.where(F.col("format").isin(*FORMATS))
     names = written.groupBy("doc_id", "key").agg(
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("format", "name")))).alias("files"),
@@ -44,7 +49,7 @@ def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EX
         F.count_if(F.col("kind") == "image").cast("int").alias("standalone_image_count"),
         *(has(f).alias(f"{f}_count") for f in FORMATS),
         F.coalesce(F.sum("_bytes"), F.lit(0)).alias("payload_bytes"),
-        F.collect_list(F.when(listable, F.struct(F.col("index"), entry.alias("e")))).alias("_items"),
+        F.collect_list(F.struct(F.col("index"), entry.alias("e"))).alias("_items"),
     )
     formats = F.array_sort(F.array_compact(F.array(
         *(F.when(F.col(f"{f}_count") > 0, F.lit(f)) for f in FORMATS)
@@ -55,7 +60,10 @@ def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EX
 
 
 def write_manifest(assets: DataFrame, files: DataFrame, path: str) -> None:
-    """A4: manifests as JSON lines, one document per line; refuses an existing path."""
+    """A4: manifests as JSON lines, one document per line; refuses an existing path and oversized exports."""
+    refused = refused_manifests(assets).head()
+    if refused is not None:
+        raise PublishRefused(f"export refused: {refused.asDict()}")
     write_once(build_manifests(assets, files), path, "json")
 
 
@@ -64,46 +72,90 @@ def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("errorifexists").format(fmt).save(path)
 
 
+POINTER = "_current"
+
+
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def _read_pointer(spark: SparkSession, dest: str) -> str | None:
+    fs, pointer = _hadoop(spark, f"{dest}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def _swap_pointer(spark: SparkSession, dest: str, version: str) -> None:
+    """Name ``version`` as the visible one: a small file, replaced in one rename."""
+    fs, fresh = _hadoop(spark, f"{dest}/.{version}.pointer")
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    _, pointer = _hadoop(spark, f"{dest}/{POINTER}")
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
+
+
+def published_path(spark: SparkSession, dest: str) -> str:
+    """The folder of the version that ``dest`` shows."""
+    version = _read_pointer(spark, dest)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {dest}")
+    return f"{dest}/{version}"
+
+
 def publish(
     df: DataFrame,
-    staging: str,
     dest: str,
     checks: list[Callable[[DataFrame], DataFrame]],
     fmt: str = "parquet",
     max_bytes: int | None = None,
-) -> None:
-    """Write to ``staging``, audit what was written, then rename it to ``dest``.
-
-    Every check maps the written data to its violations and must come back empty. An
-    existing ``dest`` is set aside before the rename and restored if that fails; on any
-    earlier failure it is never touched.
+    unchanged: Callable[[], DataFrame] | None = None,
+) -> str:
+    """Write a new version below ``dest``, audit what was written, then make it the visible one.
+
+    Versions never change; a pointer file names the visible one and is replaced last, in one atomic
+    rename. Whatever fails before leaves the old result visible, and there is no moment without one.
+    Every check maps the written data to its violations and must come back empty. ``unchanged``
+    gives the sources that are no longer those that were inspected; it is asked right before the
+    swap. The version before stays for readers that are still at it; older ones are deleted.
     """
     spark = df.sparkSession
-    write_once(df, staging, fmt)
-    fs, staged = _hadoop(spark, staging)
-    _, final = _hadoop(spark, dest)
-    _, aside = _hadoop(spark, f"{staging}.previous")
+    before = _read_pointer(spark, dest)
+    version = f"v-{uuid.uuid4().hex}"
+    write_once(df, f"{dest}/{version}", fmt)
+    fs, written_path = _hadoop(spark, f"{dest}/{version}")
     try:
-        written = spark.read.schema(df.schema).format(fmt).load(staging)
+        written = spark.read.schema(df.schema).format(fmt).load(f"{dest}/{version}")
         for check in checks:
             problem = check(written).head()
             if problem is not None:
                 raise PublishRefused(f"check failed: {problem.asDict()}")
-        if max_bytes is not None and fs.getContentSummary(staged).getLength() > max_bytes:
+        if max_bytes is not None and fs.getContentSummary(written_path).getLength() > max_bytes:
             raise PublishRefused(f"result exceeds {max_bytes} bytes")
+        changed = unchanged().head() if unchanged is not None else None
+        if changed is not None:
+            raise PublishRefused(f"source changed: {changed.asDict()}")
+        _swap_pointer(spark, dest, version)
     except Exception:
-        fs.delete(staged, True)
+        fs.delete(written_path, True)
         raise
-    kept = fs.exists(final) and fs.rename(final, aside)
-    if not fs.rename(staged, final):
-        if kept:
-            fs.rename(aside, final)
-        raise PublishRefused(f"cannot move the result to {dest}")
-    if kept:
-        fs.delete(aside, True)
+    _, top = _hadoop(spark, dest)
+    for entry in fs.listStatus(top):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(entry.getPath(), True)
+    return version

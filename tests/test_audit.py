@@ -112,19 +112,38 @@ def test_manifest_round_trip_and_audit(spark, tmp_path):
     assert check(back.withColumn("item_count", F.lit(9)), stock)[1] == "item_count"
 
 
+def test_oversized_exports_are_refused(spark, tmp_path):
+    assets = spark.range(20_001).select(
+        F.lit(1).cast("long").alias("doc_id"), (F.col("id") + 1).cast("int").alias("index"), F.concat(F.lit("image:"), "id").alias("key"),
+        F.lit("image").alias("kind"), F.array(F.lit(0)).alias("page_numbers"), F.lit("").alias("title"))
+    small, written = manifests(spark)
+    both = assets.unionByName(small.where("doc_id = 2"))
+    assert [tuple(r) for r in sinks.refused_manifests(both).collect()] == [(1, 20_001, "too_many_items")]
+    assert [r.doc_id for r in sinks.build_manifests(both, written).collect()] == [2]
+    with pytest.raises(sinks.PublishRefused):
+        sinks.write_manifest(both, written, str(tmp_path / "m"))
+    assert not (tmp_path / "m").exists()
+
+
 def test_publish_keeps_the_old_result_on_failure(spark, tmp_path):
     dest = str(tmp_path / "current")
-    first, second = spark.range(3), spark.range(5)
+    shown = lambda: spark.read.parquet(sinks.published_path(spark, dest)).count()
     none_bad = lambda d: d.where("id < 0")
-    sinks.publish(first, str(tmp_path / "s1"), dest, [none_bad])
-    assert spark.read.parquet(dest).count() == 3
-    for checks, limit in (([lambda d: d.where("id > 3")], None), ([none_bad], 1)):
+    with pytest.raises(FileNotFoundError):
+        sinks.published_path(spark, dest)
+    first = sinks.publish(spark.range(3), dest, [none_bad])
+    assert shown() == 3
+    changed = lambda: spark.range(1)
+    for checks, limit, moved in (([lambda d: d.where("id > 3")], None, None), ([none_bad], 1, None), ([none_bad], None, changed)):
         with pytest.raises(sinks.PublishRefused):
-            sinks.publish(second, str(tmp_path / "s2"), dest, checks, max_bytes=limit)
-        assert spark.read.parquet(dest).count() == 3 and not (tmp_path / "s2").exists()
-    sinks.publish(second, str(tmp_path / "s2"), dest, [none_bad])
-    assert spark.read.parquet(dest).count() == 5
-    assert sorted(os.listdir(tmp_path)) == ["current"]
+            sinks.publish(spark.range(5), dest, checks, max_bytes=limit, unchanged=moved)
+        assert shown() == 3
+    second = sinks.publish(spark.range(5), dest, [none_bad], unchanged=lambda: spark.range(0))
+    assert shown() == 5
+    third = sinks.publish(spark.range(6), dest, [none_bad])
+    assert shown() == 6
+    versions = sorted(n for n in os.listdir(dest) if n.startswith("v-"))
+    assert versions == sorted([second, third]) and first not in versions
 
 
 def test_inventory_and_tables(spark, tmp_path):

@@ -37,21 +37,23 @@ REFS = "plan_id long, pos int, source long, page_index long"
 def test_links_of_composed_pages(spark):
     refs = spark.createDataFrame([(1, 0, 7, 1), (1, 1, 7, 0), (1, 2, 7, 1), (1, 3, 8, 0)], REFS)
     link = spark.createDataFrame([
-        (7, 0, 0, "goto", 0.0, 0.0, 1.0, 1.0, 1, None), (7, 0, 1, "goto", 0.0, 0.0, 1.0, 1.0, 5, None),
-        (7, 1, 0, "uri", 0.0, 0.0, 1.0, 1.0, None, "u"), (8, 0, 0, "named", 0.0, 0.0, 1.0, 1.0, None, None), (9, 0, 0, "uri", 0.0, 0.0, 1.0, 1.0, None, "x")], TABLES["link"])
+        (7, 0, 0, "goto", 3.0, 4.0, 11.0, 12.0, 1, 7.0, 8.0, None), (7, 0, 1, "goto", 3.0, 4.0, 11.0, 12.0, 5, 7.0, 8.0, None),
+        (7, 1, 0, "uri", 0.0, 0.0, 1.0, 1.0, None, None, None, "u"), (8, 0, 0, "named", 0.0, 0.0, 1.0, 1.0, None, None, None, None), (9, 0, 0, "uri", 0.0, 0.0, 1.0, 1.0, None, None, None, "x")], TABLES["link"])
     got = sorted((r.output_page, r.kind, r.target_page, r.uri) for r in compose.remap_links(refs, link).collect())
     assert got == [(0, "uri", None, "u"), (1, "goto", 0, None), (2, "uri", None, "u")]
 
 
 def test_merge_offsets_and_totals(spark):
     merge = spark.createDataFrame([(1, 0, 5, 3, 100), (1, 1, 6, 2, 50), (1, 2, 5, 3, 100)], TABLES["merge_input"])
-    toc = spark.createDataFrame([(5, 0, 1, "A", 2), (6, 0, 1, "B", 0)], TABLES["toc"])
+    toc = spark.createDataFrame([(5, 0, 1, "A", 2, 30.0, 40.0), (6, 0, 1, "B", 0, None, None)], TABLES["toc"])
     link = spark.createDataFrame([
-        (5, 0, 0, "goto", 0.0, 0.0, 1.0, 1.0, 2, None), (5, 0, 1, "goto", 0.0, 0.0, 1.0, 1.0, 3, None), (6, 1, 0, "uri", 0.0, 0.0, 1.0, 1.0, None, "u")], TABLES["link"])
+        (5, 0, 0, "goto", 3.0, 4.0, 11.0, 12.0, 2, 7.0, 8.0, None), (5, 0, 1, "goto", 3.0, 4.0, 11.0, 12.0, 3, 7.0, 8.0, None), (6, 1, 0, "uri", 0.0, 0.0, 1.0, 1.0, None, None, None, "u")], TABLES["link"])
     marks, links = compose.offset_navigation(merge, toc, link)
     assert sorted((r.pos, r.title, r.page_no) for r in marks.collect()) == [(0, "A", 2), (1, "B", 0), (2, "A", 7)]
     assert sorted((r.pos, r.page_no, r.target_page) for r in links.collect() if r.kind == "goto") == [(0, 0, 2), (2, 5, 7)]
     assert [r.page_no for r in links.collect() if r.kind == "uri"] == [4]
+    assert {(r.x0, r.y0, r.x1, r.y1, r.target_x, r.target_y) for r in links.collect()} == {(3.0, 4.0, 11.0, 12.0, 7.0, 8.0), (0.0, 0.0, 1.0, 1.0, None, None)}
+    assert sorted({(r.title, r.dest_x, r.dest_y) for r in marks.collect()}) == [("A", 30.0, 40.0), ("B", None, None)]
     assert compose.merge_summary(merge, False).head()[1:] == (3, 8, 250)
     assert compose.merge_summary(merge, True).head()[1:] == (2, 5, 150)
 
@@ -140,6 +142,27 @@ def test_validation_reports_bad_trees(spark):
     assert got == {1: "", 2: "too_deep", 3: "cycle_or_orphan", 4: "page_with_children", 5: "duplicate_uid", 6: "too_many_pages"}
 
 
+def test_deep_trees_lose_nothing(spark):
+    deep = ("root", [])
+    level = deep
+    for i in range(40):
+        level[1].append((f"d{i}", []))
+        level = level[1][0]
+    level[1].append(("page", 5))
+    df = nodes(spark, deep)
+    assert [(r.uid, r.pos, r.depth) for r in tree.flatten_tree(df).collect()] == [("page", 0, 41)]
+    facts = tree.validate_tree(df).head()
+    assert (facts.reason, facts.depth) == ("too_deep", 41)
+    assert [r.uid for r in tree.remove_subtrees(df, pick(spark, "d0")).collect()] == ["root"]
+    assert [r.uid for r in tree.top_selected(df, pick(spark, "d30", "page", "d39")).collect()] == ["d30"]
+    assert tree.tree_bookmarks(df).count() == 40
+
+
+def test_several_roots_are_reported(spark):
+    df = nodes(spark, ("root", [("p", 1)]), 1, [(1, "other", None, 1, "", None, None)])
+    assert tree.validate_tree(df).head().reason == "several_roots"
+
+
 def pick(spark, *uids):
     return spark.createDataFrame([(1, u) for u in uids], "plan_id long, uid string")
 
@@ -177,11 +200,13 @@ def test_composed_document_end_to_end(spark):
         (1, "c", "root", 1, None, "2", 0), (2, "root", None, 0, "", None, None), (2, "x", "root", 0, None, "nowhere", 0)]
     node = spark.createDataFrame(rows, TABLES["plan_node"])
     pre = spark.createDataFrame(PREFLIGHT, "doc_id long, pages int, reason string, size_bytes long")
-    link = spark.createDataFrame([(2, 0, 0, "goto", 0.0, 0.0, 1.0, 1.0, 0, None)], TABLES["link"])
+    link = spark.createDataFrame([(2, 0, 0, "goto", 3.0, 4.0, 11.0, 12.0, 0, 7.0, 8.0, None)], TABLES["link"])
     out = flows.compose_document(node, pre, link)
     assert out["problems"].count() == 0
     assert [(r.plan_id, r.ref_reason) for r in out["invalid_refs"].collect()] == [(2, "unknown_source")]
     assert [(r.level, r.title, r.page_no) for r in out["bookmarks"].collect()] == [(1, "Main", 1)]
-    assert {r.plan_id: r.mergeable for r in out["whole"].collect()} == {1: True, 2: False}
+    # The refused plan is reported and has no runs, links or bookmarks.
+    assert {r.plan_id: r.mergeable for r in out["whole"].collect()} == {1: True}
+    assert {r.plan_id for r in out["runs"].collect()} == {1}
     assert [(r.output_page, r.target_page) for r in out["links"].collect()] == [(2, 2)]
     assert {r.plan_id: r.saveable for r in out["summary"].collect()} == {1: True, 2: False}

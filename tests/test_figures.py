@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quirework.functions import scalars
 from quirework.operators import figures, quality
 from quirework.plans import flows
 from quirework.schemas import TABLES
@@ -44,12 +45,12 @@ def brute_force(boxes):
     return [(min(b[0] for b in g), min(b[1] for b in g), max(b[2] for b in g), max(b[3] for b in g)) for g in groups.values()]
 
 
-def test_dense_plot_is_one_component(spark):
-    boxes = [(50 + (i % 100) * 1.8, 80 + (i % 70) * 1.8) for i in range(15_000)]
-    got = components(spark, [(x, y, x + 2, y + 2) for x, y in boxes])
+def test_crowded_curve_is_one_component(spark):
+    spots = [(60 + i * 7 % 240, 300 + 80 * np.sin(i * 7 % 240 / 25)) for i in range(9000)]
+    got = components(spark, [(x, y, x + 3.0, y + 3.0) for x, y in spots])
     assert len(got) == 1
     x0, y0, x1, y1 = got[0]
-    assert x1 - x0 > 170 and y1 - y0 > 120
+    assert x1 - x0 > 230 and y1 - y0 > 150
 
 
 def test_components_match_flood_fill(spark):
@@ -67,15 +68,15 @@ def table(spark, name, rows):
 
 
 def page_with_figure(spark):
-    pages = table(spark, "doc_page", [(1, 0, 0.0, 0.0, 595.0, 842.0, 100), (1, 1, 0.0, 0.0, 595.0, 842.0, 10)])
+    pages = table(spark, "doc_page", [(1, 0, 0.0, 0.0, 612.0, 792.0, 60), (1, 1, 0.0, 0.0, 612.0, 792.0, 10)])
     text = table(spark, "text_line", [
-        (1, 0, 0, "Figure 1: A complete figure", 150.0, 385.0, 400.0, 397.0), (1, 1, 0, "no caption", 50.0, 50.0, 90.0, 62.0)])
+        (1, 0, 0, "Fig. 7: Flow", 120.0, 300.0, 380.0, 312.0), (1, 1, 0, "plain text", 50.0, 50.0, 90.0, 62.0)])
     drawing = table(spark, "drawing", [
-        (1, 0, 0, 70.0, 90.0, 525.0, 355.0, [5]), (1, 0, 1, 90.0, 115.0, 500.0, 320.0, [3]), (1, 0, 2, 70.0, 520.0, 525.0, 520.0, [3])])
+        (1, 0, 0, 80.0, 60.0, 500.0, 280.0, [4]), (1, 0, 1, 100.0, 80.0, 450.0, 250.0, [6]), (1, 0, 2, 80.0, 600.0, 500.0, 600.0, [2])])
     images = table(spark, "image_placement", [
-        (1, 0, 0, 11, 12, 100, 80, 170.0, 145.0, 425.0, 285.0), (1, 1, 0, 13, 0, 50, 40, 10.0, 10.0, 60.0, 60.0)])
-    streams = table(spark, "page_stream", [(1, 0, 20, "contents"), (1, 0, 21, "form"), (1, 0, 21, "form")])
-    sizes = table(spark, "stream_size", [(1, 11, 1000), (1, 12, 50), (1, 13, 70), (1, 20, 300), (1, 21, 500)])
+        (1, 0, 0, 31, 32, 90, 70, 150.0, 100.0, 400.0, 240.0), (1, 1, 0, 33, 0, 24, 16, 10.0, 10.0, 60.0, 60.0)])
+    streams = table(spark, "page_stream", [(1, 0, 40, "contents"), (1, 0, 41, "form"), (1, 0, 41, "form")])
+    sizes = table(spark, "stream_size", [(1, 31, 900), (1, 32, 40), (1, 33, 60), (1, 40, 350), (1, 41, 250)])
     return text, drawing, images, pages, streams, sizes
 
 
@@ -85,15 +86,16 @@ def test_figure_detection_and_catalog(spark):
     rows = found.collect()
     assert len(rows) == 1
     fig = rows[0]
-    assert (fig.label, fig.x0, fig.y0, fig.x1, fig.y1) == ("Figure 1", 67.0, 87.0, 528.0, 358.0)
-    # 800 content bytes, weights 48 and 24 inside of 48 + 24 + 24 + 100 text characters.
-    assert fig.storage_bytes == round(800 * 72 / 196) + 1050
+    assert (fig.label, fig.x0, fig.y0, fig.x1, fig.y1) == ("Fig. 7", 77.0, 57.0, 503.0, 283.0)
+    # 600 content bytes; two of three paths lie inside, next to 60 text characters.
+    weight = {r.draw_no: r.w for r in drawing.select("draw_no", scalars.path_weight(F.col("item_arity")).alias("w")).collect()}
+    assert fig.storage_bytes == round(600 * (weight[0] + weight[1]) / (sum(weight.values()) + 60)) + 940
     assets = flows.list_assets(found, images, sizes).orderBy("catalog_pos").collect()
     assert [(a.key, a.storage_bytes, a.storage_is_estimate) for a in assets] == [
-        ("figure:0:1", fig.storage_bytes, True), ("image:13", 70, False)]
+        ("figure:0:1", fig.storage_bytes, True), ("image:33", 60, False)]
     out = flows.export_graphics(flows.list_assets(found, images, sizes), images).orderBy("index").collect()
     assert [(o.stem, o.preservation_mode) for o in out] == [
-        ("0001_page_1_figure_Figure_1", "mixed-vector-raster-preserved"), ("0002_page_2_image_50x40", "original-raster-preserved")]
+        ("0001_page_1_figure_Fig._7", "mixed-vector-raster-preserved"), ("0002_page_2_image_24x16", "original-raster-preserved")]
 
 
 def test_panels_merge_until_nothing_fits(spark):
@@ -109,6 +111,42 @@ def test_panels_merge_until_nothing_fits(spark):
     assert figures.nearest_component(df).head().component_no == 0
 
 
+def test_panel_growth_against_one_caption_at_a_time():
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(1, 9, 60)
+    corner = rng.uniform(0, 500, (int(sizes.sum()), 2))
+    parts = np.concatenate([corner, corner + rng.uniform(18, 120, corner.shape)], axis=1)
+    number = np.repeat(np.arange(60), sizes)
+    got = figures._grow(parts, number)
+    for c in range(60):
+        mine = parts[number == c]
+        assert (got[c] == figures._grow(mine, np.zeros(len(mine), np.int64))[0]).all()
+        inside = (mine[:, :2] >= got[c, :2]).all(axis=1) & (mine[:, 2:] <= got[c, 2:]).all(axis=1)
+        lowest = mine[mine[:, 3] == mine[:, 3].max()]
+        assert inside.any() and (lowest[0, 3] <= got[c, 3])
+        # What stayed outside is neither beside the result nor stacked on it.
+        for p in mine[~inside]:
+            shared = np.minimum(p[2:], got[c, 2:]) - np.maximum(p[:2], got[c, :2])
+            short = np.maximum(1, np.minimum(p[2:] - p[:2], got[c, 2:] - got[c, :2]))
+            beside = shared[1] / short[1] >= 0.45 and -shared[0] <= 42
+            assert not (beside or (shared[0] / short[0] >= 0.45 and -shared[1] <= 50))
+
+
+def test_far_coordinates_still_meet(spark):
+    caption = spark.createDataFrame(
+        [(1, 0, 1, 25_000.0, 22_000.0, "full", 0.0, 0.0, 600.0, 30_000.0), (1, 1, 1, 15_000.0, 12_000.0, "full", 0.0, 0.0, 600.0, 30_000.0)],
+        "doc_id long, page_no int, caption_no long, y0 double, lower_limit double, lane string, px0 double, py0 double, px1 double, py1 double")
+    boxes = spark.createDataFrame(
+        [(1, 0, 0, 1, 100.0, 24_000.0, 300.0, 24_990.0), (1, 1, 0, 1, 100.0, 14_000.0, 300.0, 14_990.0)],
+        "doc_id long, page_no int, src int, box_no long, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(r.page_no for r in figures.caption_candidates(caption, boxes).collect()) == [0, 1]
+    region = spark.createDataFrame([(1, 0, 7, 0.0, 0.0, 1e12, 1e12)], "doc_id long, page_no int, r int, x0 double, y0 double, x1 double, y1 double")
+    far = spark.createDataFrame([(1, 0, 1, 1e11, 1e11, 2e11, 2e11)], "doc_id long, page_no int, n int, x0 double, y0 double, x1 double, y1 double")
+    assert figures.boxes_inside(far, region).count() == 1
+    images = spark.createDataFrame([(1, 0, 5.0, 5.0, 9.0, 1e12)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
+    assert figures.regions_with_raster(region, images).count() == 1
+
+
 def test_centre_on_the_edge(spark):
     region = spark.createDataFrame([(1, 0, 7, 10.0, 10.0, 20.0, 20.0)], "doc_id long, page_no int, r int, x0 double, y0 double, x1 double, y1 double")
     boxes = spark.createDataFrame(
@@ -138,12 +176,24 @@ def test_identical_pages_are_perfect(spark):
     assert quality.dark_regression(pairs).head().dark_regression is False
 
 
+def test_pages_of_different_size_have_no_score(spark):
+    schema = "doc_id long, page_no int, pixels array<int>, width int"
+    ref = spark.createDataFrame([(1, 0, [0] * 16, 4), (1, 1, [9] * 16, 4), (2, 0, [5] * 8, 4)], schema)
+    cand = spark.createDataFrame([(1, 0, [255] * 9, 3), (1, 1, [9] * 16, 4), (2, 0, [5] * 8, 2)], schema)
+    pairs = quality.pair_pages(ref, cand)
+    for r in quality.fidelity(pairs).collect():
+        assert (r.mse, r.psnr_db, r.size_mismatch) == (None, None, 1)
+    assert {(r.edge_similarity, r.size_mismatch) for r in quality.edge_similarity(pairs).collect()} == {(None, 1)}
+    assert {(r.max_dark_increase, r.dark_regression, r.size_mismatch) for r in quality.dark_regression(pairs).collect()} == {(None, None, 1)}
+
+
 def test_text_survives_new_line_breaks(spark, monkeypatch):
     monkeypatch.setattr(quality, "BLOCK", 7)
     schema = "doc_id long, page_no int, line_no int, text string"
     ref = spark.createDataFrame([(1, 0, 0, "the quick brown"), (1, 1, 0, "fox jumps over"), (2, 0, 0, "abcdefghij"), (3, 0, 0, "same")], schema)
     cand = spark.createDataFrame([(1, 0, 0, "the quick"), (1, 0, 1, " brown fox"), (1, 1, 0, "jumps  over"), (2, 0, 0, "abcdefghiX"), (3, 0, 0, "same"), (3, 1, 0, " ")], schema)
-    got = {r.doc_id: r for r in quality.text_preservation(ref, cand).collect()}
+    empty_page = spark.createDataFrame([(2, 7, 0, "")], schema)
+    got = {r.doc_id: r for r in quality.text_preservation(ref, cand, ref.union(empty_page), cand.union(empty_page)).collect()}
     assert [got[i].text_exact for i in (1, 2, 3)] == [True, False, True]
     assert [got[i].page_count_preserved for i in (1, 2, 3)] == [True, True, False]
     assert got[1].length_ratio == 1.0
