@@ -246,9 +246,10 @@ def _label_stack(rows: pa.Table, number: np.ndarray, key: list[str]) -> pa.Table
     np.add.at(grid, (number[~is_box], col["y"][~is_box], col["x"][~is_box]), col["step"][~is_box].astype(np.int32))
     regions = _connected(grid.cumsum(axis=1, dtype=np.int32).cumsum(axis=2, dtype=np.int32) > 0)
     region = regions[number[is_box], col["y"][is_box], col["x"][is_box]]
-    # Boxes in the order they were first seen; components are numbered by their first box.
+    # Boxes in the order they were first seen, equal numbers by the place of their centre;
+    # components are numbered by their first box.
     at = np.flatnonzero(is_box)[region > 0]
-    order = np.lexsort((col["seen"][at], number[at]))
+    order = np.lexsort((col["x"][at], col["y"][at], col["seen"][at], number[at]))
     at, region = at[order], region[region > 0][order]
     _, first, member = np.unique(region, return_index=True, return_inverse=True)
     sorting = np.argsort(first)

@@ -46,7 +46,8 @@ def _(t: Tables):
     )
 
 
-@query("c2_caption_candidates", """
+CANDIDATES = """
+candidates AS (
     SELECT doc_id, page_no, caption_no, src, box_no, cx0 AS x0, cy0 AS y0, cx1 AS x1, cy1 AS y1 FROM (
       SELECT a.doc_id, a.page_no, caption_no, src, box_no, a.y0 AS top, lower_limit + 2 AS lim,
              CASE WHEN lane = 'right' THEN (px0 + px1) / 2 - 8 ELSE px0 END AS lx0, CASE WHEN lane = 'left' THEN (px0 + px1) / 2 + 8 ELSE px1 END AS lx1,
@@ -56,8 +57,57 @@ def _(t: Tables):
         UNION ALL SELECT doc_id, page_no, 1, placement_no, x0, y0, x1, y1 FROM image_placement) b
       ON a.doc_id = b.doc_id AND a.page_no = b.page_no)
     WHERE cy0 >= lim - 2 AND cy1 <= top + 2 AND cy1 > lim AND cx1 > cx0 AND cy1 >= cy0
-      AND greatest(0, least(cx1, lx1) - greatest(cx0, lx0)) >= least(4, greatest(0.1::DOUBLE, (cx1 - cx0) * 0.2::DOUBLE))""",
-    (*ANCHORED_VIEWS, "drawing", "image_placement"), ANCHORED)
+      AND greatest(0, least(cx1, lx1) - greatest(cx0, lx0)) >= least(4, greatest(0.1::DOUBLE, (cx1 - cx0) * 0.2::DOUBLE)))"""
+CANDIDATE_VIEWS = (*ANCHORED_VIEWS, "drawing", "image_placement")
+
+# Two boxes touch if their blocks of grid cells overlap or share a cell edge; components are counted
+# in the order of their first boxes.
+COMPONENTS = ANCHORED + "," + CANDIDATES + """,
+extent AS (SELECT doc_id, page_no, caption_no, min(x0) - 6 AS ox, min(y0) - 6 AS oy FROM candidates GROUP BY ALL),
+block AS MATERIALIZED (
+  SELECT c.*, src::BIGINT * 4611686018427387904 + box_no AS seen, row_number() OVER () AS id,
+         floor(floor((x0 + x1) / 2 - ox) / 4) AS mx, floor(floor((y0 + y1) / 2 - oy) / 4) AS my,
+         CAST(floor((x0 - 6 - ox) / 4) AS INT) AS a, CAST(floor((y0 - 6 - oy) / 4) AS INT) AS b,
+         CAST(floor((x1 + 6 - ox) / 4) AS INT) AS c, CAST(floor((y1 + 6 - oy) / 4) AS INT) AS d
+  FROM candidates c JOIN extent USING (doc_id, page_no, caption_no)),
+touching AS (
+  SELECT p.doc_id, p.page_no, p.caption_no, p.id, q.id AS other FROM block p JOIN block q
+  ON p.doc_id = q.doc_id AND p.page_no = q.page_no AND p.caption_no = q.caption_no
+  AND (p.a <= q.c AND q.a <= p.c AND p.b <= q.d + 1 AND q.b <= p.d + 1 OR p.b <= q.d AND q.b <= p.d AND p.a <= q.c + 1 AND q.a <= p.c + 1)),
+reach AS (
+  SELECT doc_id, page_no, caption_no, id, id AS root FROM block
+  UNION
+  SELECT r.doc_id, r.page_no, r.caption_no, t.other, r.root FROM reach r JOIN touching t
+  ON r.doc_id = t.doc_id AND r.page_no = t.page_no AND r.caption_no = t.caption_no AND r.id = t.id),
+rooted AS (SELECT doc_id, page_no, caption_no, id, min(root) AS root FROM reach GROUP BY ALL),
+components AS (
+  SELECT doc_id, page_no, caption_no, row_number() OVER (PARTITION BY doc_id, page_no, caption_no ORDER BY first_box) AS component_no, x0, y0, x1, y1
+  FROM (SELECT doc_id, page_no, caption_no, root, min((seen, my, mx)) AS first_box, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+        FROM block JOIN rooted USING (doc_id, page_no, caption_no, id) GROUP BY ALL)),
+parts AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, caption_no ORDER BY component_no) AS i, count(*) OVER (PARTITION BY doc_id, page_no, caption_no) AS n
+  FROM components WHERE x1 - x0 >= 18 AND y1 - y0 >= 10),
+nearest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, caption_no ORDER BY y1 DESC, greatest(0, (x1 - x0) * (y1 - y0)) DESC, component_no) = 1),
+grow AS (
+  SELECT doc_id, page_no, caption_no, n, x0, y0, x1, y1, [i] AS joined, 1::BIGINT AS i, false AS grew FROM nearest
+  UNION ALL
+  SELECT doc_id, page_no, caption_no, n, CASE WHEN ok THEN least(x0, u0) ELSE x0 END, CASE WHEN ok THEN least(y0, v0) ELSE y0 END,
+         CASE WHEN ok THEN greatest(x1, u1) ELSE x1 END, CASE WHEN ok THEN greatest(y1, v1) ELSE y1 END,
+         CASE WHEN ok THEN list_append(joined, i) ELSE joined END,
+         CASE WHEN i < n THEN i + 1 WHEN grew OR ok THEN 1 ELSE n + 1 END, i < n AND (grew OR ok)
+  FROM (SELECT g.*, p.x0 AS u0, p.y0 AS v0, p.x1 AS u1, p.y1 AS v1, NOT list_contains(joined, g.i) AND (
+          (least(g.y1, p.y1) - greatest(g.y0, p.y0)) / greatest(1, least(g.y1 - g.y0, p.y1 - p.y0)) >= 0.45::DOUBLE AND greatest(g.x0, p.x0) - least(g.x1, p.x1) <= 42
+          OR (least(g.x1, p.x1) - greatest(g.x0, p.x0)) / greatest(1, least(g.x1 - g.x0, p.x1 - p.x0)) >= 0.45::DOUBLE AND greatest(g.y0, p.y0) - least(g.y1, p.y1) <= 50) AS ok
+        FROM grow g JOIN parts p ON g.doc_id = p.doc_id AND g.page_no = p.page_no AND g.caption_no = p.caption_no AND g.i = p.i)),
+page_region AS (
+  SELECT * FROM (
+    SELECT doc_id, page_no, caption_no AS region_no, label, greatest(px0, g.x0 - 3) AS x0, greatest(py0, g.y0 - 3) AS y0,
+           least(px1, g.x1 + 3) AS x1, least(a.y0 - 1, g.y1 + 3) AS y1
+    FROM grow g JOIN anchored a USING (doc_id, page_no, caption_no) WHERE g.i = g.n + 1)
+  WHERE x1 - x0 >= 18 AND y1 - y0 >= 10)"""
+
+
+@query("c2_caption_candidates", "SELECT * FROM candidates", CANDIDATE_VIEWS, ANCHORED + "," + CANDIDATES)
 def _(t: Tables):
     found = flows.anchored_captions(t("text_line"), t("doc_page"))
     return figures.caption_candidates(found, figures.graphics(t("drawing"), t("image_placement")))
@@ -69,45 +119,22 @@ def _parts(t: Tables):
     return found, figures.graphic_components(figures.caption_candidates(found, boxes))
 
 
-@query("i1_graphic_components")
+@query("i1_graphic_components", "SELECT doc_id, page_no, caption_no, component_no::INT AS component_no, x0, y0, x1, y1 FROM components", CANDIDATE_VIEWS, COMPONENTS)
 def _(t: Tables):
     return _parts(t)[1]
 
 
-@query("e6_nearest_component")
+@query("e6_nearest_component", "SELECT doc_id, page_no, caption_no, component_no::INT AS component_no, x0, y0, x1, y1 FROM nearest", CANDIDATE_VIEWS, COMPONENTS)
 def _(t: Tables):
     return figures.nearest_component(_parts(t)[1])
 
 
-@query("i2_merge_panels")
+@query("i2_merge_panels", "SELECT doc_id, page_no, region_no AS caption_no, label, x0, y0, x1, y1 FROM page_region", CANDIDATE_VIEWS, COMPONENTS)
 def _(t: Tables):
     found, parts = _parts(t)
     return figures.merge_panels(parts, found)
 
 
-def _figures(t: Tables):
-    return flows.detect_figures(*(t(n) for n in GEOMETRY))
-
-
-@query("i3_detect_figures")
-def _(t: Tables):
-    return _figures(t).select(
-        "doc_id", "page_no", "caption_no", "label", *rects.SIDES, "storage_bytes", "storage_is_estimate"
-    )
-
-
-@query("list_assets")
-def _(t: Tables):
-    assets = flows.list_assets(_figures(t), t("image_placement"), t("stream_size"))
-    return assets.select("doc_id", "catalog_pos", "key", "kind", "storage_bytes", "storage_is_estimate")
-
-
-@query("export_graphics")
-def _(t: Tables):
-    assets = flows.list_assets(_figures(t), t("image_placement"), t("stream_size"))
-    return flows.export_graphics(assets, t("image_placement")).select("doc_id", "key", "stem", "preservation_mode")
-
-
 def _regions(t: Tables):
     """Given regions in the role of detected figures."""
     return t("page_region").withColumnRenamed("region_no", "caption_no")
@@ -158,8 +185,8 @@ image_part AS (SELECT i.doc_id, i.page_no, region_no, sum(bytes) AS bytes FROM i
 vector_part AS (SELECT g.doc_id, g.page_no, region_no, sum(weight) AS w FROM page_region g JOIN weighted b
   ON g.doc_id = b.doc_id AND g.page_no = b.page_no AND {INSIDE} GROUP BY ALL),
 figure_size AS (
-  SELECT g.*, CAST(round_even(content_bytes::DOUBLE * coalesce(w, 0) / greatest(1, total), 0) AS BIGINT) + coalesce(i.bytes, 0) AS storage_bytes
-  FROM page_region g JOIN contents USING (doc_id, page_no) JOIN totals USING (doc_id, page_no)
+  SELECT g.*, CAST(round_even(coalesce(content_bytes, 0)::DOUBLE * coalesce(w, 0) / greatest(1, total), 0) AS BIGINT) + coalesce(i.bytes, 0) AS storage_bytes
+  FROM page_region g LEFT JOIN contents USING (doc_id, page_no) JOIN totals USING (doc_id, page_no)
   LEFT JOIN vector_part USING (doc_id, page_no, region_no) LEFT JOIN image_part i USING (doc_id, page_no, region_no))"""
 STORAGE_VIEWS = ("page_region", "drawing", "page_stream", "stream_size", "doc_page", "image_placement")
 
@@ -245,6 +272,52 @@ def _(t: Tables):
     return catalog.catalog_order(_assets(t)).select("doc_id", "key", "catalog_pos")
 
 
+def _figures(t: Tables):
+    return flows.detect_figures(*(t(n) for n in GEOMETRY))
+
+
+@query("i3_detect_figures", """
+    SELECT doc_id, page_no, region_no AS caption_no, label, x0, y0, x1, y1, CAST(storage_bytes AS BIGINT) AS storage_bytes, true AS storage_is_estimate FROM figure_size""",
+    GEOMETRY, COMPONENTS + "," + STORAGE)
+def _(t: Tables):
+    return _figures(t).select(
+        "doc_id", "page_no", "caption_no", "label", *rects.SIDES, "storage_bytes", "storage_is_estimate"
+    )
+
+
+DETECTED = COMPONENTS + "," + CATALOG + """,
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_page, kind, key) AS catalog_pos FROM assets)"""
+
+
+@query("list_assets", """
+    SELECT doc_id, catalog_pos, key, kind, CAST(storage_bytes AS BIGINT) AS storage_bytes, kind = 'figure' AS storage_is_estimate FROM ordered""",
+    GEOMETRY, DETECTED)
+def _(t: Tables):
+    assets = flows.list_assets(_figures(t), t("image_placement"), t("stream_size"))
+    return assets.select("doc_id", "catalog_pos", "key", "kind", "storage_bytes", "storage_is_estimate")
+
+
+@query("export_graphics", """
+    WITH spots AS (SELECT DISTINCT doc_id, xref, page_no + 1 AS p FROM image_placement WHERE xref > 0),
+    islands AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, xref ORDER BY p) AS island FROM spots),
+    pieces AS (SELECT doc_id, xref, min(p) AS low, CASE WHEN min(p) = max(p) THEN min(p)::VARCHAR ELSE min(p) || '-' || max(p) END AS piece FROM islands GROUP BY doc_id, xref, island),
+    pages AS (SELECT doc_id, concat('image:', xref) AS key, string_agg(piece, '_' ORDER BY low) AS pages FROM pieces GROUP BY doc_id, xref),
+    dims AS (SELECT doc_id, concat('image:', xref) AS key, width, height FROM images),
+    named AS (SELECT doc_id, page_no, concat('figure:', page_no, ':', region_no) AS key, label, x0, y0, x1, y1 FROM page_region)
+    SELECT o.doc_id, o.key,
+           CASE WHEN kind = 'figure' THEN printf('%04d_page_%d_figure_', o.catalog_pos, n.page_no + 1) || regexp_replace(label, '\\s+', '_', 'g')
+                ELSE printf('%04d_page_', o.catalog_pos) || pages || '_image' || CASE WHEN d.width <> 0 AND d.height <> 0 THEN '_' || d.width || 'x' || d.height ELSE '' END END AS stem,
+           CASE WHEN kind = 'image' THEN 'original-raster-preserved'
+                WHEN EXISTS (SELECT 1 FROM image_placement i WHERE i.doc_id = n.doc_id AND i.page_no = n.page_no
+                             AND least(n.x1, i.x1) > greatest(n.x0, i.x0) AND least(n.y1, i.y1) > greatest(n.y0, i.y0))
+                THEN 'mixed-vector-raster-preserved' ELSE 'native-vector-preserved' END AS preservation_mode
+    FROM ordered o LEFT JOIN named n ON n.doc_id = o.doc_id AND n.key = o.key LEFT JOIN pages p ON p.doc_id = o.doc_id AND p.key = o.key
+    LEFT JOIN dims d ON d.doc_id = o.doc_id AND d.key = o.key""", GEOMETRY, DETECTED)
+def _(t: Tables):
+    assets = flows.list_assets(_figures(t), t("image_placement"), t("stream_size"))
+    return flows.export_graphics(assets, t("image_placement")).select("doc_id", "key", "stem", "preservation_mode")
+
+
 @query("d6_selection_summary", """
     SELECT a.doc_id, count(s.key) AS selected, count(*) AS total, count(s.key) FILTER (kind = 'figure') AS figures,
            count(s.key) FILTER (kind = 'image') AS images, coalesce(sum(storage_bytes) FILTER (s.key IS NOT NULL), 0) AS bytes

@@ -24,14 +24,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+WITH = "WITH RECURSIVE "
+
+
 def with_views(sql: str, views: tuple[str, ...], extra: str = "") -> str:
     """Put the projections (and further common tables) in front of a statement."""
     heads = [h for h in (fixtures.sql_views(*views), extra.strip().rstrip(",")) if h]
     body = sql.strip()
     if body.upper().startswith("WITH "):
         heads.append(body[5:])
-        return "WITH " + ",\n".join(heads)
-    return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + body
+        return WITH + ",\n".join(heads)
+    return (WITH + ",\n".join(heads) + "\n" if heads else "") + body
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), extra: str = ""):
