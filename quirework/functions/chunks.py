@@ -50,12 +50,11 @@ def last_before(expr: Column) -> Scan:
 
 
 def spread(df: DataFrame, key: list[str]) -> DataFrame:
-    """Shuffle by ``key`` into the session's number of shuffle partitions, kept as they are.
+    """Shuffle by ``key``; adaptive execution sizes the partitions from the data.
 
-    For work that is heavy per byte: adaptive execution would merge small partitions, but
-    leaves an explicit number alone. A following grouping by ``key`` reuses the shuffle.
+    A following grouping by ``key`` reuses the shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return df.repartition(*key)
 
 
 def by_width(c: Column, width: int = CHUNK_WIDTH) -> Column:

@@ -152,6 +152,49 @@ def _(t: Tables):
     return flows.plan_compression(variants(t), t("target"), t("budget"))
 
 
+def _stage_sql(stage: str, source: str) -> str:
+    """One planning stage over the assets of ``source``, by the same rules as a whole document."""
+    return f"""
+stage_{stage} AS (
+  WITH asset AS (SELECT * FROM {source}),
+  budget AS (SELECT t.doc_id, target_bytes, original_bytes AS size_bytes, stream_bytes
+             FROM target t JOIN (SELECT doc_id, sum(storage_bytes) AS stream_bytes FROM asset GROUP BY doc_id) USING (doc_id)),
+  {UPGRADED}
+  SELECT doc_id, '{stage}' AS stage, min(score) AS score, any_value(size_bytes) - any_value(stream_bytes) + sum(payload_bytes) AS size_bytes,
+         count(*) FILTER (kind = 'image') AS images, count(*) FILTER (kind = 'figure') AS figures
+  FROM chosen2 JOIN variant USING (doc_id, key, level) JOIN budget USING (doc_id) GROUP BY doc_id)"""
+
+
+COMPRESS = """
+picked AS (SELECT a.* FROM asset a SEMI JOIN selection s ON a.doc_id = s.doc_id AND a.key = s.key),
+hope AS (SELECT doc_id, sum(bytes) AS removable, bool_or(xref <= 0) AS unknown FROM (SELECT DISTINCT doc_id, xref FROM picked)
+         JOIN (SELECT doc_id, xref, max(storage_bytes) AS bytes FROM asset GROUP BY ALL) USING (doc_id, xref) GROUP BY doc_id),
+planned AS (SELECT doc_id FROM target JOIN hope USING (doc_id)
+            WHERE original_bytes > target_bytes AND lossless_bytes > target_bytes AND (unknown OR lossless_bytes - removable <= target_bytes)),
+open_assets AS (SELECT p.* FROM picked p SEMI JOIN planned USING (doc_id)),
+open_images AS (SELECT * FROM open_assets WHERE kind = 'image'),""" + _stage_sql("images", "open_images") + """,
+open_rest AS (SELECT * FROM open_assets WHERE doc_id NOT IN (SELECT doc_id FROM stage_images JOIN target USING (doc_id) WHERE size_bytes <= target_bytes)),""" + _stage_sql(
+    "combined", "open_rest") + """,
+verdict AS (
+  SELECT t.doc_id, original_bytes, lossless_bytes, i.size_bytes AS i_size, i.size_bytes <= target_bytes AS i_ok, c.size_bytes AS c_size, c.size_bytes <= target_bytes AS c_ok,
+         i.images AS i_images, c.images AS c_images, c.figures AS c_figures, h.doc_id IS NOT NULL AS content,
+         CASE WHEN original_bytes <= target_bytes THEN 'copied' WHEN lossless_bytes <= target_bytes THEN 'lossless'
+              WHEN h.doc_id IS NULL THEN 'no_content' WHEN i_ok THEN 'images'
+              WHEN c_ok AND c.images > 0 AND c.figures > 0 THEN 'images_vectors' WHEN c_ok AND c.figures > 0 THEN 'vectors' WHEN c_ok THEN 'images'
+              ELSE 'infeasible' END AS method
+  FROM target t LEFT JOIN hope h USING (doc_id) LEFT JOIN stage_images i USING (doc_id) LEFT JOIN stage_combined c USING (doc_id))"""
+
+
+@query("compress_flow", """
+    SELECT doc_id, method, CAST(CASE method WHEN 'copied' THEN original_bytes WHEN 'lossless' THEN lossless_bytes WHEN 'no_content' THEN NULL
+             WHEN 'infeasible' THEN least(i_size, c_size) ELSE CASE WHEN i_ok THEN i_size ELSE c_size END END AS BIGINT) AS result_bytes,
+           CAST(CASE WHEN i_ok THEN i_images WHEN c_ok THEN c_images ELSE 0 END AS INT) AS images,
+           CAST(CASE WHEN i_ok THEN 0 WHEN c_ok THEN c_figures ELSE 0 END AS INT) AS figures FROM verdict""",
+    ("asset", "selection", "target"), COMPRESS)
+def _(t: Tables):
+    return flows.compress(t("asset"), variants(t), t("selection"), t("target"))
+
+
 @query("d20_might_reach_target", """
     WITH o AS (SELECT doc_id, xref FROM image_placement WHERE xref > 0 UNION SELECT doc_id, smask FROM image_placement WHERE smask > 0 AND xref > 0),
     r AS (SELECT o.doc_id, sum(bytes) AS b, bool_or(bytes IS NULL) AS unknown FROM o LEFT JOIN stream_size s ON o.doc_id = s.doc_id AND o.xref = s.xref GROUP BY o.doc_id)

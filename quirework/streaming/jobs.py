@@ -73,11 +73,15 @@ def first_terminal(job_event: DataFrame) -> DataFrame:
     )
 
 
-def terminal_state_stream(job_event: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 600_000) -> DataFrame:
+def terminal_state_stream(
+    job_event: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 600_000, retain_ms: int = 7 * 86_400_000
+) -> DataFrame:
     """One terminal state per job; a job silent for ``timeout_ms`` of event time fails,
     or counts as cancelled when a cancel was requested.
 
-    State per job is four values. The watermark decides when silence is certain.
+    State per job is four values. The watermark decides when silence is certain. A settled job is
+    remembered for ``retain_ms`` of event time after its last message, so that later messages
+    change nothing; one that comes later still would open the job anew.
     """
 
     def settle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,18 +93,26 @@ def terminal_state_stream(job_event: DataFrame, watermark: str = "10 minutes", t
                 return
             verdict = ("cancelled" if asked else "failed", last)
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-            for ts, kind in zip(rows["ts"], rows["kind"]):
-                last = max(last, int(ts.value // 1000))
-                if done or verdict:
-                    continue
-                if kind == "cancel_requested":
-                    asked = 1
-                elif kind in TERMINAL:
-                    verdict = ("cancelled" if asked and kind == "completed" else kind, int(ts.value // 1000))
-        # A settled job is remembered until it has been silent, so later messages change nothing.
-        state.update((asked, last, int(bool(done or verdict))))
-        state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            end, ask = None, None
+            for rows in batches:
+                micros = rows["ts"].astype("datetime64[us]").astype("int64")
+                last = max(last, int(micros.max()))
+                for kinds, name in ((TERMINAL, "end"), (("cancel_requested",), "ask")):
+                    mine = rows.assign(us=micros)[rows["kind"].isin(kinds)].nsmallest(1, ["us", "seq"])
+                    if len(mine):
+                        first = (int(mine["us"].iloc[0]), int(mine["seq"].iloc[0]), mine["kind"].iloc[0])
+                        if name == "end":
+                            end = first if end is None else min(end, first)
+                        else:
+                            ask = first if ask is None else min(ask, first)
+            if end is not None and not done:
+                before = asked or (ask is not None and ask[:2] < end[:2])
+                verdict = ("cancelled" if before and end[2] == "completed" else end[2], end[0])
+            asked = int(bool(asked or ask is not None))
+        settled = bool(done or verdict)
+        state.update((asked, last, int(settled)))
+        wait = retain_ms if settled else timeout_ms
+        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
         if verdict:
             yield pd.DataFrame({"job_id": [key[0]], "state": [verdict[0]], "ended_at": [pd.Timestamp(verdict[1], unit="us")]})
 
