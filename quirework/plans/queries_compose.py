@@ -166,10 +166,32 @@ def _(t: Tables):
 
 
 @query("i6_validate_tree", """
-    SELECT plan_id, count(*) AS nodes, count(page_index) AS pages, max(CASE WHEN uid LIKE 'o%' THEN 3 WHEN uid LIKE 'c%' THEN 2 WHEN uid LIKE 'n%' THEN 1 ELSE 0 END) AS depth,
-           CASE WHEN count(page_index) > 2900 THEN 'too_many_pages' ELSE '' END AS reason FROM plan_node GROUP BY plan_id""", ("plan_node",))
-def _(t: Tables):
-    return tree.validate_tree(t("plan_node"), max_pages=2900)
+    SELECT plan_id, count(*) + CASE plan_id WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 14 ELSE 0 END AS nodes,
+           count(page_index) + CASE plan_id WHEN 1 THEN 1 ELSE 0 END AS pages,
+           CASE plan_id WHEN 4 THEN 14 ELSE max(CASE WHEN uid LIKE 'o%' THEN 3 WHEN uid LIKE 'c%' THEN 2 WHEN uid LIKE 'n%' THEN 1 ELSE 0 END) END AS depth,
+           CASE plan_id WHEN 1 THEN 'duplicate_uid' WHEN 2 THEN 'page_with_children' WHEN 3 THEN 'cycle_or_orphan' WHEN 4 THEN 'too_deep'
+                ELSE CASE WHEN count(page_index) > 200 THEN 'too_many_pages' ELSE '' END END AS reason FROM plan_node GROUP BY plan_id""", ("plan_node",))
+def _(t: Tables):
+    nodes = t("plan_node")
+    rest = ("parent_uid", "ord", "title", "source", "page_index")
+    leaf = nodes.where("page_index IS NOT NULL").groupBy("plan_id").agg(F.min(F.struct("uid", *rest)).alias("n")).select("plan_id", "n.*")
+
+    def group(of, uid, parent):
+        return of.select("plan_id", uid.alias("uid"), parent.alias("parent_uid"), *(nodes_of(c) for c in rest[1:]))
+
+    def nodes_of(column):
+        return F.lit(None).cast(nodes.schema[column].dataType).alias(column)
+
+    # Each plan breaks another rule: a repeated page, a group below a page, a cycle, a long chain.
+    nested = group(leaf.where("plan_id = 2"), F.lit("below"), F.col("uid"))
+    circle = leaf.where("plan_id = 3").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    circle = group(circle, F.concat(F.lit("turn"), F.col("i")), F.concat(F.lit("turn"), 1 - F.col("i")))
+    chain = nodes.where("plan_id = 4 AND parent_uid IS NULL").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(14))))
+    chain = group(chain, F.concat(F.lit("deep"), F.col("i")), F.when(F.col("i") == 1, F.col("uid")).otherwise(F.concat(F.lit("deep"), F.col("i") - 1)))
+    broken = nodes
+    for more in (leaf.where("plan_id = 1"), nested, circle, chain):
+        broken = broken.unionByName(more)
+    return tree.validate_tree(broken, max_pages=200)
 
 
 @query("i7_top_selected", "SELECT * FROM top", TREE, PICKED)
