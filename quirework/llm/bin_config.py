@@ -3,7 +3,8 @@
 A configuration says how many pieces of each length share one sequence. The fractional optimum over
 all configurations is found by multiplicative weights: every length has a price, a knapsack by
 dynamic programming finds the dearest configuration, and the prices of the lengths that it covers
-fall. The plan is rounded down to whole sequences and the few pieces left over are packed best-fit.
+fall. The plan is rounded down to whole sequences, and the few pieces left over are packed best-fit or by
+exact subset sums, whichever takes fewer.
 The plan is made from the histogram of lengths alone, whose size is the capacity. Spark counts that
 histogram, ranks the pieces of each length, and joins the ranks with the plan.
 """
@@ -24,6 +25,11 @@ from quirework.session import fresh_dir
 CAPACITY = 1024
 END = 2
 ROUNDS = 90
+# Share of a sequence that may stay empty when a length of its configuration has run out.
+WASTE = 0.05
+# Pieces that may be left over for the last fit, and turns until then at most.
+FEW = 20_000
+TURNS = 16
 STEP = 0.03
 # How far below the dearest configuration another may lie and still be used.
 NEAR = 0.02
@@ -167,6 +173,36 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def fullest_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """The longest piece left, then those that fill its sequence best, longest first.
+
+    The sums that the other pieces can reach are the bits of one number, so a sequence takes one
+    shift per piece tried, and stops as soon as its room can be filled exactly.
+    """
+    left = np.bincount(lengths, minlength=capacity + 1)
+    bins: list[list[int]] = []
+    while left.any():
+        longest = int(np.flatnonzero(left)[-1])
+        left[longest] -= 1
+        room, mask = capacity - longest, (1 << (capacity - longest + 1)) - 1
+        tried, reached = [], [1]
+        for size in np.flatnonzero(left[: room + 1])[::-1].tolist():
+            for _ in range(min(int(left[size]), room // size)):
+                tried.append(size)
+                reached.append((reached[-1] | reached[-1] << size) & mask)
+            if reached[-1] >> room:
+                break
+        total, chosen = reached[-1].bit_length() - 1, [longest]
+        for i in range(len(tried) - 1, -1, -1):
+            if not reached[i] >> total & 1:
+                chosen.append(tried[i])
+                total -= tried[i]
+        for size in chosen[1:]:
+            left[size] -= 1
+        bins.append(sorted(chosen, reverse=True))
+    return bins
+
+
 def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple], int, float]:
     """Rows (length, from rank, to rank, first sequence, offset), the number of sequences, a lower bound.
 
@@ -191,22 +227,33 @@ def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple], int,
     full = int(left[capacity])
     if full:
         place([capacity], full)
-    solution, lower = solve(left, rounds)
-    bound = lower + full
-    # Running sums are rounded, configuration by configuration in order of their lengths, so that
-    # like configurations make up for each other; never beyond what is left.
-    due = 0.0
-    for config in sorted(solution, reverse=True):
-        due += solution[config]
-        inside, need = np.unique(config, return_counts=True)
-        whole = min(int(due), int((left[inside] // need).min()))
-        if whole:
-            place(list(config), whole)
-            due -= whole
-        due = min(due, 1.0)
+    bound, waste = 0.0, WASTE
+    for turn in range(TURNS):
+        solution, lower = solve(left, rounds)
+        bound = bound or lower + full
+        before, due = sequences, 0.0
+        # Running sums are rounded, in order of the lengths, so that like configurations make up for
+        # each other; never beyond what is left. The first turn takes those without waste alone.
+        for config in sorted((c for c in solution if turn or sum(c) == capacity), reverse=True):
+            due, least = due + solution[config], (1 - waste) * sum(config)
+            # Without the lengths that have run out, as long as little room is wasted by that.
+            while due >= 1 and config and sum(config) >= least:
+                inside, need = np.unique(config, return_counts=True)
+                whole = min(int(due), int((left[inside] // need).min()))
+                if whole:
+                    place(list(config), whole)
+                    due -= whole
+                gone = set(inside[left[inside] < need].tolist())
+                config = tuple(x for x in config if x not in gone)
+            due = min(due, 1.0)
+        # What is left over is solved again until it is few pieces, whatever the corpus.
+        if left.sum() <= FEW or (turn and sequences == before and waste == 1):
+            break
+        # Where hardly anything fitted any more, room is given up.
+        waste = 1 if turn and sequences - before < left.sum() / 10 / capacity else WASTE
     # What rounding left.
     rest = [int(k) for k in np.flatnonzero(left) for _ in range(int(left[k]))]
-    for config in best_fit(rest, capacity):
+    for config in min(best_fit(rest, capacity), fullest_fit(rest, capacity), key=len):
         place(config, 1)
     return rows, sequences, bound
 
