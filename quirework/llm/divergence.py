@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence.
 
-Each language found in the corpus gets two reference histograms, counted over all its documents:
-classes of characters, and words that are common in it. A document is compared with every reference
-by the Jensen-Shannon distance (base 2, 0 to 1). It is kept if one language is close enough in both,
-where a histogram counts only from a minimum length on.
+Each language with enough text in the corpus gets two reference histograms, counted over all its
+documents: classes of characters, and words that are common in it. A document is compared with every
+reference by the Jensen-Shannon distance (base 2, 0 to 1). It is kept if one language is close enough
+in both, where a histogram counts only from a minimum length on. A document that is labelled with a
+language without a reference is not judged by the others: for it the base rule alone decides.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ class Rules:
     class_least: int = 200  # characters from which the class histogram counts
     word_least: int = 45  # words from which the word histogram counts
     common: float = 0.004  # share of a language's words from which a word is common
-    language_share: float = 0.01  # share of all words from which a language has a reference
+    least_reference: int = 20_000  # characters of its own from which a language has a reference
 
 
 def _common_words(data, starts, ends):
@@ -91,11 +92,12 @@ def reference_counts(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per language: class shares, buckets of the common words, their shares.
 
-    At most ``1 / language_share`` languages with ``1 / common`` words each come to the driver.
+    At most ``1 / common`` words of each language come to the driver. Characters are counted, not
+    words, so that languages written without blanks get their reference as early as others.
     """
     counts = reference_counts(docs).withColumn("is_word", F.col("feature") >= len(CLASSES))
-    totals = counts.groupBy("key").agg(F.sum(F.when(F.col("is_word"), F.col("n"))).alias("w"))
-    large = totals.join(totals.agg(F.sum("w").alias("of_all"))).where(F.col("w") >= rules.language_share * F.col("of_all"))
+    totals = counts.groupBy("key").agg(F.sum(F.when(F.col("is_word"), F.col("n")).otherwise(0)).alias("w"), F.sum(F.when(~F.col("is_word"), F.col("n")).otherwise(0)).alias("chars"))
+    large = totals.where(F.col("chars") >= rules.least_reference).select("key", "w")
     rows = (
         counts.join(large, "key")
         .where(~F.col("is_word") | (F.col("n") >= rules.common * F.col("w")))
@@ -172,11 +174,13 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), rules: Rules
     """``row`` (the carried columns), base figures, verdict, nearest language and its distances.
 
     Null and empty texts have no words and fail the base rule. Ties between languages go to the
-    first by name. Equal rows give equal results. Without any reference only the base rule decides.
-    A distance is null where its minimum length is not met.
+    first by name. Equal rows give equal results. Without any reference only the base rule decides,
+    and so it does where the label ``lang`` of a document names a language that has none; rows without
+    a label are held against all. A distance is null where its minimum length is not met.
     """
     refs = references(docs, rules) if refs is None else refs
     names = list(refs)
+    labelled = ["lang"] if "lang" in docs.columns else []
 
     def run(columns):
         slots = []
@@ -184,6 +188,8 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), rules: Rules
             lut = np.full(1 << BUCKET_BITS, len(refs[name][1]), dtype=np.int64)
             lut[refs[name][1]] = np.arange(len(refs[name][1]))
             slots.append(lut)
+        labels = columns["lang"].to_pylist() if labelled else [None] * len(columns["text"])
+        foreign = np.array([label is not None and label not in refs for label in labels], dtype=bool)
         for low, high, data, bounds in W.blocks(columns["text"]):
             n = high - low
             n_words, chars, symbols, dups, repeats, starts, ends, firsts = measure(data, bounds)
@@ -209,7 +215,7 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), rules: Rules
                 better = worse < best
                 best, chosen = np.where(better, worse, best), np.where(better, i, chosen)
                 near = np.where(better, np.stack([d_class, d_word]), near)
-            kept = ~failed & (best <= 1) if names else ~failed
+            kept = ~failed & ((best <= 1) | foreign[low:high]) if names else ~failed
             rows = np.flatnonzero(kept) if kept_only else np.arange(n)
             none = chosen < 0
             yield pa.array(rows + low), [
@@ -221,7 +227,7 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), rules: Rules
                 pa.array(near[1][rows], mask=(none | ~long_word)[rows]),
             ]
 
-    return map_rows(docs, run, RESULT, list(carried), ["text"])
+    return map_rows(docs, run, RESULT, list(carried), ["text", *labelled])
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

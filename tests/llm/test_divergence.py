@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 from quirework.llm import divergence as D
-from llm_data import odd_rows, prose
+from llm_data import SCHEMA, odd_rows, prose
 
 
 def base(text):
@@ -62,3 +62,16 @@ def test_without_references_only_the_base_rule_decides(odd):
     for r in D.judge(frame).collect():
         assert r["kept"] == (not r["base_failed"]) and r["language"] is None
     assert len(odd_rows()) == frame.count()
+
+
+def test_small_languages_are_not_judged_by_others(spark):
+    english = [(i, prose(i, 3000), "en", "s", 0) for i in range(700)]
+    # A two-hundredth of all text, with and without enough of its own for a reference.
+    french = [(1000 + i, prose(i, 250, "fr"), "fr", "s", 0) for i in range(40)]
+    for rows, known in ((french, True), (french[:3], False)):
+        docs = spark.createDataFrame(english + rows, SCHEMA)
+        assert ("fr" in D.references(docs)) == known
+        judged = D.judge(docs.where("lang = 'fr'"), refs=D.references(docs)).collect()
+        assert len(judged) == len(rows) and all(r["kept"] != r["base_failed"] for r in judged)
+        assert sum(r["kept"] for r in judged) >= len(rows) - 1
+        assert not known or {r["language"] for r in judged} == {"fr"}
