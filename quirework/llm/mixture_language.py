@@ -28,9 +28,9 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Setting:
-    """``least_share``: of all training trigrams, from which a language is learned; so 1000 at most."""
+    """``least_trigrams``: a language's own training trigrams, from which it is learned."""
 
-    least_share: float = 0.001
+    least_trigrams: int = 5_000
     smoothing: float = 0.5
     iterations: int = 12
     # What a further language costs, in units of log(words).
@@ -73,8 +73,21 @@ def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass(frozen=True)
 class Languages:
+    """Per language only the buckets that occur, their log-likelihoods, and that of all others."""
+
     names: tuple[str, ...]
-    log_likelihood: np.ndarray  # languages x buckets
+    buckets: tuple[np.ndarray, ...]
+    values: tuple[np.ndarray, ...]
+    others: tuple[np.float32, ...]
+
+    def word_logs(self, bucket: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Log-likelihoods (words x languages); one language's table is spread out at a time."""
+        out = np.empty((len(head), len(self.names)), dtype=np.float32)
+        for i in range(len(self.names)):
+            table = np.full(1 << BUCKET_BITS, self.others[i], dtype=np.float32)
+            table[self.buckets[i]] = self.values[i]
+            out[:, i] = np.add.reduceat(table[bucket], head)
+        return out
 
 
 def learn(labelled: DataFrame, setting: Setting = Setting()) -> Languages:
@@ -100,19 +113,23 @@ def learn(labelled: DataFrame, setting: Setting = Setting()) -> Languages:
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     counts = known.mapInArrow(count, SCHEMA).groupBy("key", "feature").agg(F.sum("n").alias("n")).checkpoint()
     sizes = counts.groupBy("key").agg(F.sum("n").alias("size"))
-    large = sizes.join(sizes.agg(F.sum("size").alias("of_all"))).where(F.col("size") >= setting.least_share * F.col("of_all"))
-    # At most 1 / least_share languages of 2 ** BUCKET_BITS numbers each.
+    large = sizes.where(F.col("size") >= setting.least_trigrams)
+    # A language has 2 ** BUCKET_BITS counts at most, and only those that occur are held.
     table = counts.join(large.select("key"), "key", "left_semi").toArrow()
     keys, features, n = table.column(0).combine_chunks().dictionary_encode(), table.column(1).to_numpy(), table.column(2).to_numpy()
     names = keys.dictionary.to_pylist()
+    of = keys.indices.to_numpy(zero_copy_only=False)
+    by_language = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[by_language], np.arange(len(names) + 1))
     order = sorted(range(len(names)), key=names.__getitem__)
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(len(names))
-    matrix = np.zeros((len(names), 1 << BUCKET_BITS))
-    if len(names):
-        matrix[place[keys.indices.to_numpy()], features] = n
-    matrix += setting.smoothing
-    return Languages(tuple(names[i] for i in order), np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32))
+    buckets, values, others = [], [], []
+    for i in order:
+        mine = by_language[edge[i] : edge[i + 1]]
+        total = n[mine].sum() + setting.smoothing * (1 << BUCKET_BITS)
+        buckets.append(features[mine].astype(np.uint16))
+        values.append(np.log((n[mine] + setting.smoothing) / total).astype(np.float32))
+        others.append(np.float32(np.log(setting.smoothing / total)))
+    return Languages(tuple(names[i] for i in order), tuple(buckets), tuple(values), tuple(others))
 
 
 def _mixture(like: np.ndarray, firsts: np.ndarray, share: np.ndarray, row: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,16 +194,17 @@ def identify(docs: DataFrame, languages: Languages, carried: tuple[str, ...] = (
     language was learned. ``known_only`` leaves out ``und`` and scores below ``least``.
     """
     names = languages.names
+    # Words times languages stay within bounds, however many languages there are.
+    limit = W.BLOCK * 16 // max(16, len(names))
 
     def run(columns):
-        for low, high, data, bounds in W.blocks(columns["text"]):
+        for low, high, data, bounds in W.blocks(columns["text"], limit):
             n = high - low
             bucket, head, firsts = trigrams(data, bounds)
             share = np.zeros((n, max(1, len(names))))
             filled = np.flatnonzero(np.diff(firsts))
             if len(names) and len(filled):
-                logs = np.stack([np.add.reduceat(table[bucket], head) for table in languages.log_likelihood], axis=1)
-                share[filled] = infer(logs, firsts[:-1][filled], setting)
+                share[filled] = infer(languages.word_logs(bucket, head), firsts[:-1][filled], setting)
             best = share.argmax(axis=1)
             value = np.clip(share[np.arange(n), best], 0, 1)
             label = [names[b] if v > 0 else UNKNOWN for b, v in zip(best, value)]

@@ -130,3 +130,14 @@ def test_languages_of_odd_rows(odd, empty, clashing, corpus):
     assert {r["lang_pred"] for r in M.identify(odd, M.learn(empty)).collect()} == {"und"}
     assert M.identify(empty, languages).count() == 0
     assert M.keep(clashing, languages, 0.4).columns == clashing.columns
+
+
+def test_a_language_with_little_of_the_text_is_learned(spark):
+    rows = [(i, prose(i, 20_000), "en", "s", 0) for i in range(180)]
+    rows += [(1000 + i, prose(i, 330, "fr"), "fr", "s", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sum(len(r[1]) for r in rows if r[2] == "fr") < 0.0006 * sum(len(r[1]) for r in rows)
+    languages = M.learn(docs)
+    assert languages.names == ("en", "fr")
+    held = spark.createDataFrame([(i, prose(2000 + i, 120, "fr"), "fr", "s", 0) for i in range(20)], SCHEMA)
+    assert {r["lang_pred"] for r in M.identify(held, languages).collect()} == {"fr"}
