@@ -3,8 +3,8 @@
 Both public tokenizers cut a text before they merge: a boundary always lies where white space
 follows other characters, and between an ASCII or Latin-1 letter and ASCII punctuation (apostrophes
 aside, which may belong to a contraction). A text's ids are therefore its pieces' ids in a row. Each
-worker encodes a distinct piece once and remembers it. A text with white space beyond ASCII, or
-with control characters, is one piece, so it is encoded as a whole.
+worker encodes a distinct piece once and remembers it. A text with white space beyond ASCII, with
+control characters, or with the string of a special token is one piece, so it is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -46,8 +46,19 @@ def _whole(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return W.per_row(odd, bounds) > 0
 
 
-def cut(data: np.ndarray, bounds: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the pieces, first piece of each row. ``spaces``: white space is kept, before what follows it."""
+def _holding(data: np.ndarray, bounds: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Rows in which one of the strings may stand."""
+    raw, found = data.tobytes(), []
+    for string in strings:
+        at = raw.find(string)
+        while at >= 0:
+            found.append(at)
+            at = raw.find(string, at + 1)
+    return W.per_row(np.sort(np.array(found, dtype=np.int64)), bounds) > 0
+
+
+def cut(data: np.ndarray, bounds: np.ndarray, spaces: bool, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces, first piece of each row. ``spaces``: white space is kept, before what follows it; ``whole``: rows that are one piece."""
     space, letter = W.SPACE[data], _LETTER[data]
     lead = data == 0xC3
     if lead.any():
@@ -61,7 +72,6 @@ def cut(data: np.ndarray, bounds: np.ndarray, spaces: bool) -> tuple[np.ndarray,
     start[1:-1] = (space[1:] & ~space[:-1]) | (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
     if not spaces:
         start[1:-1] |= ~space[1:] & space[:-1]
-    whole = _whole(data, bounds)
     for r in np.flatnonzero(whole):
         start[bounds[r] : bounds[r + 1]] = False
     start[bounds] = True
@@ -88,8 +98,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The strings of special tokens are ordinary text here.
-        self.tokenizer.encode_special_tokens = True
+        # The library finds these in the text before anything else, so no cut may come between.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces, self.lower, self.offsets = spaces, lower, offsets
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
@@ -116,9 +126,13 @@ class Encoder:
 
     def encode(self, data: np.ndarray, bounds: np.ndarray):
         """Ids of all rows, the first id of each row, and with offsets the ids' spans in characters of the row."""
+        whole = _whole(data, bounds) | _holding(data, bounds, self.special)
         if self.lower:
-            data = W.LOWER[data]
-        starts, ends, piece_first = cut(data, bounds, self.spaces)
+            # Special tokens are matched as written, so texts that are one piece keep their case.
+            given, data = data, W.LOWER[data]
+            for r in np.flatnonzero(whole):
+                data[bounds[r] : bounds[r + 1]] = given[bounds[r] : bounds[r + 1]]
+        starts, ends, piece_first = cut(data, bounds, self.spaces, whole)
         h = W.hashes(data, starts, ends)
         keys, example, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)

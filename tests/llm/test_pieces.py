@@ -31,3 +31,19 @@ def test_odd_texts_and_a_full_memory(monkeypatch):
     texts = [r[1] for r in odd_rows() if len(r[1] or "") < 250_000]
     for spaces, lower, name in ((True, False, "byte_bpe_50k.json"), (False, True, "word_bpe_49k.json")):
         check(pieces.Encoder(pieces.vocabulary(name), spaces, lower), texts)
+
+
+def test_special_tokens_are_found_as_the_library_finds_them():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>A<|ENDOFTEXT|> <|endoftext|>", "x <|EndOfText|>", "<|endof", "text|> plain", "a\u2003<|ENDOFTEXT|> B"]
+    for make, name in ((pieces.byte_bpe, "byte_bpe_50k.json"), (pieces.word_bpe, "word_bpe_49k.json")):
+        library = Tokenizer.from_file(pieces.vocabulary(name))
+        for _, _, data, bounds in W.blocks(pa.array(texts)):
+            ids, firsts, spans = make(offsets=True).encode(data, bounds)
+            for r, text in enumerate(texts):
+                want = library.encode(text, add_special_tokens=False)
+                assert ids[firsts[r] : firsts[r + 1]].tolist() == want.ids
+                assert [tuple(s) for s in spans[firsts[r] : firsts[r + 1]].tolist()] == want.offsets
+    encode = library.encode("a <|endoftext|> b", add_special_tokens=False)
+    assert encode.ids == [320, 49407, 321]
