@@ -91,15 +91,19 @@ def expand(low: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts by one tokenizer file of the ``tokenizers`` library."""
+    """Ids of whole texts by one tokenizer file of the ``tokenizers`` library.
 
-    def __init__(self, path: str, spaces: bool, lower: bool, offsets: bool = False):
+    ``special``: the strings of special tokens are found in texts; else they are plain text.
+    """
+
+    def __init__(self, path: str, spaces: bool, lower: bool, offsets: bool = False, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         # The library finds these in the text before anything else, so no cut may come between.
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.spaces, self.lower, self.offsets = spaces, lower, offsets
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
@@ -109,30 +113,37 @@ class Encoder:
         self.firsts = np.zeros(1, np.int64)
         self.ids, self.spans = np.zeros(0, self.dtype), np.zeros((0, 2), np.int32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _tokenize(self, texts: list[str]) -> tuple[list[list[int]], list]:
+        """Ids of each text, and spans of each token where they are kept."""
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
         got = encode(texts, add_special_tokens=False)
-        ids = [e.ids for e in got]
+        return [e.ids for e in got], [span for e in got for span in e.offsets] if self.offsets else []
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray):
+        """The bytes to encode, and starts, ends and first of the pieces."""
+        whole = _whole(data, bounds) | _holding(data, bounds, self.special)
+        if self.lower:
+            # Special tokens are matched as written, so texts that are one piece keep their case.
+            given, data = data, W.LOWER[data]
+            for r in np.flatnonzero(whole):
+                data[bounds[r] : bounds[r + 1]] = given[bounds[r] : bounds[r + 1]]
+        return data, *cut(data, bounds, self.spaces, whole)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        ids, spans = self._tokenize(texts)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for one in ids for i in one), self.dtype, int(counts.sum()))
         slots = len(self.firsts) - 1 + np.arange(len(keys))
         self.firsts = np.concatenate([self.firsts, self.firsts[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, flat])
         if self.offsets:
-            spans = np.array([span for e in got for span in e.offsets], dtype=np.int32).reshape(-1, 2)
-            self.spans = np.concatenate([self.spans, spans])
+            self.spans = np.concatenate([self.spans, np.array(spans, dtype=np.int32).reshape(-1, 2)])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray):
         """Ids of all rows, the first id of each row, and with offsets the ids' spans in characters of the row."""
-        whole = _whole(data, bounds) | _holding(data, bounds, self.special)
-        if self.lower:
-            # Special tokens are matched as written, so texts that are one piece keep their case.
-            given, data = data, W.LOWER[data]
-            for r in np.flatnonzero(whole):
-                data[bounds[r] : bounds[r + 1]] = given[bounds[r] : bounds[r + 1]]
-        starts, ends, piece_first = cut(data, bounds, self.spaces, whole)
+        data, starts, ends, piece_first = self._cut(data, bounds)
         h = W.hashes(data, starts, ends)
         keys, example, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
@@ -161,6 +172,40 @@ class Encoder:
         return ids, firsts, self.spans[place] + np.repeat(begin, many)[:, None]
 
 
+class PieceEncoder(Encoder):
+    """Ids of whole texts by one ``sentencepiece`` model that puts a space before the text.
+
+    Rows hold that space already. No entry of such a model has a space after another character, so no
+    merge crosses the place where a space follows one, and a text's ids are those of its pieces.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        size = self.model.get_piece_size()
+        entries = [self.model.id_to_piece(i) for i in range(size)]
+        self.cuts = not any("\u2581" in e.lstrip("\u2581") for e in entries)
+        self.space = self.model.piece_to_id("\u2581")
+        self.offsets = False
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        self._forget()
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray):
+        start = np.zeros(len(data) + 1, dtype=bool)
+        if self.cuts:
+            space = data == 0x20
+            start[1:-1] = space[1:] & ~space[:-1]
+        start[bounds] = True
+        starts = np.flatnonzero(start[:-1])
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        return data, starts, ends, np.searchsorted(starts, bounds)
+
+    def _tokenize(self, texts: list[str]) -> tuple[list[list[int]], list]:
+        got = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return [ids if t != " " else [self.space] for ids, t in zip(got, texts)], []
+
+
 @lru_cache(maxsize=4)
 def _encoder(path: str, spaces: bool, lower: bool, offsets: bool) -> Encoder:
     return Encoder(path, spaces, lower, offsets)
@@ -176,6 +221,18 @@ def word_bpe(path: str | None = None, offsets: bool = False) -> Encoder:
     return _encoder(path or vocabulary("word_bpe_49k.json"), False, True, offsets)
 
 
+@lru_cache(maxsize=4)
+def plain_byte_bpe(path: str | None = None) -> Encoder:
+    """This worker's byte-level encoder to which special tokens' strings are plain text."""
+    return Encoder(path or vocabulary("byte_bpe_50k.json"), True, False, special=False)
+
+
+@lru_cache(maxsize=4)
+def piece_bpe(path: str | None = None) -> PieceEncoder:
+    """This worker's encoder for the model with space-marked pieces."""
+    return PieceEncoder(path or vocabulary("piece_bpe_32k.model"))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 

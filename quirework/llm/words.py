@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 import xxhash
 
 BLOCK = 2 << 20
-# Segments longer than this are hashed one by one; shorter ones all at once.
-LONG_SEGMENT = 1 << 16
+# Longer segments are hashed one by one with XXH64, shorter ones all at once. A polynomial modulo a power
+# of two has fixed collisions among texts of a thousand letters and more, whatever its base.
+LONG_SEGMENT = 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
