@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ WHITE = 255
 # -------------------------------------------------------------------------------
 
 BLOCK = 4096  # characters per compared piece of text
+CELL = 256  # pixels along a side of the squares in which pages are compared
+MOST_BYTES = 8 << 20  # pixels handed on at once
 
 
 def pair_pages(reference: DataFrame, candidate: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -43,28 +47,193 @@ def page_counts(pairs: DataFrame) -> DataFrame:
     ).withColumn("page_count_preserved", F.col("reference_pages") == F.col("candidate_pages"))
 
 
-def _squared_error(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("long"))
-    return F.aggregate(squares, F.lit(0).cast("long"), lambda total, s: total + s)
+PAGE_TILE = "doc_id", "page_no", "page_width", "page_height", "x0", "y0", "width", "pixels"
 
 
-def _pooled(page_pairs: DataFrame, error: Column) -> DataFrame:
-    """Summed error and pixels per document, and the matched pages whose two sides differ in size."""
-    same = F.col("ref_width").eqNullSafe(F.col("cand_width")) & (F.size("ref_pixels") == F.size("cand_pixels"))
-    return page_pairs.where("matched").groupBy("doc_id").agg(
-        F.sum(F.when(same, error)).alias("_error"), F.sum(F.when(same, F.size("ref_pixels"))).alias("_pixels"),
-        F.count_if(~same).alias("size_mismatch"),
+def whole_pages(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_no, width, pixels) as page tiles: one tile that is the page."""
+    height = F.ceil(F.size("pixels") / F.col("width")).cast("int")
+    nothing = F.lit(0)
+    return pages.select(
+        "doc_id", "page_no", F.col("width").cast("int").alias("page_width"), height.alias("page_height"),
+        nothing.alias("x0"), nothing.alias("y0"), F.col("width").cast("int").alias("width"), "pixels",
     )
 
 
+def cut_pages(tiles: DataFrame, wide: int, high: int) -> DataFrame:
+    """Every tile cut into tiles of at most ``wide`` by ``high`` pixels."""
+    rows = F.ceil(F.size("pixels") / F.col("width")).cast("int")
+    corner = tiles.withColumn("_h", rows).withColumn(
+        "_x", F.explode(F.expr(f"sequence(0, greatest(width - 1, 0), {wide})"))
+    ).withColumn("_y", F.explode(F.expr(f"sequence(0, greatest(_h - 1, 0), {high})")))
+    line = F.expr(
+        f"flatten(transform(sequence(_y, greatest(least(_y + {high}, _h) - 1, _y)), "
+        f"y -> slice(pixels, y * width + _x + 1, least({wide}, width - _x))))"
+    )
+    return corner.select(
+        "doc_id", "page_no", "page_width", "page_height", (F.col("x0") + F.col("_x")).alias("x0"),
+        (F.col("y0") + F.col("_y")).alias("y0"), F.expr(f"least({wide}, width - _x)").alias("width"), line.alias("pixels"),
+    )
+
+
+_PART = "side int, page_width int, page_height int, x int, y int, width int, pixels binary"
+
+
+def _parts(cell: int):
+    """Cut tiles along the grid of cells; each part reaches one pixel into the neighbours of its cell."""
+
+    def parts_of(doc, page, side, wide, high, x0, y0, width, pixels):
+        values = np.asarray(pixels if pixels is not None else [], dtype=np.int64)
+        sound = width > 0 and len(values) > 0 and len(values) % width == 0 and values.min() >= 0 and values.max() <= WHITE
+        inside = sound and x0 >= 0 and y0 >= 0 and x0 + width <= wide and y0 + len(values) // width <= high
+        if not inside:
+            yield doc, page, 0, 0, side, wide, high, x0, y0, 0, b""
+            return
+        tile = values.astype(np.uint8).reshape(-1, width)
+        x1, y1 = x0 + width, y0 + len(tile)
+        for cy in range(max(0, y0 - 1) // cell, min(max(high - 1, 0), y1) // cell + 1):
+            for cx in range(max(0, x0 - 1) // cell, min(max(wide - 1, 0), x1) // cell + 1):
+                a, b = max(x0, cx * cell - 1), min(x1, (cx + 1) * cell + 1)
+                c, d = max(y0, cy * cell - 1), min(y1, (cy + 1) * cell + 1)
+                if a < b and c < d:
+                    yield doc, page, cx, cy, side, wide, high, a, c, b - a, tile[c - y0 : d - y0, a - x0 : b - x0].tobytes()
+
+    names = ["doc_id", "page_no", "cx", "cy", "side", "page_width", "page_height", "x", "y", "width", "pixels"]
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            plain = [batch.column(k).to_pylist() for k in range(8)]
+            pixels = batch.column(8)
+            for i, row in enumerate(zip(*plain)):
+                for part in parts_of(*row, pixels[i].values):
+                    held.append(part)
+                    size += len(part[-1])
+                    if size > MOST_BYTES:
+                        yield _columns(held, names, batch.schema)
+                        held, size = [], 0
+            if held:
+                yield _columns(held, names, batch.schema)
+
+    return run
+
+
+def _columns(rows, names, schema):
+    kinds = [schema.field(0).type, schema.field(1).type, *[pa.int32()] * 8, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def _edges(page: np.ndarray) -> np.ndarray:
+    """3 x 3 edge filter from separable sums; pixels on the border stay as they are."""
+    out = page.copy()
+    if min(page.shape) > 2:
+        tall = page[:-2] + page[1:-1] + page[2:]
+        box = tall[:, :-2] + tall[:, 1:-1] + tall[:, 2:]
+        out[1:-1, 1:-1] = np.clip(9 * page[1:-1, 1:-1] - box, 0, WHITE)
+    return out
+
+
+def _cell_of(parts, cell: int, cx: int, cy: int):
+    """(page size, pixels of the cell, their edges) from one side's parts; no pixels where a place has none or several."""
+    sizes = {(p["page_width"], p["page_height"]) for p in parts}
+    wide, high = min(sizes)
+    if len(sizes) > 1:
+        return (wide, high), None, None
+    a, b = max(0, cx * cell - 1), min(wide, (cx + 1) * cell + 1)
+    c, d = max(0, cy * cell - 1), min(high, (cy + 1) * cell + 1)
+    if b <= a or d <= c:
+        return (wide, high), None, None
+    block, seen = np.zeros((d - c, b - a), dtype=np.int64), np.zeros((d - c, b - a), dtype=np.int64)
+    for x, y, width, pixels in {(p["x"], p["y"], p["width"], p["pixels"]) for p in parts}:
+        if not width or x + width > b or y + len(pixels) // width > d:
+            return (wide, high), None, None
+        place = slice(y - c, y - c + len(pixels) // width), slice(x - a, x - a + width)
+        block[place] = np.frombuffer(pixels, np.uint8).reshape(-1, width)
+        seen[place] += 1
+    if (seen != 1).any():
+        return (wide, high), None, None
+    core = slice(cy * cell - c, min(high, (cy + 1) * cell) - c), slice(cx * cell - a, min(wide, (cx + 1) * cell) - a)
+    return (wide, high), block[core], _edges(block)[core]
+
+
+_CELL = ("in_reference", "in_candidate", "same", "needed", "pixels", "error", "edge_error", "reference_dark", "candidate_dark")
+
+
+def _measured(cell: int):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                doc, page, cx, cy = (batch.column(k)[i].as_py() for k in range(4))
+                parts = batch.column(4)[i].as_py()
+                sides = [[p for p in parts if p["side"] == k] for k in (0, 1)]
+                # The page's own cells are counted by the reference.
+                if not all(sides):
+                    rows.append((doc, page, bool(sides[0]), bool(sides[1]), False, 0, 0, 0, 0, 0, 0))
+                    continue
+                (size, a, edges_a), (other, b, edges_b) = (_cell_of(side, cell, cx, cy) for side in sides)
+                needed = -(-size[0] // cell) * -(-size[1] // cell)
+                if a is None or b is None or size != other:
+                    rows.append((doc, page, True, True, False, needed, 0, 0, 0, 0, 0))
+                    continue
+                sums = [int(((p - q) ** 2).sum()) for p, q in ((a, b), (edges_a, edges_b))]
+                rows.append((doc, page, True, True, True, needed, a.size, *sums, int((a < DARK_BELOW).sum()), int((b < DARK_BELOW).sum())))
+            kinds = [batch.schema.field(0).type, batch.schema.field(1).type, *[pa.bool_()] * 3, *[pa.int64()] * 6]
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "page_no", *_CELL])
+
+    return run
+
+
+def page_sums(reference: DataFrame, candidate: DataFrame, cell: int = CELL) -> DataFrame:
+    """Squared errors and dark pixels of every page, from page tiles of any size on either side.
+
+    Tiles are doc_id, page_no, page_width, page_height, x0, y0, width and the row-major grey ``pixels``;
+    those of a page cover it without overlapping. Both sides are cut along one grid of cells, each part
+    with the pixels next to its cell, and meet there, so no row, task or group holds more than a cell
+    and its tile. ``matched``: both sides have the page. ``same``: both have the same size and cover it;
+    sums of other pages mean nothing. Equal tiles count once; a missing, broken or overlapping tile
+    leaves the page without ``same``.
+    """
+    def side(tiles, number):
+        number = F.lit(number).alias("side")
+        return tiles.select("doc_id", "page_no", number, *(F.col(c).cast("int").alias(c) for c in PAGE_TILE[2:7]), F.col("pixels").cast("array<int>").alias("pixels"))
+
+    both = side(reference, 0).unionByName(side(candidate, 1))
+    key = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("doc_id", "page_no"))
+    parts = both.mapInArrow(_parts(cell), f"{key}, cx int, cy int, {_PART}")
+    part = F.struct(*(piece.split()[0] for piece in _PART.split(", ")))
+    cells = parts.groupBy("doc_id", "page_no", "cx", "cy").agg(F.collect_list(part).alias("parts"))
+    flags, numbers = ", ".join(f"{c} boolean" for c in _CELL[:3]), ", ".join(f"{c} long" for c in _CELL[3:])
+    measured = cells.mapInArrow(_measured(cell), f"{key}, {flags}, {numbers}")
+    return measured.groupBy("doc_id", "page_no").agg(
+        (F.max("in_reference") & F.max("in_candidate")).alias("matched"),
+        (F.min("same") & (F.count(F.lit(1)) == F.max("needed"))).alias("same"),
+        *(F.sum(c).alias(c) for c in _CELL[4:]),
+    )
+
+
+def _sides(page_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    matched = page_pairs.where("matched")
+    return tuple(
+        whole_pages(matched.select("doc_id", "page_no", F.col(f"{side}_width").alias("width"), F.col(f"{side}_pixels").alias("pixels")))
+        for side in ("ref", "cand")
+    )
+
+
+def _pooled(sums: DataFrame, *columns: Column) -> DataFrame:
+    """Aggregates over the matched pages of a document, and the pages whose two sides differ in size."""
+    return sums.where("matched").groupBy("doc_id").agg(*columns, F.count_if(~F.col("same")).alias("size_mismatch"))
+
+
 def _scored(value: Column) -> Column:
     """No score for a document with a page that would have to be resampled first."""
     return F.when(F.col("size_mismatch") == 0, value)
 
 
-def fidelity(page_pairs: DataFrame) -> DataFrame:
+def fidelity_of_sums(sums: DataFrame) -> DataFrame:
     """Squared error pooled over all pixels of a document, PSNR (3 dp), and ``size_mismatch``."""
-    pooled = _pooled(page_pairs, _squared_error(F.col("ref_pixels"), F.col("cand_pixels")))
+    pooled = _pooled(sums, F.sum("error").alias("_error"), F.sum("pixels").alias("_pixels"))
     mse = _scored(F.col("_error") / F.greatest(F.lit(1), F.col("_pixels")))
     psnr = F.when(F.col("mse") == 0, PERFECT_PSNR).otherwise(
         F.lit(20.0) * F.log10(F.lit(float(WHITE)) / F.sqrt(F.nullif("mse", F.lit(0.0))))
@@ -72,44 +241,38 @@ def fidelity(page_pairs: DataFrame) -> DataFrame:
     return pooled.withColumn("mse", mse).select("doc_id", "mse", F.round(psnr, 3).alias("psnr_db"), "size_mismatch")
 
 
-def edges(pixels: Column, width: Column) -> Column:
-    """3 x 3 edge filter of a row-major page; pixels on the image border stay as they are."""
-    height = F.size(pixels) / width
-
-    def filtered(value: Column, i: Column) -> Column:
-        x, y = i % width, F.floor(i / width)
-        inner = (x > 0) & (x < width - 1) & (y > 0) & (y < height - 1)
-        box = F.lit(0)
-        for row in (i - width, i, i + width):
-            for step in (-1, 0, 1):
-                box = box + F.get(pixels, (row + step).cast("int"))
-        return F.when(inner, F.least(F.lit(WHITE), F.greatest(F.lit(0), value * 9 - box))).otherwise(value)
-
-    return F.transform(pixels, filtered)
-
-
-def edge_similarity(page_pairs: DataFrame) -> DataFrame:
+def edge_similarity_of_sums(sums: DataFrame) -> DataFrame:
     """``max(0, 1 - sqrt(edge mse) / 255)`` per document (6 dp)."""
-    error = _squared_error(
-        edges(F.col("ref_pixels"), F.col("ref_width")), edges(F.col("cand_pixels"), F.col("cand_width"))
-    )
-    pooled = _pooled(page_pairs, error)
+    pooled = _pooled(sums, F.sum("edge_error").alias("_error"), F.sum("pixels").alias("_pixels"))
     edge_mse = F.col("_error") / F.greatest(F.lit(1), F.col("_pixels"))
     similarity = F.greatest(F.lit(0.0), F.lit(1.0) - F.sqrt(edge_mse) / WHITE)
     return pooled.select("doc_id", _scored(F.round(similarity, 6)).alias("edge_similarity"), "size_mismatch")
 
 
-def dark_regression(page_pairs: DataFrame, limit: float = DARK_LIMIT) -> DataFrame:
+def dark_regression_of_sums(sums: DataFrame, limit: float = DARK_LIMIT) -> DataFrame:
     """Largest rise of the dark-pixel share of a page, and whether it is a regression."""
-    dark = lambda c: F.size(F.filter(c, lambda v: v < DARK_BELOW))
-    rise = (dark("cand_pixels") - dark("ref_pixels")) / F.greatest(F.lit(1), F.size("ref_pixels"))
-    largest = page_pairs.where("matched").groupBy("doc_id").agg(F.max(rise).alias("_rise"))
-    return largest.join(_pooled(page_pairs, F.lit(0)).select("doc_id", "size_mismatch"), "doc_id").select(
+    rise = (F.col("candidate_dark") - F.col("reference_dark")) / F.greatest(F.lit(1), F.col("pixels"))
+    return _pooled(sums, F.max(rise).alias("_rise")).select(
         "doc_id", _scored(F.round("_rise", 6)).alias("max_dark_increase"),
         _scored(F.col("_rise") > limit).alias("dark_regression"), "size_mismatch",
     )
 
 
+def fidelity(page_pairs: DataFrame) -> DataFrame:
+    """D13 over pages that come whole, as ``pair_pages`` gives them."""
+    return fidelity_of_sums(page_sums(*_sides(page_pairs)))
+
+
+def edge_similarity(page_pairs: DataFrame) -> DataFrame:
+    """D14 over pages that come whole."""
+    return edge_similarity_of_sums(page_sums(*_sides(page_pairs)))
+
+
+def dark_regression(page_pairs: DataFrame, limit: float = DARK_LIMIT) -> DataFrame:
+    """D15 over pages that come whole."""
+    return dark_regression_of_sums(page_sums(*_sides(page_pairs)), limit)
+
+
 def _text_blocks(lines: DataFrame, name: str) -> DataFrame:
     """The normalised text of each document cut into aligned blocks of bounded size.
 

@@ -101,7 +101,7 @@ pixels AS (SELECT doc_id, page_no, i % 8 AS x, i // 8 AS y, a[i + 1] AS a, b[i +
 sizes AS (SELECT doc_id, count(*) FILTER (len(a) <> len(b)) AS size_mismatch FROM pixel_pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id)"""
 
 
-def _pages(t: Tables):
+def _sides(t: Tables):
     pixel = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(128) + x.cast("double") * 256).cast("int"))))
     pages = t("embeddings").select(
         F.floor(F.col("vec_id") / 8).alias("doc_id"), (F.floor(F.col("vec_id") / 2) % 4).alias("page_no"),
@@ -110,7 +110,17 @@ def _pages(t: Tables):
     # Some candidates lost a row of pixels.
     short = (F.col("side") == 1) & (F.col("page_no") == 1) & (F.col("doc_id") % 10 == 3)
     pages = pages.withColumn("pixels", F.when(short, F.slice("pixels", 1, 56)).otherwise(F.col("pixels")))
-    return quality.pair_pages(pages.where("side = 0").drop("side"), pages.where("side = 1").drop("side"))
+    return pages.where("side = 0").drop("side"), pages.where("side = 1").drop("side")
+
+
+def _pages(t: Tables):
+    return quality.pair_pages(*_sides(t))
+
+
+def _tiled(t: Tables):
+    """Both sides come in tiles of their own size and are compared in cells of a third."""
+    reference, candidate = map(quality.whole_pages, _sides(t))
+    return quality.page_sums(quality.cut_pages(reference, 3, 5), quality.cut_pages(candidate, 8, 3), cell=6)
 
 
 @query("c13_pair_pages", """
@@ -125,7 +135,7 @@ def _(t: Tables):
     FROM (SELECT s.doc_id, size_mismatch, CASE WHEN size_mismatch = 0 THEN m END AS mse
           FROM sizes s LEFT JOIN (SELECT doc_id, sum((a - b) * (a - b)) / count(*) AS m FROM pixels GROUP BY doc_id) p USING (doc_id))""", extra=PIXELS)
 def _(t: Tables):
-    return quality.fidelity(_pages(t))
+    return quality.fidelity_of_sums(_tiled(t))
 
 
 @query("d14_edge_similarity", """
@@ -137,7 +147,7 @@ def _(t: Tables):
     r AS (SELECT doc_id, round(greatest(0, 1 - sqrt(sum((a - b) * (a - b)) / count(*)) / 255), 6) AS v FROM e GROUP BY doc_id)
     SELECT doc_id, CASE WHEN size_mismatch = 0 THEN v END AS edge_similarity, size_mismatch FROM sizes LEFT JOIN r USING (doc_id)""", extra=PIXELS)
 def _(t: Tables):
-    return quality.edge_similarity(_pages(t))
+    return quality.edge_similarity_of_sums(_tiled(t))
 
 
 @query("d15_dark_regression", """
@@ -146,7 +156,7 @@ def _(t: Tables):
     SELECT doc_id, CASE WHEN size_mismatch = 0 THEN round(r, 6) END AS max_dark_increase,
            CASE WHEN size_mismatch = 0 THEN r > 0.01::DOUBLE END AS dark_regression, size_mismatch FROM sizes LEFT JOIN m USING (doc_id)""", extra=PIXELS)
 def _(t: Tables):
-    return quality.dark_regression(_pages(t), limit=0.01)
+    return quality.dark_regression_of_sums(_tiled(t), limit=0.01)
 
 
 @query("d16_text_preservation", r"""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import scalars
@@ -155,15 +156,67 @@ def test_centre_on_the_edge(spark):
     assert sorted(r.n for r in figures.boxes_inside(boxes, region).collect()) == [0, 3]
 
 
+def filtered(page):
+    want = page.copy()
+    for y in range(1, page.shape[0] - 1):
+        for x in range(1, page.shape[1] - 1):
+            want[y, x] = np.clip(9 * page[y, x] - page[y - 1:y + 2, x - 1:x + 2].sum(), 0, 255)
+    return want
+
+
+TILE = "doc_id long, page_no int, page_width int, page_height int, x0 int, y0 int, width int, pixels array<int>"
+
+
+def cut(page, wide, high, page_no=0):
+    """The rows of a page in tiles."""
+    height, width = page.shape
+    return [
+        (1, page_no, width, height, x, y, min(wide, width - x), [int(v) for v in page[y:y + high, x:x + wide].ravel()])
+        for y in range(0, height, high) for x in range(0, width, wide)
+    ]
+
+
 def test_edge_filter_against_numpy(spark):
     rng = np.random.default_rng(5)
     page = rng.integers(0, 256, (6, 9))
-    want = page.copy()
-    for y in range(1, 5):
-        for x in range(1, 8):
-            want[y, x] = np.clip(9 * page[y, x] - page[y - 1:y + 2, x - 1:x + 2].sum(), 0, 255)
-    df = spark.createDataFrame([([int(v) for v in page.ravel()], 9)], "p array<int>, w int")
-    assert df.select(quality.edges(F.col("p"), F.col("w"))).head()[0] == want.ravel().tolist()
+    assert (quality._edges(page) == filtered(page)).all()
+    assert (quality._edges(page[:2]) == page[:2]).all() and (quality._edges(page[:, :1]) == page[:, :1]).all()
+
+
+@pytest.mark.parametrize("shape,tiles,cell", [
+    ((6, 9), ((9, 6), (9, 6)), 64), ((6, 9), ((2, 3), (9, 1)), 4), ((13, 7), ((1, 1), (3, 5)), 1), ((1, 11), ((4, 4), (11, 1)), 2),
+    ((40, 33), ((16, 7), (33, 40)), 16), ((17, 2), ((2, 2), (1, 17)), 5), ((8, 8), ((8, 8), (3, 3)), 8),
+])
+def test_any_tiles_give_the_same_sums(spark, shape, tiles, cell):
+    rng = np.random.default_rng(sum(shape))
+    ref, cand = (rng.integers(0, 256, shape) // (1 + 14 * (rng.random(shape) < 0.3)) for _ in range(2))
+    sides = [spark.createDataFrame(cut(p, *t), TILE) for p, t in zip((ref, cand), tiles)]
+    got = quality.page_sums(*sides, cell=cell).collect()
+    assert len(got) == 1 and got[0].matched and got[0].same
+    assert (got[0].pixels, got[0].error) == (ref.size, int(((ref - cand) ** 2).sum()))
+    assert got[0].edge_error == int(((filtered(ref) - filtered(cand)) ** 2).sum())
+    assert (got[0].reference_dark, got[0].candidate_dark) == (int((ref < 18).sum()), int((cand < 18).sum()))
+    again = quality.page_sums(quality.cut_pages(sides[0], 4, 2), sides[1].union(sides[1]), cell=cell).collect()
+    assert again == got
+
+
+def test_pages_that_tiles_do_not_cover(spark):
+    rng = np.random.default_rng(1)
+    page = rng.integers(0, 256, (10, 10))
+    whole = [row for p in range(8) for row in cut(page, 4, 4, p)]
+    odd = {
+        0: cut(page, 4, 4, 0)[1:], 1: cut(page, 4, 4, 1) + [(1, 1, 10, 10, 3, 3, 2, [0] * 4)], 2: [(*r[:3], 11, *r[4:]) for r in cut(page, 4, 4, 2)],
+        3: [(*r[:7], r[7][:-1]) if k == 4 else r for k, r in enumerate(cut(page, 4, 4, 3))], 4: [(*r[:7], None) if k == 0 else r for k, r in enumerate(cut(page, 4, 4, 4))],
+        5: cut(page, 10, 10, 5), 6: [], 7: [(*r[:7], [300] * len(r[7])) if k == 2 else r for k, r in enumerate(cut(page, 4, 4, 7))],
+    }
+    odd[8] = cut(page, 4, 4, 8) + [(1, 8, 10, 10, 50, 3, 2, [0] * 4)]
+    odd[9] = [(*r[:4], r[4] - 1, *r[5:]) for r in cut(page, 4, 4, 9)]
+    whole += cut(page, 4, 4, 8) + cut(page, 4, 4, 9)
+    sums = quality.page_sums(spark.createDataFrame(whole, TILE), spark.createDataFrame([r for rows in odd.values() for r in rows], TILE), cell=4)
+    assert {r.page_no: (r.matched, r.same) for r in sums.collect()} == {p: (p != 6, p == 5) for p in range(10)}
+    assert quality.fidelity_of_sums(sums).head().size_mismatch == 8
+    nothing = spark.createDataFrame([], TILE)
+    assert quality.fidelity_of_sums(quality.page_sums(nothing, nothing)).count() == 0
 
 
 def test_identical_pages_are_perfect(spark):
