@@ -1,9 +1,11 @@
 """Composition trees as an adjacency list: plan_id, uid, parent_uid, ord, title, source, page_index.
 
-Nodes with a ``page_index`` are pages (leaves), the others groups. Ancestor chains are
-built for groups only, by doubling. How deep a tree may be is a rule that validation
-reports; no other operator cuts by it. Output positions are sums
-of sibling prefixes over the ancestors, so no plan is ever sorted as one list.
+Nodes with a ``page_index`` are pages (leaves), the others groups. What depends on ancestors or
+descendants is found for groups only, by pointer jumping: a group keeps a pointer to the ancestor
+2^k levels up and a few numbers, and each round doubles how far both reach, so the rounds are the
+logarithm of the depth and no list of ancestors exists anywhere. How deep a tree may be is a rule
+that validation reports; no other operator cuts by it. Output positions are sums of sibling
+prefixes over the ancestors, so no plan is ever sorted as one list.
 """
 
 from __future__ import annotations
@@ -22,135 +24,123 @@ DEFAULT_TITLE = "分组"
 NODE = ["plan_id", "uid"]
 
 
-def ancestor_chains(plan_node: DataFrame) -> DataFrame:
-    """``chain`` per node: parent, grandparent, … up to the root; ``rooted`` when it gets there.
+def _doubled(groups: DataFrame, up: tuple[str, ...] = (), down: tuple[str, ...] = ()) -> DataFrame:
+    """Sums over each group and its ancestors (columns ``up``) or its descendants (``down``), and ``rooted``.
 
-    Chains double in length until none can grow: the rounds follow the deepest group, whatever its
-    depth. A chain that meets a node twice is on or above a cycle, one whose next parent does not
-    exist hangs in the air; both stop there and stay unrooted.
+    ``groups`` has plan_id, uid, parent_uid and the columns. A group whose line of parents ends at one
+    that does not exist is not rooted, nor is one on or below a cycle: its pointer still moves when it
+    has passed more levels than its plan has groups. Its sums then count nodes more than once, but are
+    zero only if all nodes that they reach are.
     """
-    none = F.array().cast("array<string>")
-    groups = plan_node.where("page_index IS NULL").select(
-        *NODE,
-        F.when(F.col("parent_uid").isNull(), none).otherwise(F.array("parent_uid")).alias("chain"),
-        F.col("parent_uid").isNull().alias("rooted"),
-        F.col("parent_uid").isNotNull().alias("grows"),
-    )
-    while True:
-        # Finished chains get a key of their own, so they neither match nor pile up.
-        nxt = F.when(F.col("grows"), F.try_element_at("chain", F.lit(-1))).otherwise(F.concat(F.lit("\u0000"), F.col("uid")))
-        up = groups.select(
-            "plan_id", F.col("uid").alias("_next"), F.col("chain").alias("_more"), F.col("rooted").alias("_top"), F.col("grows").alias("_on")
-        ).dropDuplicates(["plan_id", "_next"])  # a repeated uid is for validation to report
-        line = F.when(F.col("grows") & F.col("_more").isNotNull(), F.concat("chain", "_more")).otherwise(F.col("chain"))
-        loops = F.array_contains("line", F.col("uid")) | (F.size(F.array_distinct("line")) < F.size("line"))
-        groups = (
-            groups.withColumn("_next", nxt).join(up, ["plan_id", "_next"], "left")
-            .withColumn("line", line)
-            .select(
-                *NODE, F.col("line").alias("chain"),
-                (F.col("rooted") | (F.col("grows") & F.coalesce("_top", F.lit(False)))).alias("rooted"),
-                (F.col("grows") & F.coalesce("_on", F.lit(False)) & ~loops).alias("grows"),
-            )
-            .checkpoint()
-        )
-        if groups.where("grows").isEmpty():
-            break
-    parents = groups.select(
-        "plan_id", F.col("uid").alias("parent_uid"), F.col("chain").alias("_up"), F.col("rooted").alias("_top")
-    )
-    return (
-        plan_node.join(parents, ["plan_id", "parent_uid"], "left")
-        .withColumn(
-            "chain",
-            F.when(F.col("parent_uid").isNull(), F.array().cast("array<string>"))
-            .otherwise(F.concat(F.array("parent_uid"), F.coalesce("_up", F.array().cast("array<string>")))),
+    state = groups.select(
+        *NODE, F.col("parent_uid").alias("jump"), F.col("parent_uid").isNull().alias("rooted"),
+        *(F.col(c).cast("long").alias(c) for c in (*up, *down)),
+    ).checkpoint()
+    many = state.groupBy("plan_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    reach = 1
+    while reach <= 2 * many and not state.where("jump IS NOT NULL").isEmpty():
+        target = state.select(
+            "plan_id", F.col("uid").alias("_at"), F.col("jump").alias("_jump"), F.col("rooted").alias("_rooted"),
+            F.lit(True).alias("_there"), *(F.col(c).alias(f"_{c}") for c in up),
+        ).dropDuplicates(["plan_id", "_at"])  # a repeated uid is for validation to report
+        # Pointers that have arrived get a key of their own, so they neither match nor pile up.
+        at = F.coalesce("jump", F.concat(F.lit("\u0000"), F.col("uid")))
+        moved = state.withColumn("_at", at).join(target, ["plan_id", "_at"], "left")
+        there = F.coalesce("_there", F.lit(False))
+        # Each pointer jumps on; a pointer into the air stops there.
+        after = moved.select(
+            *NODE, F.when(there, F.col("_jump")).alias("jump"), (F.col("rooted") | (there & F.coalesce("_rooted", F.lit(False)))).alias("rooted"),
+            *(F.when(there, F.col(c) + F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in up), *down,
         )
-        .withColumn("rooted", F.col("parent_uid").isNull() | F.coalesce("_top", F.lit(False)))
-        .withColumn("depth", F.size("chain"))
-        .drop("_up", "_top")
-    )
-
+        if down:
+            sent = state.where("jump IS NOT NULL").groupBy("plan_id", F.col("jump").alias("uid")).agg(*(F.sum(c).alias(f"_{c}") for c in down))
+            after = after.join(sent, NODE, "left").select(
+                *NODE, "jump", "rooted", *up, *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in down),
+            )
+        state, reach = after.checkpoint(), 2 * reach
+    return state.select(*NODE, (F.col("rooted") & F.col("jump").isNull()).alias("rooted"), *up, *down)
 
-def _ancestors(chains: DataFrame, with_self: bool) -> DataFrame:
-    """(plan_id, uid, anc) pairs; at most a tree depth per node."""
-    line = F.concat(F.array("uid"), F.col("chain")) if with_self else F.col("chain")
-    return chains.select(*NODE, F.explode(line).alias("anc"))
 
+def _with_group(nodes: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
+    """Attach to each node the columns of its parent, as ``_<column>``."""
+    parents = groups.select("plan_id", F.col("uid").alias("parent_uid"), *(F.col(c).alias(f"_{c}") for c in columns))
+    return nodes.join(parents.dropDuplicates(["plan_id", "parent_uid"]), ["plan_id", "parent_uid"], "left")
 
-def _preorder_offset(chains: DataFrame, weight: Column) -> DataFrame:
-    """Sum of ``weight`` over all nodes visited before each node, ancestors excluded."""
-    weighted = chains.where("rooted").withColumn("_w", weight.cast("long"))
-    totals = (
-        _weighted_ancestors(weighted.where("_w <> 0"))
-        .groupBy("plan_id", F.col("anc").alias("uid")).agg(F.sum("_w").alias("_subtree"))
-    )
-    siblings = weighted.select("plan_id", "uid", "parent_uid", "ord").join(totals, NODE, "left")
-    prefix = chunks.scan(
-        siblings, ["plan_id", "parent_uid"], [F.col("ord"), F.col("uid")], chunks.by_width(F.col("ord")),
-        _before=chunks.sum_before(F.coalesce("_subtree", F.lit(0))),
-    )
-    return prefix.select("plan_id", F.col("uid").alias("anc"), "_before", "_subtree")
 
+def tree_levels(plan_node: DataFrame) -> DataFrame:
+    """``depth`` and ``rooted`` of every node, and ``pages``: the pages at or below it.
 
-def _weighted_ancestors(weighted: DataFrame) -> DataFrame:
-    return weighted.select("plan_id", "_w", F.explode(F.concat(F.array("uid"), F.col("chain"))).alias("anc"))
+    A node is rooted if its line of parents ends at a root; the depth of others is null.
+    """
+    own = plan_node.where("page_index IS NOT NULL").groupBy("plan_id", F.col("parent_uid").alias("uid")).agg(F.count(F.lit(1)).alias("pages"))
+    groups = plan_node.where("page_index IS NULL").join(own, NODE, "left")
+    groups = groups.withColumn("pages", F.coalesce("pages", F.lit(0))).withColumn("depth", F.lit(1))
+    found = _doubled(groups, ("depth",), ("pages",))
+    below = found.select("plan_id", F.col("uid").alias("_uid"), F.col("pages").alias("_pages")).dropDuplicates(["plan_id", "_uid"])
+    # Pages have no entry of their own there.
+    key = F.when(F.col("page_index").isNull(), F.col("uid"))
+    rooted = F.col("parent_uid").isNull() | F.coalesce("_rooted", F.lit(False))
+    return (
+        _with_group(plan_node, found, "depth", "rooted")
+        .withColumn("rooted", rooted)
+        .withColumn("depth", F.when(rooted, F.coalesce("_depth", F.lit(0))).cast("int"))
+        .withColumn("_uid", F.coalesce(key, F.concat(F.lit("\u0000"), F.col("uid"))))
+        .join(below, ["plan_id", "_uid"], "left")
+        .withColumn("pages", F.when(F.col("page_index").isNull(), F.coalesce("_pages", F.lit(0))).otherwise(1))
+        .select(*plan_node.columns, "rooted", "depth", "pages")
+    )
 
 
-def _with_preorder(chains: DataFrame, weight: Column, of: DataFrame, name: str) -> DataFrame:
-    """Attach the pre-order weight before each node of ``of`` (a subset of the nodes).
+def _with_preorder(levels: DataFrame, weight: Column, of: Column, name: str) -> DataFrame:
+    """The rooted nodes that ``of`` selects, with the weight of all nodes visited before each, ancestors excluded.
 
-    Offsets of the inner nodes are summed first; a node then needs one join to its parent.
+    ``weight`` is what a node and everything below it weighs. Earlier siblings are summed first, then
+    the sums of all ancestors; a node needs one join to its parent.
     """
-    steps = _preorder_offset(chains, weight)
-    inner = chains.where("page_index IS NULL")
-    lines = _ancestors(inner, with_self=True).join(steps.select("plan_id", "anc", "_before"), ["plan_id", "anc"])
-    above = lines.groupBy(*NODE).agg(F.sum("_before").alias("_above")).withColumnRenamed("uid", "parent_uid")
-    own = steps.select("plan_id", F.col("anc").alias("uid"), "_before", "_subtree")
+    placed = chunks.scan(
+        levels.where("rooted").withColumn("_w", weight.cast("long")), ["plan_id", "parent_uid"], [F.col("ord"), F.col("uid")],
+        chunks.by_width(F.col("ord")), _before=chunks.sum_before(F.col("_w")),
+    ).checkpoint()
+    above = _doubled(placed.where("page_index IS NULL").withColumnRenamed("_before", "above"), ("above",))
     return (
-        of.join(own, NODE).join(above, ["plan_id", "parent_uid"], "left")
+        _with_group(placed.where(of), above, "above")
         .withColumn(name, F.col("_before") + F.coalesce("_above", F.lit(0)))
-        .drop("_before", "_above")
+        .drop("_before", "_above", "_w")
     )
 
 
-def flatten_tree(plan_node: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+def flatten_tree(plan_node: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """I4: pages in depth-first order; ``pos`` is the zero-based output page."""
-    chains = ancestor_chains(plan_node) if chains is None else chains
-    pages = chains.where("page_index IS NOT NULL AND rooted")
-    return _with_preorder(chains, F.col("page_index").isNotNull(), pages, "pos").select(
+    levels = tree_levels(plan_node) if levels is None else levels
+    return _with_preorder(levels, F.col("pages"), F.col("page_index").isNotNull(), "pos").select(
         "plan_id", "pos", "uid", "depth", "source", "page_index"
     )
 
 
-def tree_bookmarks(plan_node: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+def tree_bookmarks(plan_node: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """Depth, title and first one-based page of every non-empty group below the root."""
-    chains = ancestor_chains(plan_node) if chains is None else chains
-    groups = chains.where("page_index IS NULL AND rooted AND parent_uid IS NOT NULL")
+    levels = tree_levels(plan_node) if levels is None else levels
+    groups = F.col("page_index").isNull() & F.col("parent_uid").isNotNull() & (F.col("pages") > 0)
     title = F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)^\s+|\s+$", "")
-    return (
-        _with_preorder(chains, F.col("page_index").isNotNull(), groups, "_pages_before")
-        .where("_subtree > 0")
-        .select(
-            "plan_id", "uid", F.col("depth").alias("level"),
-            F.when(title == "", DEFAULT_TITLE).otherwise(title).alias("title"),
-            (F.col("_pages_before") + 1).alias("page_no"),
-        )
+    return _with_preorder(levels, F.col("pages"), groups, "_pages_before").select(
+        "plan_id", "uid", F.col("depth").alias("level"),
+        F.when(title == "", DEFAULT_TITLE).otherwise(title).alias("title"),
+        (F.col("_pages_before") + 1).alias("page_no"),
     )
 
 
 def validate_tree(
-    plan_node: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, chains: DataFrame | None = None
+    plan_node: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, levels: DataFrame | None = None
 ) -> DataFrame:
     """Per plan the first broken rule, or an empty reason. A plan has exactly one root."""
-    chains = ancestor_chains(plan_node) if chains is None else chains
+    levels = tree_levels(plan_node) if levels is None else levels
     repeated = plan_node.groupBy(*NODE).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("plan_id").distinct()
     parents = plan_node.where("parent_uid IS NOT NULL").select("plan_id", F.col("parent_uid").alias("uid")).distinct()
     pages_with_children = plan_node.where("page_index IS NOT NULL").join(parents, NODE, "left_semi").select("plan_id").distinct()
-    facts = chains.groupBy("plan_id").agg(
+    facts = levels.groupBy("plan_id").agg(
         F.count(F.lit(1)).alias("nodes"),
         F.count_if(F.col("page_index").isNotNull()).alias("pages"),
-        F.max(F.when(F.col("rooted"), F.col("depth"))).alias("depth"),
+        F.max("depth").alias("depth"),
         F.bool_and("rooted").alias("_reached"),
         F.count_if(F.col("parent_uid").isNull()).alias("_roots"),
     )
@@ -172,11 +162,7 @@ def validate_tree(
 
 def top_selected(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     """Selected nodes without a selected ancestor; the root never counts."""
-    chosen = _chosen(plan_node, selection)
-    chains = ancestor_chains(plan_node).where("rooted")
-    picked = chains.join(chosen, NODE, "left_semi")
-    covered = _covered(picked, chosen, with_self=False)
-    return picked.join(covered, NODE, "left_anti").select("plan_id", "uid", "parent_uid", "ord", "depth")
+    return _tops(tree_levels(plan_node), plan_node, _chosen(plan_node, selection)).select("plan_id", "uid", "parent_uid", "ord", "depth")
 
 
 def _chosen(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
@@ -184,17 +170,29 @@ def _chosen(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     return selection.select(*NODE).distinct().join(roots, NODE, "left_anti")
 
 
-def _covered(chains: DataFrame, chosen: DataFrame, with_self: bool) -> DataFrame:
-    """Nodes that have a chosen node among their ancestors (or are chosen themselves)."""
-    marks = chosen.withColumnRenamed("uid", "anc")
-    return _ancestors(chains, with_self).join(marks, ["plan_id", "anc"], "left_semi").select(*NODE).distinct()
+def _marks_above(plan_node: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(plan_id, uid, marks) of every group: 0 if neither it nor an ancestor is chosen."""
+    marked = plan_node.where("page_index IS NULL").join(chosen.withColumn("marks", F.lit(1)), NODE, "left")
+    return _doubled(marked.withColumn("marks", F.coalesce("marks", F.lit(0))), ("marks",))
+
+
+def _tops(levels: DataFrame, plan_node: DataFrame, chosen: DataFrame) -> DataFrame:
+    picked = levels.where("rooted").join(chosen, NODE, "left_semi")
+    return _with_group(picked, _marks_above(plan_node, chosen), "marks").where("coalesce(_marks, 0) = 0").drop("_marks")
 
 
 def remove_subtrees(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     """I8: the tree without the selected nodes and everything below them."""
     chosen = _chosen(plan_node, selection)
-    gone = _covered(ancestor_chains(plan_node), chosen, with_self=True)
-    return plan_node.join(gone, NODE, "left_anti")
+    below = _with_group(plan_node, _marks_above(plan_node, chosen), "marks").where("coalesce(_marks, 0) = 0")
+    return below.select(*plan_node.columns).join(chosen, NODE, "left_anti")
+
+
+def _weighted_groups(plan_node: DataFrame) -> DataFrame:
+    """Groups with ``held``: themselves and the pages directly in them."""
+    pages = plan_node.where("page_index IS NOT NULL").groupBy("plan_id", F.col("parent_uid").alias("uid")).agg(F.count(F.lit(1)).alias("_n"))
+    groups = plan_node.where("page_index IS NULL").join(pages, NODE, "left")
+    return groups.withColumn("held", F.coalesce("_n", F.lit(0)) + 1)
 
 
 def move_subtrees(plan_node: DataFrame, moves: DataFrame, selection: DataFrame) -> DataFrame:
@@ -205,26 +203,23 @@ def move_subtrees(plan_node: DataFrame, moves: DataFrame, selection: DataFrame)
     The index is clamped and counts only the siblings that stay; children of the target
     are renumbered from 0.
     """
-    chains = ancestor_chains(plan_node).checkpoint()
+    levels = tree_levels(plan_node).checkpoint()
     chosen = _chosen(plan_node, selection).checkpoint()
-    picked = chains.where("rooted").join(chosen, NODE, "left_semi")
-    top = picked.join(_covered(picked, chosen, with_self=False), NODE, "left_anti").checkpoint()
-    ordered_top = _with_preorder(chains, F.lit(1), top, "_pre").select(*NODE, "_pre")
+    top = _tops(levels, plan_node, chosen).select(*NODE).checkpoint()
+    # All nodes weigh one; what a group weighs is all that it holds.
+    held = _doubled(_weighted_groups(plan_node), (), ("held",)).dropDuplicates(NODE).select("plan_id", F.col("uid").alias("_uid"), "held")
+    group_uid = F.when(F.col("page_index").isNull(), F.col("uid")).otherwise(F.concat(F.lit("\u0000"), F.col("uid")))
+    weighed = levels.withColumn("_uid", group_uid).join(held, ["plan_id", "_uid"], "left").drop("_uid")
+    ordered_top = _with_preorder(weighed, F.coalesce("held", F.lit(1)), F.lit(True), "_pre").join(top, NODE, "left_semi").select(*NODE, "_pre")
 
     target = moves.select("plan_id", F.col("parent_uid").alias("_target"), F.col("index").alias("_index"))
-    targets = target.join(
-        chains.where("page_index IS NULL AND rooted").select("plan_id", F.col("uid").alias("_target"), "chain"),
-        ["plan_id", "_target"], "left",
-    )
-    lines = targets.select(
-        "plan_id", F.explode(F.concat(F.array("_target"), F.coalesce("chain", F.array().cast("array<string>")))).alias("uid")
-    )
-    inside = lines.join(top.select(*NODE), NODE, "left_semi").select("plan_id").distinct()
+    inside = _marks_above(plan_node, top).where("marks > 0").select("plan_id", F.col("uid").alias("_target"), F.lit(True).alias("_inside"))
+    known = levels.where("page_index IS NULL AND rooted").select("plan_id", F.col("uid").alias("_target"), F.lit(True).alias("_known"))
     plan = (
-        targets.join(inside.withColumn("_inside", F.lit(True)), "plan_id", "left")
+        target.join(known.distinct(), ["plan_id", "_target"], "left").join(inside.distinct(), ["plan_id", "_target"], "left")
         .select(
             "plan_id", "_target", "_index",
-            F.when(F.col("chain").isNull(), "invalid_target").when(F.col("_inside"), "inside_selection").otherwise("").alias("reason"),
+            F.when(F.col("_known").isNull(), "invalid_target").when(F.col("_inside"), "inside_selection").otherwise("").alias("reason"),
         )
     )
     nodes = (

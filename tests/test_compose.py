@@ -1,6 +1,8 @@
 import itertools
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.operators import compose, tree
 from quirework.plans import flows
@@ -158,6 +160,76 @@ def test_deep_trees_lose_nothing(spark):
     assert tree.tree_bookmarks(df).count() == 40
 
 
+def test_a_path_of_a_hundred_thousand_levels(spark):
+    n = 100_000
+    path = spark.range(n).select(
+        F.lit(1).cast("long").alias("plan_id"), F.concat(F.lit("d"), "id").alias("uid"), F.when(F.col("id") > 0, F.concat(F.lit("d"), F.col("id") - 1)).alias("parent_uid"),
+        F.lit(1).alias("ord"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("page_index"),
+    )
+    page = spark.createDataFrame([(1, "first", "d5", 0, None, "s", 3), (1, "last", f"d{n - 1}", 9, None, "s", 4)], TABLES["plan_node"])
+    df = path.unionByName(page)
+    levels = tree.tree_levels(df).checkpoint()
+    assert {r.uid: (r.pos, r.depth) for r in tree.flatten_tree(df, levels).collect()} == {"first": (0, 6), "last": (1, n)}
+    assert levels.where("rooted").count() == n + 2 and levels.where("uid = 'd5'").head().pages == 2
+    kept = tree.remove_subtrees(df, pick(spark, "d70000"))
+    assert kept.count() == 70_001
+
+
+def random_plan(seed):
+    """Parents of nodes, with orphans, a cycle and pages in between."""
+    rng = random.Random(seed)
+    rows, groups = [(1, "root", None, 0, "", None, None)], ["root"]
+    for i in range(60):
+        name, parent = f"n{i}", rng.choice(groups)
+        if i in (20, 40):
+            parent = "missing"
+        leaf = rng.random() < 0.5
+        rows.append((1, name, parent, rng.randint(0, 5), "t", "s" if leaf else None, i if leaf else None))
+        if not leaf:
+            groups.append(name)
+    rows += [(1, "c0", "c1", 0, "", None, None), (1, "c1", "c0", 0, "", None, None), (1, "c2", "c1", 0, "", None, None), (1, "cp", "c2", 0, "", "s", 7)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_trees_against_plain_walks(spark, seed):
+    rows = random_plan(seed)
+    df = spark.createDataFrame(rows, TABLES["plan_node"])
+    parent, kids, page = {r[1]: r[2] for r in rows}, {}, {r[1]: r[6] for r in rows}
+    for r in rows:
+        kids.setdefault(r[2], []).append((r[3], r[1]))
+    order = []
+
+    def walk(uid, depth):
+        order.append((uid, depth))
+        for _, child in sorted(kids.get(uid, [])):
+            walk(child, depth + 1)
+
+    walk("root", 0)
+    pages = [(u, d) for u, d in order if page[u] is not None]
+    assert [(r.uid, r.depth) for r in tree.flatten_tree(df).orderBy("pos").collect()] == pages
+    before = {u: sum(page[v] is not None for v, _ in order[:k]) for k, (u, _) in enumerate(order)}
+    below = lambda u: (page[u] is not None) + sum(below(c) for _, c in kids.get(u, []))
+    marks = {(u, d, before[u] + 1) for u, d in order if u != "root" and page[u] is None and below(u)}
+    assert {(r.uid, r.level, r.page_no) for r in tree.tree_bookmarks(df).collect()} == marks
+    levels = {r.uid: r for r in tree.tree_levels(df).collect()}
+    assert {u for u, r in levels.items() if r.rooted} == {u for u, _ in order}
+    assert all(levels[u].depth == d and levels[u].pages == below(u) for u, d in order)
+    rng = random.Random(seed)
+    picked = set(rng.sample([r[1] for r in rows], 12)) | {"c1"}
+
+    def above(uid):
+        seen = []
+        while (uid := parent.get(uid)) is not None and uid not in seen:
+            seen.append(uid)
+        return set(seen)
+
+    chosen = picked - {"root"}
+    tops = {u for u, _ in order if u in chosen and not above(u) & chosen}
+    assert {r.uid for r in tree.top_selected(df, pick(spark, *picked)).collect()} == tops
+    assert {r.uid for r in tree.remove_subtrees(df, pick(spark, *picked)).collect()} == {u for u in parent if u not in chosen and not above(u) & chosen}
+
+
 def test_several_roots_are_reported(spark):
     df = nodes(spark, ("root", [("p", 1)]), 1, [(1, "other", None, 1, "", None, None)])
     assert tree.validate_tree(df).head().reason == "several_roots"
