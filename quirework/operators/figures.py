@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions import chunks, rects, scalars
+from quirework.functions import chunks, dominance, rects, scalars
 
 # Detection tolerances in points ---------------------------------
 CELL = 4.0
@@ -350,6 +350,10 @@ def merge_panels(components: DataFrame, captions: DataFrame) -> DataFrame:
     )
 
 
+# Figures of a page up to which each box meets all that hold it.
+FEW_FIGURES = 128
+
+
 def boxes_inside(boxes: DataFrame, regions: DataFrame, on: list[str] = PAGE) -> DataFrame:
     """Pairs of a box and a region of its page that holds the centre of the box.
 
@@ -427,6 +431,25 @@ def images_in_figures(figures: DataFrame, image_placement: DataFrame) -> DataFra
     return boxes_inside(real, figures.select(*CAPTION_KEY, *rects.SIDES)).select(*CAPTION_KEY, "xref").distinct()
 
 
+def inside_weights(weighted: DataFrame, figures: DataFrame) -> DataFrame:
+    """D3: ``inside_weight`` per figure: the weight of the boxes whose centre it holds.
+
+    Where a page has few figures a box meets each that holds it. On a page with more than
+    ``FEW_FIGURES`` no pair is formed: the weights are dominance sums over its corners.
+    """
+    region = figures.select(*CAPTION_KEY, *rects.SIDES)
+    crowded = region.groupBy(*PAGE).count().where(F.col("count") > FEW_FIGURES).select(*PAGE).checkpoint()
+    few = region.join(crowded, PAGE, "left_anti")
+    sums = boxes_inside(weighted, few).groupBy(*CAPTION_KEY).agg(F.sum("weight").alias("inside_weight"))
+    if crowded.isEmpty():
+        return sums
+    points = weighted.join(crowded, PAGE, "left_semi").select(
+        *PAGE, rects.center_x(rects.rect_of()).alias("x"), rects.center_y(rects.rect_of()).alias("y"), "weight"
+    )
+    many = dominance.region_sums(points, region.join(crowded, PAGE, "left_semi"), PAGE, CAPTION_KEY, F.col("weight"))
+    return sums.unionByName(many.withColumnRenamed("total", "inside_weight"))
+
+
 def figure_storage(
     figures: DataFrame,
     drawing: DataFrame,
@@ -450,10 +473,7 @@ def figure_storage(
             (F.coalesce("path_weight", F.lit(0)) + F.coalesce("text_chars", F.lit(0))).alias("total_weight"),
         )
     )
-    inside = (
-        boxes_inside(weighted, figures.select(*CAPTION_KEY, *rects.SIDES))
-        .groupBy(*CAPTION_KEY).agg(F.sum("weight").alias("inside_weight"))
-    )
+    inside = inside_weights(weighted, figures)
     masks = image_placement.where("xref > 0").groupBy(*PAGE, "xref").agg(
         F.max_by("smask", F.struct("placement_no", "smask")).alias("smask")
     )
