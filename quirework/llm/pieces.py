@@ -93,10 +93,11 @@ def expand(low: np.ndarray, many: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts by one tokenizer file of the ``tokenizers`` library.
 
-    ``special``: the strings of special tokens are found in texts; else they are plain text.
+    ``most``: pieces remembered, if not ``MOST_PIECES``. ``special``: the strings of special tokens are found in texts; else they are plain text.
     """
 
-    def __init__(self, path: str, spaces: bool, lower: bool, offsets: bool = False, special: bool = True):
+    def __init__(self, path: str, spaces: bool, lower: bool, offsets: bool = False, special: bool = True, most: int | None = None):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,7 +153,7 @@ class Encoder:
         known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
             fresh = np.flatnonzero(~known)
-            if len(self.keys) + len(fresh) > MOST_PIECES or len(self.ids) > MOST_IDS:
+            if len(self.keys) + len(fresh) > (self.most or MOST_PIECES) or len(self.ids) > MOST_IDS:
                 self._forget()
                 fresh = np.arange(len(keys))
             raw = data.tobytes()
@@ -179,7 +180,8 @@ class PieceEncoder(Encoder):
     merge crosses the place where a space follows one, and a text's ids are those of its pieces.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        self.most = most
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
@@ -222,15 +224,15 @@ def word_bpe(path: str | None = None, offsets: bool = False) -> Encoder:
 
 
 @lru_cache(maxsize=4)
-def plain_byte_bpe(path: str | None = None) -> Encoder:
+def plain_byte_bpe(path: str | None = None, most: int | None = None) -> Encoder:
     """This worker's byte-level encoder to which special tokens' strings are plain text."""
-    return Encoder(path or vocabulary("byte_bpe_50k.json"), True, False, special=False)
+    return Encoder(path or vocabulary("byte_bpe_50k.json"), True, False, special=False, most=most)
 
 
 @lru_cache(maxsize=4)
-def piece_bpe(path: str | None = None) -> PieceEncoder:
+def piece_bpe(path: str | None = None, most: int | None = None) -> PieceEncoder:
     """This worker's encoder for the model with space-marked pieces."""
-    return PieceEncoder(path or vocabulary("piece_bpe_32k.model"))
+    return PieceEncoder(path or vocabulary("piece_bpe_32k.model"), most)
 
 
 def vocabulary(name: str) -> str:

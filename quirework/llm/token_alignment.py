@@ -3,7 +3,8 @@
 A document is encoded in full by a byte-level tokenizer (A) and by one with space-marked pieces (B). An
 anchor is a byte offset where tokens of both end and tokens of both that begin with a space follow; the
 anchors cut the document into windows of token ids. A window's alignment (groups and links) depends on
-its ids alone, so each worker aligns a distinct pair of id tuples once and remembers it.
+its ids alone, so each worker aligns a distinct pair of id tuples once, all new ones of a block at a
+time, and remembers it by a 64-bit hash of the ids.
 
 Within a window two tokens are linked if their bytes overlap, and the ends that both share close a group.
 Links are numbered pairs of ids; the documents that hold each are counted over the corpus. The counts are
@@ -27,9 +28,12 @@ from quirework.llm.registry import query, read
 from quirework.llm.shared_files import map_file, write_whole
 from quirework.session import fresh_dir
 
-# Windows and links that a worker remembers; beyond, it starts afresh.
-MOST_WINDOWS = 400_000
-MOST_LINKS = 4_000_000
+# Windows and bytes of their groups that a worker remembers; beyond, it starts afresh.
+MOST_WINDOWS = 300_000
+MOST_BYTES = 24 << 20
+# Pieces that each encoder remembers here, and text aligned at once.
+MOST_PIECES = 300_000
+BLOCK = 1 << 19
 # Ids of A whose pairs are kept in one file.
 IDS_A_FILE = 1024
 # Links that a scoring task looks up at once.
@@ -75,51 +79,66 @@ class Entries:
         return self.data[pieces.expand(self.first[ids], self.size[ids])]
 
 
-def align(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-    """Where groups end in ``a`` and in ``b`` (counts of tokens), and the pairs (place in a, place in b) that overlap."""
-    end_a, end_b = np.cumsum(size_a[a]).tolist(), np.cumsum(size_b[b]).tolist()
-    cuts_a, cuts_b, links, i, j = [], [], [], 0, 0
-    while i < len(end_a) and j < len(end_b):
-        links.append((i, j))
-        x, y = end_a[i], end_b[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            cuts_a.append(i)
-            cuts_b.append(j)
-    return cuts_a, cuts_b, links
+def align(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray):
+    """Links (place in a, place in b) and the group of each token, from the ends of tokens of the same bytes."""
+    union = np.union1d(end_a, end_b)
+    shared = end_a[end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a] if len(b) else end_a[:0]
+    # Between two neighbouring ends lie bytes of one token each, and every pair that overlaps has one such place.
+    return np.searchsorted(end_a, union), np.searchsorted(end_b, union), np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+
+
+def _listed(ids: np.ndarray, other: np.ndarray, group: np.ndarray, other_group: np.ndarray, numbers: Entries, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """``a1,a2|b1;`` of each group as bytes, and where each group begins."""
+    n = int(group[-1]) + 1 if len(group) else 0
+    many_a, many_b = np.bincount(group, minlength=n), np.bincount(other_group, minlength=n)
+    first = np.cumsum(many_a + many_b) - many_a - many_b
+    item = np.empty(len(ids) + len(other), np.int64)
+    at_a = np.arange(len(ids)) - (np.cumsum(many_a) - many_a)[group] + first[group]
+    at_b = np.arange(len(other)) - (np.cumsum(many_b) - many_b)[other_group] + (first + many_a)[other_group]
+    item[at_a], item[at_b] = ids, other + shift
+    text, size = numbers.bytes_of(item), numbers.size[item]
+    end = np.cumsum(size)
+    # The byte behind a number: a comma, a bar behind a group's last of A, a semicolon behind its last of B.
+    text[end[first + many_a - 1] - 1] = ord("|")
+    text[end[first + many_a + many_b - 1] - 1] = ord(";")
+    return text, (end - size)[first]
 
 
 class Aligner:
     """Both encoders, their entries, and the windows aligned so far."""
 
     def __init__(self, path_a: str | None, path_b: str | None):
-        self.a, self.b = pieces.plain_byte_bpe(path_a), pieces.piece_bpe(path_b)
+        self.a, self.b = pieces.plain_byte_bpe(path_a, MOST_PIECES), pieces.piece_bpe(path_b, MOST_PIECES)
         self.in_a, self.in_b = Entries(byte_entries(self.a)), Entries(piece_entries(self.b))
         self.width = len(self.in_b.size)
         if len(self.in_a.size) * self.width > 1 << 31:
             raise ValueError("pairs of ids do not fit in 32 bits")
+        # Every id in decimal, of A and then of B, with a comma behind it.
+        self.numbers = Entries([b"%d," % i for i in (*range(len(self.in_a.size)), *range(self.width))])
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[str] = []
-        self.counts: list[tuple[int, int]] = []
-        self.links: list[np.ndarray] = []
-        self.held = 0
-
-    def _remember(self, key: tuple[bytes, bytes], a: np.ndarray, b: np.ndarray) -> int:
-        cuts_a, cuts_b, links = align(a, b, self.in_a.size, self.in_b.size)
-        ids_a, ids_b = a.tolist(), b.tolist()
-        groups, i, j = [], 0, 0
-        for x, y in zip(cuts_a, cuts_b):
-            groups.append(",".join(map(str, ids_a[i:x])) + "|" + ",".join(map(str, ids_b[j:y])))
-            i, j = x, y
-        slot = self.slots[key] = len(self.texts)
-        self.texts.append(";".join(groups))
-        self.counts.append((len(groups), len(links)))
-        self.links.append(np.array([ids_a[x] * self.width + ids_b[y] for x, y in links], dtype=np.int32))
-        self.held += len(links)
-        return slot
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.groups = np.zeros(0, np.int64)
+        self.links, self.link_first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.text, self.text_first = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def _learn(self, keys: np.ndarray, a: np.ndarray, first_a: np.ndarray, b: np.ndarray, first_b: np.ndarray) -> None:
+        """Align new windows, given end to end."""
+        end_a, end_b = np.cumsum(self.in_a.size[a]), np.cumsum(self.in_b.size[b])
+        x, y, group_a, group_b = align(a, b, end_a, end_b)
+        text, group_at = _listed(a, b, group_a, group_b, self.numbers, len(self.in_a.size))
+        # Windows end where groups do, so the group of a window's first token is its first group.
+        group_first = np.append(group_a, len(group_at))[first_a]
+        link_first = np.searchsorted(x, first_a)
+        text_first = np.append(group_at, len(text))[group_first]
+        at, slots = np.searchsorted(self.keys, keys), len(self.groups) + np.arange(len(keys))
+        self.groups = np.concatenate([self.groups, np.diff(group_first)])
+        self.link_first = np.concatenate([self.link_first, self.link_first[-1] + link_first[1:]])
+        self.text_first = np.concatenate([self.text_first, self.text_first[-1] + text_first[1:]])
+        self.links = np.concatenate([self.links, (a[x] * self.width + b[y]).astype(np.int32)])
+        self.text = np.concatenate([self.text, text])
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
 
     def _kept(self, data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, firsts: np.ndarray, entries: Entries) -> np.ndarray:
         """Whether the tokens' bytes joined are the bytes of each row."""
@@ -134,7 +153,7 @@ class Aligner:
         return good
 
     def run(self, data: np.ndarray, bounds: np.ndarray):
-        """Per row: tokens of both, groups, links (numbered pairs, with their first), and the text of the groups.
+        """Per row: tokens of both, groups, links (numbered pairs, with their first), and the bytes that list the groups.
 
         Rows hold the space before their text; rows without bytes, and those that either tokenizer does
         not give back byte by byte, have no tokens.
@@ -155,33 +174,36 @@ class Aligner:
         start_a, start_b = np.concatenate([[0], stop_a[:-1]]), np.concatenate([[0], stop_b[:-1]])
         slot = self._slots(a, b, start_a[: len(stop_a)], stop_a, start_b[: len(stop_b)], stop_b)
         window = np.searchsorted(stop_a, np.concatenate([[0], np.cumsum(n_a)]), "right")
-        distinct, inverse = np.unique(slot, return_inverse=True)
-        listed = distinct.tolist()
-        counts = np.array([self.counts[s] for s in listed], dtype=np.int64).reshape(-1, 2)
-        known = np.concatenate([self.links[s] for s in listed]) if listed else np.zeros(0, np.int32)
-        many = counts[:, 1]
-        low = np.cumsum(many) - many
-        links = known[pieces.expand(low[inverse], many[inverse])]
-        link_first = np.concatenate([[0], np.cumsum(many[inverse])])[window]
-        groups = np.diff(np.concatenate([[0], np.cumsum(counts[:, 0][inverse])])[window])
-        texts = np.array([self.texts[s] for s in listed], dtype=object)[inverse]
-        joined = [";".join(texts[x:y]) for x, y in zip(window[:-1].tolist(), window[1:].tolist())]
-        return n_a, n_b, groups, links, link_first, joined
+        groups = np.concatenate([[0], np.cumsum(self.groups[slot])])[window]
+        many = np.diff(self.link_first)[slot]
+        links = self.links[pieces.expand(self.link_first[slot], many)]
+        size = np.diff(self.text_first)[slot]
+        text = self.text[pieces.expand(self.text_first[slot], size)].tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])[window]
+        # The semicolon behind a row's last group is not part of it.
+        joined = [text[x : max(x, y - 1)] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        return n_a, n_b, np.diff(groups), links, np.concatenate([[0], np.cumsum(many)])[window], joined
 
     def _slots(self, a, b, start_a, stop_a, start_b, stop_b) -> np.ndarray:
-        """The remembered alignment of each window."""
-        if len(self.texts) > MOST_WINDOWS or self.held > MOST_LINKS:
-            self._forget()
-        bytes_a, bytes_b = a.astype("<u4"), b.astype("<u4")
-        key = W.pair(W.hashes(bytes_a.view(np.uint8), 4 * start_a, 4 * stop_a), W.hashes(bytes_b.view(np.uint8), 4 * start_b, 4 * stop_b))
-        _, example, inverse = np.unique(key, return_index=True, return_inverse=True)
-        slots = np.zeros(len(example), np.int64)
-        for k, w in enumerate(example.tolist()):
-            x, y = slice(start_a[w], stop_a[w]), slice(start_b[w], stop_b[w])
-            tuples = bytes_a[x].tobytes(), bytes_b[y].tobytes()
-            got = self.slots.get(tuples)
-            slots[k] = self._remember(tuples, a[x], b[y]) if got is None else got
-        return slots[inverse]
+        """The remembered alignment of each window; those not known yet are aligned."""
+        bytes_a, bytes_b = a.astype("<u4").view(np.uint8), b.astype("<u4").view(np.uint8)
+        every = W.pair(W.hashes(bytes_a, 4 * start_a, 4 * stop_a), W.hashes(bytes_b, 4 * start_b, 4 * stop_b))
+        keys, example, inverse = np.unique(every, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        if not known.all():
+            fresh = np.flatnonzero(~known)
+            if len(self.keys) + len(fresh) > MOST_WINDOWS or len(self.text) > MOST_BYTES:
+                self._forget()
+                fresh = np.arange(len(keys))
+            w = example[fresh]
+            many_a, many_b = (stop_a - start_a)[w], (stop_b - start_b)[w]
+            first_a, first_b = (np.concatenate([[0], np.cumsum(m)]) for m in (many_a, many_b))
+            self._learn(keys[fresh], a[pieces.expand(start_a[w], many_a)], first_a, b[pieces.expand(start_b[w], many_b)], first_b)
+            at = np.searchsorted(self.keys, keys)
+        return self.slots[at][inverse]
 
 
 @lru_cache(maxsize=2)
@@ -203,15 +225,15 @@ def aligned(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), groups: boo
 
     def run(columns):
         aligner = _aligner(path_a, path_b)
-        for low, high, data, bounds in W.blocks(columns["text"]):
+        for low, high, data, bounds in W.blocks(columns["text"], BLOCK):
             # A space before every text that has a byte.
             some = np.diff(bounds) > 0
             data, bounds = np.insert(data, bounds[:-1][some], SPACE), bounds + np.concatenate([[0], np.cumsum(some)])
             n_a, n_b, n_groups, links, first, texts = aligner.run(data, bounds)
-            digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+            digests = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
             yield pa.array(np.arange(low, high)), [
                 pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(links)),
-                pa.array(digests), pa.array(texts if groups else [None] * len(texts), pa.string()),
+                pa.array(digests), pa.array([t.decode() for t in texts] if groups else [None] * len(texts), pa.string()),
             ]
 
     return map_rows(docs, run, ALIGNED, list(carried), ["text"])

@@ -62,7 +62,7 @@ def test_groups_and_links_equal_the_libraries(libraries, texts):
         for r in range(low, high):
             a, b, groups, pairs = plain(libraries, texts[r])
             k = r - low
-            assert (n_a[k], n_b[k], n_groups[k], joined[k]) == (len(a), len(b), len(groups), text_of(groups))
+            assert (n_a[k], n_b[k], n_groups[k], joined[k].decode()) == (len(a), len(b), len(groups), text_of(groups))
             assert links[first[k] : first[k + 1]].tolist() == [x * 32000 + y for x, y in pairs]
 
 
@@ -82,7 +82,7 @@ def test_a_full_memory(libraries, monkeypatch):
     for seed in range(4):
         for _, _, data, bounds in W.blocks(pa.array([" " + prose(seed, 50)])):
             joined = aligner.run(data, bounds)[5]
-            assert joined[0] == text_of(plain(libraries, prose(seed, 50))[2])
+            assert joined[0].decode() == text_of(plain(libraries, prose(seed, 50))[2])
 
 
 def test_query_against_the_libraries(spark, libraries, tmp_path, monkeypatch):
