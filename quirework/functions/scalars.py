@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quirework.functions import intervals
+
 # Fixed values -----------------------------------------------------------------
 KIB = 1024
 MIB = 1024 * 1024
@@ -156,17 +158,4 @@ def saved_ratio(before: Column, after: Column) -> Column:
 
 def ranges_text(pages: Column, sep: str = ", ") -> Column:
     """Sorted distinct zero-based pages as one-based ranges, e.g. ``1-3, 5``."""
-    starts = F.filter(
-        pages, lambda p, i: (i == 0) | (F.get(pages, i - 1) != p - 1)
-    )
-    ends = F.filter(
-        pages, lambda p, i: (i == F.size(pages) - 1) | (F.get(pages, i + 1) != p + 1)
-    )
-    texts = F.zip_with(
-        starts,
-        ends,
-        lambda a, b: F.when(a == b, (a + 1).cast("string")).otherwise(
-            F.concat((a + 1).cast("string"), F.lit("-"), (b + 1).cast("string"))
-        ),
-    )
-    return F.array_join(texts, sep)
+    return intervals.text(intervals.runs_of(pages), sep)

@@ -96,7 +96,8 @@ def free_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """Give every wanted name the next free form: ``name``, ``name (2)``, ``name (3)`` …
 
     ``wanted`` has base and ord, ``existing`` has name. The m-th request for a base gets its
-    m-th free number; only as many numbers as a base has names are ever generated.
+    m-th free number, which is m and as many more as there are taken numbers below it: the i-th taken
+    number t leaves t - i free ones before it, so those with t - i < m. No number is ever generated.
     """
     pattern = r"^(.*) \(([1-9][0-9]*)\)$"
     numbered = F.col("name").rlike(pattern) & (F.regexp_extract("name", pattern, 2) != "1")
@@ -109,22 +110,22 @@ def free_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     requests = chunks.scan(
         wanted, ["base"], [F.col("ord")], chunks.by_width(F.col("ord")), _rank=chunks.count()
     )
-    need = wanted.groupBy("base").agg(F.count(F.lit(1)).alias("_asked"))
-    held = taken.groupBy("base").agg(F.count(F.lit(1)).alias("_held"))
-    numbers = (
-        need.join(held, "base", "left")
-        .select("base", F.explode(F.sequence(
-            F.lit(1).cast("long"), F.col("_asked") + F.coalesce("_held", F.lit(0))
-        )).alias("number"))
-        .join(taken, ["base", "number"], "left_anti")
+    held = chunks.scan(
+        taken, ["base"], [F.col("number")], chunks.by_width(F.col("number")), _i=chunks.count()
     )
-    free = chunks.scan(
-        numbers, ["base"], [F.col("number")], chunks.by_width(F.col("number")), _rank=chunks.count()
+    # At one place a request comes before the taken number, which is not below it.
+    both = requests.select("base", "ord", F.col("_rank").alias("_place"), F.lit(0).alias("_taken")).unionByName(
+        held.select("base", (F.col("number") - F.col("_i")).alias("_place"), F.lit(1).alias("_taken"), F.col("number").alias("ord")),
     )
+    placed = chunks.scan(
+        both, ["base"], [F.col("_place"), F.col("_taken"), F.col("ord")], chunks.by_width(F.col("_place")),
+        _below=chunks.sum_before(F.col("_taken").cast("long")),
+    )
+    free = placed.where("_taken = 0").select("base", "ord", (F.col("_place") + F.col("_below")).alias("number"))
     name = F.when(F.col("number") == 1, F.col("base")).otherwise(
         F.concat(F.col("base"), F.lit(" ("), F.col("number").cast("string"), F.lit(")"))
     )
-    return requests.join(free, ["base", "_rank"]).select("base", "ord", name.alias("name"))
+    return free.select("base", F.col("ord").cast(wanted.schema["ord"].dataType).alias("ord"), name.alias("name"))
 
 
 def export_summary(

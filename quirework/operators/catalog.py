@@ -7,22 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions import chunks, rects, scalars
+from quirework.functions import chunks, intervals, rects, scalars
 
 KIND_ORDER = ["figure", "image", "vector"]
 
 
 def image_catalog(image_placement: DataFrame) -> DataFrame:
-    """One row per image object; mask and size come from its first placement."""
-    first = F.min(F.struct("page_no", "placement_no", "smask", "width", "height"))
-    return (
-        image_placement.where("xref > 0")
-        .groupBy("doc_id", "xref")
-        .agg(first.alias("f"), F.sort_array(F.collect_set("page_no")).alias("page_numbers"))
-        .select(
-            "doc_id", "xref", F.col("f.page_no").alias("first_page"), F.col("f.smask").alias("smask"),
-            F.col("f.width").alias("width"), F.col("f.height").alias("height"), "page_numbers",
-        )
+    """One row per image object; mask and size come from its first placement.
+
+    Its pages are ``page_runs`` (first, last) in order, and ``pages`` their number.
+    """
+    first = F.struct("page_no", "placement_no", "smask", "width", "height")
+    found = intervals.interval_sets(image_placement.where("xref > 0"), ["doc_id", "xref"], "page_no", "page_runs", f=first)
+    return found.select(
+        "doc_id", "xref", F.col("f.page_no").alias("first_page"), F.col("f.smask").alias("smask"),
+        F.col("f.width").alias("width"), F.col("f.height").alias("height"), "page_runs",
+        intervals.size(F.col("page_runs")).alias("pages"),
     )
 
 
@@ -58,7 +58,7 @@ def asset_catalog(figures: DataFrame, images: DataFrame) -> DataFrame:
         "doc_id",
         F.concat_ws(":", F.lit("figure"), F.col("page_no").cast("string"), F.col("caption_no").cast("string")).alias("key"),
         F.lit("figure").alias("kind"),
-        F.array(F.col("page_no")).alias("page_numbers"),
+        F.array(F.struct(F.col("page_no").alias("first"), F.col("page_no").alias("last"))).alias("page_runs"),
         rects.rect_of().alias("rect"),
         F.col("label").alias("title"),
         "storage_bytes",
@@ -68,7 +68,7 @@ def asset_catalog(figures: DataFrame, images: DataFrame) -> DataFrame:
         "doc_id",
         F.concat_ws(":", F.lit("image"), F.col("xref").cast("string")).alias("key"),
         F.lit("image").alias("kind"),
-        "page_numbers", "xref", "smask", "width", "height", "storage_bytes",
+        "page_runs", "xref", "smask", "width", "height", "storage_bytes",
         F.lit(False).alias("storage_is_estimate"),
     )
     return union_assets(kept, rest)
@@ -83,7 +83,7 @@ def kind_rank(kind: Column) -> Column:
 
 def catalog_order(assets: DataFrame) -> DataFrame:
     """``catalog_pos`` per document: first page, kind, then the key as text."""
-    first_page = F.get("page_numbers", F.lit(0))
+    first_page = F.get("page_runs", F.lit(0))["first"]
     return chunks.scan(
         assets,
         ["doc_id"],
@@ -140,10 +140,17 @@ def apply_selection(assets: DataFrame, selection: DataFrame | None, on: list[str
     return assets.join(selection.select(*on).distinct(), on, "left_semi")
 
 
+def asset_runs(assets: DataFrame) -> Column:
+    """The page runs of assets that have them, or the runs of their ``page_numbers``."""
+    if "page_runs" in assets.columns:
+        return F.col("page_runs")
+    return intervals.runs_of(F.array_sort(F.array_distinct("page_numbers")))
+
+
 def asset_stem(assets: DataFrame) -> DataFrame:
-    """Output file stem from ``index``, pages, and title or pixel size."""
-    pages = scalars.ranges_text(F.array_sort(F.array_distinct("page_numbers")), "_")
-    pages = F.when(F.size("page_numbers") > 0, pages).otherwise(F.lit("unknown"))
+    """Output file stem from ``index``, pages (``page_runs``, or a list ``page_numbers``), and title or pixel size."""
+    runs = asset_runs(assets)
+    pages = F.when(F.size(runs) > 0, intervals.text(runs, "_")).otherwise(F.lit("unknown"))
     head = F.format_string("%04d_page_%s", F.col("index").cast("int"), pages)
     sized = (F.coalesce("width", F.lit(0)) != 0) & (F.coalesce("height", F.lit(0)) != 0)
     dims = F.when(
@@ -179,7 +186,5 @@ def bounding_box(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def format_ranges(df: DataFrame, key: list[str], col: str, sep: str = ", ") -> DataFrame:
-    """Page-range text per key; pages are de-duplicated before the shuffle."""
-    return df.groupBy(*key).agg(
-        scalars.ranges_text(F.sort_array(F.collect_set(col)), sep).alias("ranges")
-    )
+    """Page-range text per key, from its runs of pages; a key without pages has an empty text."""
+    return intervals.interval_sets(df, key, col).select(*key, intervals.text(F.col("runs"), sep).alias("ranges"))

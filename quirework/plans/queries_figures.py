@@ -217,7 +217,7 @@ IMAGE_VIEWS = ("image_placement", "stream_size")
 
 @query("d1_image_catalog", "SELECT * FROM images", IMAGE_VIEWS, IMAGES)
 def _(t: Tables):
-    return catalog.image_catalog(t("image_placement")).withColumn("pages", F.size("page_numbers")).drop("page_numbers")
+    return catalog.image_catalog(t("image_placement")).withColumn("pages", F.col("pages").cast("int")).drop("page_runs")
 
 
 @query("d2_images_within", """
@@ -262,7 +262,7 @@ def _assets(t: Tables):
 
 @query("d5_asset_catalog_g1_union", "SELECT * FROM assets", STORAGE_VIEWS, CATALOG)
 def _(t: Tables):
-    return _assets(t).select("doc_id", "key", "kind", F.get("page_numbers", F.lit(0)).alias("first_page"), "storage_bytes")
+    return _assets(t).select("doc_id", "key", "kind", F.get("page_runs", F.lit(0))["first"].alias("first_page"), "storage_bytes")
 
 
 @query("f1_catalog_order", """

@@ -14,7 +14,7 @@ TABLES = {
     "stream_size": "doc_id BIGINT, xref BIGINT, bytes BIGINT",
     "page_stream": "doc_id BIGINT, page_no INT, xref BIGINT, role STRING",
     "asset": (
-        "doc_id BIGINT, key STRING, kind STRING, page_numbers ARRAY<INT>, xref BIGINT, smask BIGINT, width INT, height INT, "
+        "doc_id BIGINT, key STRING, kind STRING, page_runs ARRAY<STRUCT<first: INT, last: INT>>, xref BIGINT, smask BIGINT, width INT, height INT, "
         "rect STRUCT<x0: DOUBLE, y0: DOUBLE, x1: DOUBLE, y1: DOUBLE>, title STRING, storage_bytes BIGINT, storage_is_estimate BOOLEAN"
     ),
     "variant": "doc_id BIGINT, key STRING, asset_ord BIGINT, level INT, score INT, payload_bytes BIGINT, visual_weight DOUBLE",

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.functions import intervals
 from quirework.operators.audit import FORMATS, MAX_EXPORT_ITEMS
 
 
@@ -15,6 +17,10 @@ class PublishRefused(RuntimeError):
     """A check failed; the previous result is still the visible one."""
 
 
+class PublishConflict(PublishRefused):
+    """Another publisher was faster; its result is the visible one."""
+
+
 def refused_manifests(assets: DataFrame, max_items: int = MAX_EXPORT_ITEMS) -> DataFrame:
     """A4: documents whose export is too large for a manifest, with their item count and the reason."""
     counts = assets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("item_count"))
@@ -24,7 +30,7 @@ def refused_manifests(assets: DataFrame, max_items: int = MAX_EXPORT_ITEMS) -> D
 def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EXPORT_ITEMS) -> DataFrame:
     """A4: one nested row per document: counts, formats and items in index order.
 
-    ``assets`` has doc_id, index, key, kind, page_numbers, title; ``files`` has doc_id, key,
+    ``assets`` has doc_id, index, key, kind, page_runs or page_numbers, title; ``files`` has doc_id, key,
     format, name, bytes. A manifest is one document by nature, so an export above ``max_items``
     gets none; ``refused_manifests`` lists those.
     """
@@ -34,11 +40,12 @@ def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EX
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("format", "name")))).alias("files"),
         F.sum("bytes").alias("_bytes"),
     )
+    pages = intervals.numbers(F.col("page_runs")) if "page_runs" in assets.columns else F.col("page_numbers")
     entry = F.struct(
         F.col("index").cast("int").alias("index"),
         F.col("key").alias("source_asset_key"),
         F.col("kind").alias("type"),
-        F.transform("page_numbers", lambda p: (p + 1).cast("int")).alias("source_pages"),
+        F.transform(pages, lambda p: (p + 1).cast("int")).alias("source_pages"),
         F.nullif("title", F.lit("")).alias("title"),
         F.coalesce("files", F.create_map().cast("map<string,string>")).alias("files"),
     )
@@ -59,12 +66,14 @@ def build_manifests(assets: DataFrame, files: DataFrame, max_items: int = MAX_EX
     return listed.withColumn("requested_formats", formats).withColumn("items", ordered).drop("_items")
 
 
-def write_manifest(assets: DataFrame, files: DataFrame, path: str) -> None:
-    """A4: manifests as JSON lines, one document per line; refuses an existing path and oversized exports."""
-    refused = refused_manifests(assets).head()
-    if refused is not None:
-        raise PublishRefused(f"export refused: {refused.asDict()}")
+def write_manifest(assets: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """A4: manifests as JSON lines, one document per line; refuses an existing path.
+
+    A document whose export is too large gets no manifest and keeps no other from having one; the
+    result lists those documents with the reason.
+    """
     write_once(build_manifests(assets, files), path, "json")
+    return refused_manifests(assets)
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -72,7 +81,8 @@ def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("errorifexists").format(fmt).save(path)
 
 
-POINTER = "_current"
+LOG = "_log"
+KEPT = 2  # versions that stay: the visible one and the one before, for readers that are still at it
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -81,40 +91,63 @@ def _hadoop(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def _read_pointer(spark: SparkSession, dest: str) -> str | None:
-    fs, pointer = _hadoop(spark, f"{dest}/{POINTER}")
-    if not fs.exists(pointer):
+def _commits(spark: SparkSession, dest: str) -> list[int]:
+    """The numbers of the log, in order."""
+    fs, folder = _hadoop(spark, f"{dest}/{LOG}")
+    if not fs.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in fs.listStatus(folder)]
+    return sorted(int(name) for name in names if name.isdigit())
+
+
+def _version(spark: SparkSession, dest: str, number: int) -> str | None:
+    """The version that a commit names; none while it is not wholly written, or once it is deleted."""
+    fs, entry = _hadoop(spark, f"{dest}/{LOG}/{number:020d}")
+    if not fs.exists(entry):
         return None
-    stream = fs.open(pointer)
+    stream = fs.open(entry)
     try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+    return text.strip() if text.endswith("\n") else None
 
 
-def _swap_pointer(spark: SparkSession, dest: str, version: str) -> None:
-    """Name ``version`` as the visible one: a small file, replaced in one rename."""
-    fs, fresh = _hadoop(spark, f"{dest}/.{version}.pointer")
-    out = fs.create(fresh, True)
+def _commit(spark: SparkSession, dest: str, number: int, version: str) -> bool:
+    """Create the commit ``number``, unless there is one: the file system decides between publishers."""
+    fs, entry = _hadoop(spark, f"{dest}/{LOG}/{number:020d}")
     try:
-        out.write(bytearray(version.encode()))
+        out = fs.create(entry, False)
+    except Py4JJavaError as error:
+        if fs.exists(entry):
+            return False
+        raise error
+    try:
+        out.write(bytearray(f"{version}\n".encode()))
     finally:
         out.close()
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = gateway.new_array(kind, 1)
-    options[0] = kind.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    _, pointer = _hadoop(spark, f"{dest}/{POINTER}")
-    context.rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
+    return True
 
 
 def published_path(spark: SparkSession, dest: str) -> str:
-    """The folder of the version that ``dest`` shows."""
-    version = _read_pointer(spark, dest)
-    if version is None:
-        raise FileNotFoundError(f"nothing is published at {dest}")
-    return f"{dest}/{version}"
+    """The folder of the version that ``dest`` shows: that of the last whole commit."""
+    for number in reversed(_commits(spark, dest)):
+        version = _version(spark, dest, number)
+        if version is not None:
+            return f"{dest}/{version}"
+    raise FileNotFoundError(f"nothing is published at {dest}")
+
+
+def _delete_superseded(spark: SparkSession, dest: str) -> None:
+    """Delete versions that the log names and that later commits have replaced, then their commits.
+
+    A folder that no commit names may belong to a publisher that is still writing it; it stays.
+    """
+    whole = [(n, v) for n in _commits(spark, dest) if (v := _version(spark, dest, n)) is not None]
+    for number, version in whole[:-KEPT]:
+        for path in (f"{dest}/{version}", f"{dest}/{LOG}/{number:020d}"):
+            fs, target = _hadoop(spark, path)
+            fs.delete(target, True)
 
 
 def publish(
@@ -127,14 +160,17 @@ def publish(
 ) -> str:
     """Write a new version below ``dest``, audit what was written, then make it the visible one.
 
-    Versions never change; a pointer file names the visible one and is replaced last, in one atomic
-    rename. Whatever fails before leaves the old result visible, and there is no moment without one.
-    Every check maps the written data to its violations and must come back empty. ``unchanged``
-    gives the sources that are no longer those that were inspected; it is asked right before the
-    swap. The version before stays for readers that are still at it; older ones are deleted.
+    Versions never change. A log of numbered commits says which one is visible: the last. A publisher
+    notes the last number when it begins and at the end creates the next one, if nobody has: of two
+    that began at the same state one succeeds, the other raises ``PublishConflict`` and may begin
+    again. That needs no rename and no lock. Whatever fails before leaves the old result visible, and
+    there is no moment without one. Every check maps the written data to its violations and must come
+    back empty. ``unchanged`` gives the sources that are no longer those that were inspected; it is
+    asked right before the commit. The version before stays for readers that are still at it; older
+    ones are deleted, if the log lists them.
     """
     spark = df.sparkSession
-    before = _read_pointer(spark, dest)
+    seen = max(_commits(spark, dest), default=0)
     version = f"v-{uuid.uuid4().hex}"
     write_once(df, f"{dest}/{version}", fmt)
     fs, written_path = _hadoop(spark, f"{dest}/{version}")
@@ -149,13 +185,10 @@ def publish(
         changed = unchanged().head() if unchanged is not None else None
         if changed is not None:
             raise PublishRefused(f"source changed: {changed.asDict()}")
-        _swap_pointer(spark, dest, version)
+        if max(_commits(spark, dest), default=0) != seen or not _commit(spark, dest, seen + 1, version):
+            raise PublishConflict(f"{dest} was published by another one meanwhile")
     except Exception:
         fs.delete(written_path, True)
         raise
-    _, top = _hadoop(spark, dest)
-    for entry in fs.listStatus(top):
-        name = entry.getPath().getName()
-        if name.startswith("v-") and name not in (version, before):
-            fs.delete(entry.getPath(), True)
+    _delete_superseded(spark, dest)
     return version

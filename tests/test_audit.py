@@ -1,5 +1,7 @@
 import json
+import itertools
 import os
+import random
 import time
 
 import pytest
@@ -75,6 +77,29 @@ def test_free_names(spark):
     assert got == {("a", 1): "a (2)", ("a", 3): "a (4)", ("a", 7): "a (5)", ("b", 2): "b", ("c (2)", 1): "c (2) (2)"}
 
 
+def test_free_names_against_counting(spark):
+    rng = random.Random(6)
+    wanted, taken, want = [], [], {}
+    for base in "pqrs":
+        held = {rng.randint(1, 40) for _ in range(rng.choice([0, 5, 25]))}
+        asked = sorted(rng.sample(range(500), 30))
+        taken += [(base if n == 1 else f"{base} ({n})",) for n in held] + [(f"{base} (x)",), (f"{base} (0)",)]
+        wanted += [(base, o) for o in asked]
+        free = (n for n in itertools.count(1) if n not in held)
+        want |= {(base, o): base if (n := next(free)) == 1 else f"{base} ({n})" for o in asked}
+    got = audit.free_names(spark.createDataFrame(wanted, "base string, ord int"), spark.createDataFrame(taken, "name string"))
+    assert {(r.base, r.ord): r["name"] for r in got.collect()} == want and got.schema["ord"].dataType.simpleString() == "int"
+
+
+def test_ten_million_requests_for_one_name(spark):
+    n = 10_000_000
+    wanted = spark.range(n).select(F.lit("a").alias("base"), F.col("id").alias("ord"))
+    taken = spark.range(2, 1_000_001).select(F.concat(F.lit("a ("), F.col("id") * 3, F.lit(")")).alias("name"))
+    last = audit.free_names(wanted, taken).agg(F.count(F.lit(1)), F.max_by("name", "ord"), F.max_by("name", F.col("ord") == 2), F.max_by("name", F.col("ord") == 4)).first()
+    # 999 999 numbers are taken below the last one; 6 is the first of them.
+    assert tuple(last) == (n, f"a ({n + 999_999})", "a (3)", "a (5)")
+
+
 def test_fixture_match(spark):
     schema = "fixture string, sha256 string"
     old = spark.createDataFrame([("source", "AB"), ("stress", "CD")], schema)
@@ -120,9 +145,9 @@ def test_oversized_exports_are_refused(spark, tmp_path):
     both = assets.unionByName(small.where("doc_id = 2"))
     assert [tuple(r) for r in sinks.refused_manifests(both).collect()] == [(1, 20_001, "too_many_items")]
     assert [r.doc_id for r in sinks.build_manifests(both, written).collect()] == [2]
-    with pytest.raises(sinks.PublishRefused):
-        sinks.write_manifest(both, written, str(tmp_path / "m"))
-    assert not (tmp_path / "m").exists()
+    refused = sinks.write_manifest(both, written, str(tmp_path / "m"))
+    assert [(r.doc_id, r.reason) for r in refused.collect()] == [(1, "too_many_items")]
+    assert [r.doc_id for r in spark.read.schema(MANIFEST).json(str(tmp_path / "m")).collect()] == [2]
 
 
 def test_publish_keeps_the_old_result_on_failure(spark, tmp_path):
@@ -146,6 +171,42 @@ def test_publish_keeps_the_old_result_on_failure(spark, tmp_path):
     assert versions == sorted([second, third]) and first not in versions
 
 
+def test_two_publishers_at_once(spark, tmp_path):
+    dest = str(tmp_path / "shared")
+    shown = lambda: spark.read.parquet(sinks.published_path(spark, dest)).count()
+    folders = lambda: {n for n in os.listdir(dest) if n.startswith("v-")}
+    first = sinks.publish(spark.range(2), dest, [])
+    inner = {}
+
+    def meanwhile():
+        """Others publish three times while this one has written its version and not yet committed it."""
+        mine = folders() - {first}
+        assert len(mine) == 1
+        for k in (3, 4, 5):
+            inner[k] = sinks.publish(spark.range(k), dest, [])
+        # Their clean-up deleted what their commits replaced, and not the folder that no commit names.
+        assert folders() == {inner[4], inner[5]} | mine
+        return spark.range(0)
+
+    with pytest.raises(sinks.PublishConflict):
+        sinks.publish(spark.range(9), dest, [], unchanged=meanwhile)
+    assert shown() == 5 and folders() == {inner[4], inner[5]}
+    # The loser begins again and succeeds.
+    again = sinks.publish(spark.range(9), dest, [])
+    assert shown() == 9 and folders() == {inner[5], again}
+
+
+def test_a_commit_that_is_not_wholly_written(spark, tmp_path):
+    dest = str(tmp_path / "shared")
+    sinks.publish(spark.range(2), dest, [])
+    assert not sinks._commit(spark, dest, 1, "v-other")
+    (tmp_path / "shared" / "_log" / f"{2:020d}").write_text("v-hal")
+    assert spark.read.parquet(sinks.published_path(spark, dest)).count() == 2
+    sinks.publish(spark.range(7), dest, [])
+    assert spark.read.parquet(sinks.published_path(spark, dest)).count() == 7
+    assert sinks._commits(spark, dest) == [1, 2, 3]
+
+
 def test_inventory_and_tables(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.pdf").write_bytes(b"x" * 1024)
