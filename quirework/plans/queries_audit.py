@@ -301,6 +301,60 @@ def _(t: Tables):
     return states.withColumn("ended_at", F.unix_micros("ended_at"))
 
 
+SLICES, FILES = 4, 2
+SILENT_HOURS = 6
+
+
+def _sliced_stream(t: Tables):
+    """The job events in files by time, a few a trigger; some early messages arrive with the last files."""
+    events = t("job_event").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - F.lit(low)) * SLICES / F.lit(high - low + 1))
+    late = (part == 0) & (F.col("seq") % 20 == 3)
+    sliced = events.withColumn("part", F.when(late, SLICES - 1).otherwise(part))
+    path = fresh_dir(t.spark, "job-events")
+    for k in range(SLICES):
+        sliced.where(F.col("part") == k).drop("part").repartition(FILES).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
+ON_TIME = f"""
+on_time AS (SELECT job_id, seq, ts, generation, kind, progress FROM (
+  SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS low, max(epoch_us(ts)) OVER () AS high FROM job_event)
+  WHERE NOT (floor((us - low) * {SLICES} / (high - low + 1)) = 0 AND seq % 20 = 3))"""
+
+
+@query("j4_silent_jobs_stream", f"""
+    WITH n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS following, bool_or(kind = 'cancel_requested') OVER w AS asked,
+                      (SELECT max(ts) FROM job_event) - INTERVAL '1 day' AS certain
+               FROM on_time WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+    e AS (SELECT * FROM n WHERE kind IN ('completed', 'failed', 'cancelled') OR coalesce(following, certain) - ts >= INTERVAL '{SILENT_HOURS} hours'
+          QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) = 1)
+    SELECT job_id, CASE WHEN kind IN ('failed', 'cancelled') THEN kind WHEN asked THEN 'cancelled' WHEN kind = 'completed' THEN kind ELSE 'failed' END AS state,
+           epoch_us(ts) AS ended_at FROM e""", ("job_event",), ON_TIME)
+def _(t: Tables):
+    states = _run(t, "silent", jobs.terminal_state_stream(_sliced_stream(t), "1 day", SILENT_HOURS * 3_600_000, 10**12))
+    return states.withColumn("ended_at", F.unix_micros("ended_at"))
+
+
+@query("j2_bounded_generation", """
+    SELECT job_id, generation, seq, kind FROM on_time
+    QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY generation DESC, seq DESC) = 1""", ("job_event",), ON_TIME)
+def _(t: Tables):
+    events = _sliced_stream(t).select("job_id", "generation", "seq", "kind", "ts")
+    updates = _run(t, "bounded", jobs.newest_stream(events, ["job_id"], ["generation", "seq"], "1 day", 20 * 86_400_000), "update")
+    return jobs.latest_generation(updates, ["job_id"], "batch_id").drop("batch_id")
+
+
+@query("j3_bounded_progress", """
+    SELECT job_id, max(least(greatest(progress, 0), 99)) AS progress FROM on_time WHERE kind = 'progress' GROUP BY job_id""", ("job_event",), ON_TIME)
+def _(t: Tables):
+    capped = F.least(F.greatest(F.col("progress"), F.lit(0)), F.lit(99)).alias("progress")
+    events = _sliced_stream(t).where("kind = 'progress'").select("job_id", capped, "ts")
+    updates = _run(t, "bounded", jobs.newest_stream(events, ["job_id"], ["progress"], "1 day", 40 * 86_400_000), "update")
+    return jobs.latest_generation(updates, ["job_id"], "batch_id").drop("batch_id")
+
+
 @query("j5_heartbeat_sessions", """
     WITH g AS (SELECT job_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) >= INTERVAL '6 hours', true) AS starts FROM job_event),
     s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY job_id ORDER BY ts) AS n FROM g)

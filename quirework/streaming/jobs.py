@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quirework.operators import timeline
 from quirework.operators.intake import MAX_INPUT_BYTES
@@ -73,56 +73,153 @@ def first_terminal(job_event: DataFrame) -> DataFrame:
     )
 
 
+def _micros(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.assign(us=rows["ts"].astype("datetime64[us]").astype("int64"))
+
+
+class _TerminalStates(StatefulProcessor):
+    """Four values a job: a cancel was requested, the last message, whether it is settled, the timer."""
+
+    def __init__(self, timeout_ms: int, retain_ms: int):
+        self.timeout_ms, self.retain_ms = timeout_ms, retain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "asked boolean, last long, done boolean, timer long")
+
+    def _keep(self, asked: bool, last: int, done: bool, timer: int, watermark: int) -> None:
+        wanted = max(last // 1000 + (self.retain_ms if done else self.timeout_ms), watermark + 1)
+        if wanted != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
+        self.job.update((asked, last, done, wanted))
+
+    def _verdict(self, key, state: str, us: int) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "state": [state], "ended_at": [pd.Timestamp(us, unit="us")]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        asked, last, done, timer = self.job.get() if self.job.exists() else (False, 0, False, 0)
+        verdict = None
+        # What came while the job was open is taken in the order of its time.
+        for kind, us in _ordered(rows):
+            if done and us - last >= self.retain_ms * 1000:
+                asked, last, done = False, 0, False
+            if not done and last and us - last >= self.timeout_ms * 1000:
+                verdict, done = ("cancelled" if asked else "failed", last), True
+            if not done and kind in TERMINAL:
+                verdict, done = ("cancelled" if asked and kind == "completed" else kind, us), True
+            asked, last = asked or kind == "cancel_requested", max(last, us)
+        self._keep(asked, last, done, timer, timerValues.getCurrentWatermarkInMs())
+        if verdict:
+            yield self._verdict(key, *verdict)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        asked, last, done, _ = self.job.get()
+        if done:
+            self.job.clear()
+        else:
+            self._keep(asked, last, True, 0, timerValues.getCurrentWatermarkInMs())
+            yield self._verdict(key, "cancelled" if asked else "failed", last)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
+    """(kind, microseconds) of one job's new messages by time and number; Spark hands them over in pieces."""
+    frame = _micros(pd.concat(list(rows), ignore_index=True)).sort_values(["us", "seq"])
+    return zip(frame["kind"], (int(us) for us in frame["us"]))
+
+
+def _with_rocksdb(frame: DataFrame) -> DataFrame:
+    """State with timers needs this provider; the query takes the setting when it starts."""
+    frame.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    return frame
+
+
 def terminal_state_stream(
     job_event: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 600_000, retain_ms: int = 7 * 86_400_000
 ) -> DataFrame:
     """One terminal state per job; a job silent for ``timeout_ms`` of event time fails,
     or counts as cancelled when a cancel was requested.
 
-    State per job is four values. The watermark decides when silence is certain. A settled job is
-    remembered for ``retain_ms`` of event time after its last message, so that later messages
-    change nothing; one that comes later still would open the job anew.
+    Silence is settled by an event-time timer once the watermark has passed it, or by the next
+    message if that comes first; messages older than the watermark are dropped. A settled job is
+    remembered for ``retain_ms`` of event time after its last message, so that later messages change
+    nothing; then its state is deleted, and one that comes later still would open the job anew.
     """
+    return (
+        _with_rocksdb(job_event).withWatermark("ts", watermark).select("job_id", "ts", "seq", "kind")
+        .groupBy("job_id")
+        .transformWithStateInPandas(
+            _TerminalStates(timeout_ms, retain_ms), "job_id long, state string, ended_at timestamp", "Append", "EventTime",
+        )
+    )
 
-    def settle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        asked, last, done = state.get if state.exists else (0, 0, 0)
-        verdict = None
-        if state.hasTimedOut:
-            if done:
-                state.remove()
-                return
-            verdict = ("cancelled" if asked else "failed", last)
+
+class _Newest(StatefulProcessor):
+    """The greatest order of a key with its row; the row goes first, the order stays as a tombstone."""
+
+    def __init__(self, fields: list[str], order: list[str], schema: str, retain_ms: int):
+        self.fields, self.order, self.schema, self.retain_ms = fields, order, schema, retain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", self.schema)
+        self.mark = handle.getValueState("mark", f"{', '.join(f'o{k} long' for k in range(len(self.order)))}, last long, timer long")
+
+    def _keep(self, order: tuple, last: int, timer: int, wait: int, watermark: int) -> None:
+        wanted = max(last // 1000 + wait, watermark + 1)
+        if wanted != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
+        self.mark.update((*order, last, wanted))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *held, last, timer = self.mark.get() if self.mark.exists() else (*[None] * len(self.order), 0, 0)
+        frame = _micros(pd.concat(list(rows), ignore_index=True))
+        newest = frame.sort_values(self.order).iloc[-1:]
+        order, last = tuple(int(newest[c].iloc[0]) for c in self.order), max(last, int(frame["us"].max()))
+        better = held[0] is None or order > tuple(held)
+        self._keep(order if better else tuple(held), last, timer, self.retain_ms, timerValues.getCurrentWatermarkInMs())
+        if better:
+            row = newest[self.fields]
+            self.row.update(tuple(v.item() if hasattr(v, "item") else v for v in row.iloc[0]))
+            yield row
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.row.exists():
+            *held, last, _ = self.mark.get()
+            self.row.clear()
+            self._keep(tuple(held), last, 0, 2 * self.retain_ms, timerValues.getCurrentWatermarkInMs())
         else:
-            end, ask = None, None
-            for rows in batches:
-                micros = rows["ts"].astype("datetime64[us]").astype("int64")
-                last = max(last, int(micros.max()))
-                for kinds, name in ((TERMINAL, "end"), (("cancel_requested",), "ask")):
-                    mine = rows.assign(us=micros)[rows["kind"].isin(kinds)].nsmallest(1, ["us", "seq"])
-                    if len(mine):
-                        first = (int(mine["us"].iloc[0]), int(mine["seq"].iloc[0]), mine["kind"].iloc[0])
-                        if name == "end":
-                            end = first if end is None else min(end, first)
-                        else:
-                            ask = first if ask is None else min(ask, first)
-            if end is not None and not done:
-                before = asked or (ask is not None and ask[:2] < end[:2])
-                verdict = ("cancelled" if before and end[2] == "completed" else end[2], end[0])
-            asked = int(bool(asked or ask is not None))
-        settled = bool(done or verdict)
-        state.update((asked, last, int(settled)))
-        wait = retain_ms if settled else timeout_ms
-        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        if verdict:
-            yield pd.DataFrame({"job_id": [key[0]], "state": [verdict[0]], "ended_at": [pd.Timestamp(verdict[1], unit="us")]})
+            self.mark.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def newest_stream(
+    events: DataFrame, key: list[str], order: list[str], watermark: str = "10 minutes", retain_ms: int = 7 * 86_400_000
+) -> DataFrame:
+    """J2 and J3 with bounded state: a row whenever a key's greatest ``order`` (whole numbers) rises (update mode).
 
+    ``order`` is the generation and what decides within it (J2), or the reported progress (J3). A key
+    without a message for ``retain_ms`` of event time keeps no row, only its order as a tombstone, so
+    that a late superseded generation does not come back; after as long again that is deleted too.
+    Within the retention the results are those of ``latest_generation`` and ``progress_stream``.
+    ``events`` has ``ts``; messages older than the watermark are dropped.
+    """
+    fields = [c for c in events.columns if c != "ts"]
+    schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in fields)
     return (
-        job_event.withWatermark("ts", watermark)
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            settle, "job_id long, state string, ended_at timestamp", "asked int, last long, done int",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
+        _with_rocksdb(events).withWatermark("ts", watermark).groupBy(*key)
+        .transformWithStateInPandas(_Newest(fields, order, schema, retain_ms), schema, "Update", "EventTime")
     )
 
 

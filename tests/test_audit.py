@@ -294,6 +294,48 @@ def test_terminal_states_with_silence(spark, tmp_path):
     assert got == {1: "completed", 2: "failed", 3: "cancelled", 4: "cancelled", 5: "failed"}
 
 
+def test_silence_late_messages_and_retention(spark, tmp_path):
+    second = 1_000_000
+    batches = [
+        # 1 ends twice, 2 falls silent, 3 after a cancel request, 4 between two messages, 5 has only a cancel request and an end.
+        [(1, 0, 0, "completed", 0), (2, 0, 0, "progress", 1), (3, 0, second, "cancel_requested", 0), (4, 0, 0, "progress", 0), (4, 1, 9 * second, "progress", 0)],
+        [(1, 1, 5 * second, "failed", 0), (4, 2, 20 * second, "completed", 0), (5, 0, 20 * second, "cancel_requested", 0), (5, 1, 21 * second, "completed", 0)],
+        # 2 comes back when it is settled, 6 is too late to be heard, 1 opens anew long after its retention.
+        [(2, 1, 60 * second, "completed", 0), (6, 0, 2 * second, "failed", 0), (7, 0, 60 * second, "progress", 0)],
+        [(8, 0, 500 * second, "progress", 0)], [(6, 1, 2 * second, "failed", 0), (1, 2, 501 * second, "failed", 0)], [(8, 1, 502 * second, "progress", 0)],
+    ]
+    stream = jobs.terminal_state_stream(event_stream(spark, str(tmp_path / "in"), batches), "1 second", 10_000, 100_000)
+    jobs.run_available(stream, str(tmp_path / "ck"), str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).selectExpr("job_id", "state", "unix_micros(ended_at) - 1000000000000 AS us").collect()
+    assert sorted(tuple(r) for r in rows) == [
+        (1, "completed", 0), (1, "failed", 501 * second), (2, "failed", 0), (3, "cancelled", second), (4, "failed", 9 * second),
+        (5, "cancelled", 21 * second), (7, "failed", 60 * second)]
+
+
+def test_state_of_idle_keys_is_deleted(spark, tmp_path):
+    second = 1_000_000
+    batches = [
+        [(k, 0, 0, "progress", 7) for k in range(40)], [(100, 0, 60 * second, "progress", 1)],
+        # The rows of the forty are gone, their marks are not: an older report does not come back, a newer one counts.
+        [(1, 1, 61 * second, "progress", 3), (2, 1, 61 * second, "progress", 9), (100, 1, 62 * second, "progress", 1)],
+        [(100, 2, 900 * second, "progress", 2)], [(100, 3, 901 * second, "progress", 3)], [(100, 4, 902 * second, "progress", 4)],
+    ]
+    events = event_stream(spark, str(tmp_path / "in"), batches).select("job_id", "progress", "ts")
+    stream = jobs.newest_stream(events, ["job_id"], ["progress"], "1 second", 50_000)
+    sizes = []
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch_id={batch_id}"))
+
+    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).outputMode("update").foreachBatch(keep).start()
+    query.awaitTermination()
+    sizes = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(sizes) >= 80 and sizes[-1] < 20
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.job_id, r.progress) for r in rows.where("job_id IN (1, 2, 3)").collect()) == [(1, 7), (2, 7), (2, 9), (3, 7)]
+    assert jobs.latest_generation(rows, ["job_id"], "batch_id").where("job_id = 100").head().progress == 4
+
+
 def test_new_files_are_seen_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
