@@ -20,17 +20,22 @@ def _hour(ts: str) -> Column:
     return chunks.by_width(F.unix_micros(F.col(ts)), HOUR_MICROS)
 
 
-def growth_curve(events: DataFrame, ts: str, created: Column, tie: str, key: list[str] = []) -> DataFrame:
+def growth_curve(
+    events: DataFrame, ts: str, created: Column, tie: str, key: list[str] = [], generated_on: Column | None = None
+) -> DataFrame:
     """Step points of a running count: value before and after each event.
 
     Adds one start point, at the earlier of ``created`` and the first event but at least
-    six days before the last day ends, and one end point at the end of the last day.
+    six days before the end, and one end point. The curve ends with the day of ``generated_on``, and
+    later events stand there; without it with the day of the last event.
     """
     counted = chunks.scan(
         events.select(*key, ts, tie), key, [F.col(ts), F.col(tie)], _hour(ts), after=chunks.count()
     )
+    day_end = lambda c: F.date_trunc("day", c) + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
+    at = F.col(ts) if generated_on is None else F.least(F.col(ts), day_end(generated_on))
     steps = counted.select(
-        *key, F.col(ts).alias("at"), F.explode(F.array(
+        *key, at.alias("at"), F.explode(F.array(
             F.struct(F.lit("before").alias("point"), (F.col("after") - 1).alias("value")),
             F.struct(F.lit("after").alias("point"), F.col("after").alias("value")),
         )).alias("p"),
@@ -38,7 +43,7 @@ def growth_curve(events: DataFrame, ts: str, created: Column, tie: str, key: lis
     bounds = events.groupBy(*key).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    end = F.date_trunc("day", "_last") + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")
+    end = day_end(F.col("_last") if generated_on is None else generated_on)
     start = F.least(created, F.col("_first"), F.col("_end") - F.expr(f"INTERVAL '{MIN_SPAN_DAYS}' DAY"))
     ends = bounds.withColumn("_end", end).select(
         *key, F.explode(F.array(

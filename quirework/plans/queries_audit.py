@@ -61,6 +61,16 @@ def _(t: Tables):
     return audit.fixtures_match(current, digests)
 
 
+@query("c14_all_texts_match", """
+    WITH c AS (SELECT doc_id AS fixture, CASE WHEN n_chars > 60 THEN sha256(CASE WHEN lang = 'de' THEN text ELSE concat(text, '') END) END AS sha FROM documents),
+    b AS (SELECT doc_id AS fixture, sha256(text) AS old FROM documents WHERE n_chars % 7 <> 0)
+    SELECT coalesce(bool_and(coalesce(sha = old, false)), true) AS match, count(*) AS compared FROM c LEFT JOIN b USING (fixture) WHERE sha IS NOT NULL""")
+def _(t: Tables):
+    digests = t("documents").select(F.col("doc_id").alias("fixture"), F.sha2("text", 256).alias("sha256"), "n_chars")
+    current = digests.select("fixture", F.when(F.col("n_chars") > 60, F.upper("sha256")).alias("sha256"))
+    return audit.fixtures_match(current, digests.where("n_chars % 7 <> 0").select("fixture", "sha256"))
+
+
 EXISTING = """SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN concat(p_name, ' (', CAST(p_size AS STRING), ')')
     ELSE concat(p_name, ' copy') END AS name FROM """
 
@@ -211,6 +221,20 @@ def _(t: Tables):
     return curve.withColumn("at", F.unix_micros("at"))
 
 
+@query("e10_growth_until", """
+    WITH n AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS c FROM events),
+    b AS (SELECT event_type, min(ts) AS first, TIMESTAMP '2024-01-20 23:59:59' AS last, count(*) AS n FROM events GROUP BY 1)
+    SELECT event_type, epoch_us(least(ts, TIMESTAMP '2024-01-20 23:59:59')) AS at, 'before' AS point, c - 1 AS value FROM n
+    UNION ALL SELECT event_type, epoch_us(least(ts, TIMESTAMP '2024-01-20 23:59:59')), 'after', c FROM n
+    UNION ALL SELECT event_type, epoch_us(last), 'end', n FROM b
+    UNION ALL SELECT event_type, epoch_us(least(TIMESTAMP '2024-01-16 00:00:00', first, last - INTERVAL '6 days')), 'start', 0 FROM b""")
+def _(t: Tables):
+    day = lambda text: F.lit(text).cast("timestamp")
+    events = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    curve = timeline.growth_curve(events, "ts", day("2024-01-16"), "event_id", ["event_type"], day("2024-01-20 08:00:00"))
+    return curve.withColumn("at", F.unix_micros("at"))
+
+
 @query("e11_heartbeat_gaps", """
     WITH g AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000 AS gap FROM events)
     SELECT user_id, count(*) AS ticks, max(gap) AS max_gap_ms, arg_max(event_type, (gap, -epoch_us(ts), -event_id)) FILTER (gap IS NOT NULL) AS max_gap_context,

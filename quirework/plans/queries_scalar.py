@@ -325,6 +325,21 @@ def _(t: Tables):
     return intake.preflight(t("doc_file")).select("doc_id", "reason", "pages", "has_forms")
 
 
+@query("b1_c1_recheck", """
+    WITH verdict AS (SELECT doc_id, size_bytes, modified_ns, reason, CASE WHEN reason = '' THEN pages ELSE 0 END AS pages, reason = '' AND has_forms AS has_forms FROM (
+      SELECT *, CASE WHEN size_bytes IS NULL THEN 'missing' WHEN NOT lower(path) LIKE '%.pdf' THEN 'not_a_pdf_name'
+        WHEN size_bytes > 4294967296 THEN 'too_large' WHEN needs_pass THEN 'password' WHEN NOT is_pdf OR pages <= 0 THEN 'no_pages'
+        WHEN size_bytes <> size_after OR modified_ns <> modified_after THEN 'changed' ELSE '' END AS reason FROM doc_file))
+    SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN modified_ns - 1 ELSE modified_ns END AS modified_ns, 'missing' AS reason, 0 AS pages, false AS has_forms, true AS rechecked
+      FROM verdict WHERE doc_id % 9 = 1 AND doc_id % 8 <> 3
+    UNION ALL SELECT doc_id, modified_ns, reason, pages, has_forms, doc_id % 8 = 3 OR doc_id % 11 = 0 FROM verdict WHERE doc_id % 9 <> 1""", ("doc_file",))
+def _(t: Tables):
+    files = t("doc_file")
+    # The earlier state lacks some files, has others that are gone now, and some were written since.
+    before = intake.preflight(files).where("doc_id % 8 <> 3").withColumn("modified_ns", F.expr("CASE WHEN doc_id % 11 = 0 THEN modified_ns - 1 ELSE modified_ns END"))
+    return flows.recheck(before, files.where("doc_id % 9 <> 1")).drop("size_bytes")
+
+
 @query("b17_validate_tasks", """
     WITH r AS (SELECT *, CASE WHEN dpi NOT BETWEEN 24 AND 1200 THEN 'dpi' WHEN quality NOT BETWEEN 35 AND 100 THEN 'quality'
         WHEN x1 <= x0 OR y1 <= y0 THEN 'no_area' WHEN px > 100000000 THEN 'task_pixels' END AS row_reason
