@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quirework.functions import chunks, intervals, rects, scalars
 
 KIND_ORDER = ["figure", "image", "vector"]
+# Ranks up to this are found by a limit in each task.
+SMALL_K = 10_000
 
 
 def image_catalog(image_placement: DataFrame) -> DataFrame:
@@ -111,26 +113,35 @@ def selection_summary(assets: DataFrame, selection: DataFrame, key: list[str] =
     )
 
 
-def largest_assets(assets: DataFrame, k: int, key: list[str] | None = None) -> DataFrame:
-    """the k largest assets per key, or of the whole corpus.
+def _first_ranks(df: DataFrame, key: list[str], order: list[Column], leading: Column, k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each key by ``order``, with their rank.
 
-    The rank filter is pushed into a per-task group limit before the shuffle.
+    A small ``k`` is pushed into a limit per task before the shuffle, so no task reads a whole hot key.
+    For a large one that saves nothing; keys with more rows than a chunk are then ranked in chunks of
+    ``leading``, the number that the order begins with.
     """
-    tie = [c for c in ("doc_id", "key") if c in assets.columns]
-    order = [F.col("storage_bytes").desc(), *tie]
+    if k <= SMALL_K:
+        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    else:
+        ranked = chunks.scan(df, key, order, chunks.by_magnitude(leading), only_above=chunks.CHUNK_WIDTH, **{name: chunks.count()})
+    return ranked.where(F.col(name) <= k)
+
+
+def largest_assets(assets: DataFrame, k: int, key: list[str] | None = None) -> DataFrame:
+    """the k largest assets per key, or of the whole corpus."""
+    tie = [F.col(c) for c in ("doc_id", "key") if c in assets.columns]
     if not key:
-        return assets.orderBy(*order).limit(k)
-    ranked = assets.withColumn("size_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return ranked.where(F.col("size_rank") <= k)
+        return assets.orderBy(F.col("storage_bytes").desc(), *tie).limit(k)
+    down = -F.col("storage_bytes").cast("double")
+    order = [F.col("storage_bytes").desc(), *tie] if k <= SMALL_K else [-F.col("storage_bytes"), *tie]
+    return _first_ranks(assets, key, order, down, k, "size_rank")
 
 
 def smallest_regions(regions: DataFrame, k: int) -> DataFrame:
     """The k smallest figure regions per document, the ones granted a resolution step."""
-    size = F.greatest(F.lit(0.0), rects.area(rects.rect_of()))
-    order = Window.partitionBy("doc_id").orderBy(size, "page_no", "region_no")
-    return regions.withColumn("area", size).withColumn("area_rank", F.row_number().over(order)).where(
-        F.col("area_rank") <= k
-    )
+    sized = regions.withColumn("area", F.greatest(F.lit(0.0), rects.area(rects.rect_of())))
+    order = [F.col("area"), F.col("page_no"), F.col("region_no")]
+    return _first_ranks(sized, ["doc_id"], order, F.col("area"), k, "area_rank")
 
 
 def apply_selection(assets: DataFrame, selection: DataFrame | None, on: list[str] = ["doc_id", "key"]) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import scalars
-from quirework.operators import figures, quality
+from quirework.operators import catalog, figures, quality
 from quirework.plans import flows
 from quirework.schemas import TABLES
 
@@ -250,3 +250,23 @@ def test_text_survives_new_line_breaks(spark, monkeypatch):
     assert [got[i].text_exact for i in (1, 2, 3)] == [True, False, True]
     assert [got[i].page_count_preserved for i in (1, 2, 3)] == [True, True, False]
     assert got[1].length_ratio == 1.0
+
+
+def test_ranks_of_a_hot_document(spark, monkeypatch):
+    """Half of a large document by size, in chunks, equals a plain ranking; so do small and tied ones."""
+    many = 300_000
+    rows = spark.range(many + 900).select(
+        F.when(F.col("id") < many, 1).otherwise(F.col("id") % 3 + 2).cast("long").alias("doc_id"), (F.col("id") * 7919 % 100_003).alias("storage_bytes"),
+        F.col("id").cast("string").alias("key"), (F.col("id") % 50).cast("int").alias("page_no"), F.col("id").alias("region_no"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"),
+        (F.col("id") * 31 % 997 / 7).alias("x1"), (F.col("id") % 13 / 3).alias("y1"),
+    )
+    monkeypatch.setattr(catalog, "SMALL_K", 10)
+    monkeypatch.setattr(catalog.chunks, "CHUNK_WIDTH", 5_000)
+    k = many // 2
+    rows.createOrReplaceTempView("hot_rows")
+    order = {"size_rank": "storage_bytes DESC, doc_id, key", "area_rank": "greatest(0, x1 * y1), page_no, region_no"}
+    for name, got in (("size_rank", catalog.largest_assets(rows, k, ["doc_id"])), ("area_rank", catalog.smallest_regions(rows, k))):
+        want = spark.sql(f"SELECT key, row_number() OVER (PARTITION BY doc_id ORDER BY {order[name]}) AS r FROM hot_rows").where(F.col("r") <= k)
+        same = got.select("key", F.col(name).alias("g")).join(want, "key", "full")
+        assert same.where("g IS DISTINCT FROM r").count() == 0 and got.count() == k + 900
+        assert {r["size_rank" if name == "size_rank" else "area_rank"] for r in (catalog.largest_assets(rows, 2, ["doc_id"]) if name == "size_rank" else catalog.smallest_regions(rows, 2)).collect()} == {1, 2}
