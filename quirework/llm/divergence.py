@@ -231,7 +231,10 @@ def judge(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), rules: Rules
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that pass, with all their columns; judged in one pass without a join."""
+    """The documents that pass, with all their columns; judged in one pass without a join.
+
+    Null, empty and short texts fail the base rule; equal rows are judged alike; an empty table gives none.
+    """
     return judge(docs, tuple(docs.columns), rules, kept_only=True).select("row.*")
 
 

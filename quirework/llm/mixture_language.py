@@ -221,7 +221,10 @@ RESULT = "lang_pred string, score double, shares array<struct<lang:string,share:
 
 
 def keep(docs: DataFrame, languages: Languages, least: float) -> DataFrame:
-    """The documents in a learned language with a share of at least ``least``, with all their columns."""
+    """The documents in a learned language with a share of at least ``least``, with all their columns.
+
+    Null texts and texts without a letter have no language and go; equal rows are judged alike.
+    """
     return identify(docs, languages, tuple(docs.columns), least=least, known_only=True).select("row.*")
 
 

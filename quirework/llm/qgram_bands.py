@@ -269,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, carried: tuple[str, ...] = ("do
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """The documents that hold no leak, with all their columns."""
+    """The documents that hold no leak, with all their columns; null and empty texts hold none."""
     for items in _blocks(benchmark, key, text):
         index = build([t for _, t in items])
 
