@@ -21,7 +21,13 @@ def write_whole(uri: str, write: Callable[[pa.NativeFile], None]) -> None:
     attempt = f"{folder}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(attempt) as sink:
         write(sink)
-    fs.move(attempt, path)
+    try:
+        fs.move(attempt, path)
+    except OSError:
+        # Some file systems refuse a name that another attempt has taken; its file holds the same.
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(attempt)
 
 
 def map_file(uri: str) -> pa.NativeFile:

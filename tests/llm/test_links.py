@@ -191,12 +191,12 @@ def test_leaks(spark, corpus):
     assert len(set(L.words_of(ITEMS[1])) - set(L.words_of(span[1000, 1]))) <= 2
     kept = {r["doc_id"] for r in Q.clean(docs, benchmark).collect()}
     assert kept == {r["doc_id"] for r in corpus.collect()}
-    # The same in several blocks of the benchmark.
-    limit, Q.MOST_CHARS = Q.MOST_CHARS, 500
+    # The same with an index in several shards.
+    limit, Q.MOST_BYTES = Q.MOST_BYTES, 500
     try:
         again = Q.leaks(docs, benchmark).select("row.doc_id", "item_key", "edits", "start", "stop").collect()
     finally:
-        Q.MOST_CHARS = limit
+        Q.MOST_BYTES = limit
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
 
 
@@ -229,6 +229,17 @@ def test_every_window_within_its_budget_is_found():
             assert (best.get(w) == least) if least <= index.budget[w] else w not in best
 
 
+def test_every_excerpt_of_thirteen_words_is_found():
+    for number in range(4):
+        words = L.words_of(prose(720 + number, 60, "fr" if number == 3 else "en"))
+        index = Q.build([prose(730, 40), " ".join(words), prose(731, 40)])
+        for i in range(len(words) - Q.WORDS + 1):
+            excerpt = " ".join(words[i : i + Q.WORDS])
+            data = np.frombuffer(f"Before it, {excerpt.upper()} and behind.".encode(), dtype=np.uint8)
+            item = Q.leaks_in(index, data, np.array([0, len(data)]))[1].tolist()
+            assert item == [1] or (len(excerpt.encode()) < Q.SHORTEST and item == [])
+
+
 def test_leaks_of_odd_rows(spark, odd, empty, clashing):
     benchmark = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
     nothing = benchmark.where("false")
