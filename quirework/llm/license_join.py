@@ -1,6 +1,9 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates.
 
-A block matches a template if it holds at least ``CONTAINED`` of the template's distinct words. The
+A block matches a template if it holds at least ``CONTAINED`` of the template's distinct words. Blocks
+are runs of consecutive words, whatever lines they stand on: twice as long as the longest notice of
+their kind and overlapping by half, so every notice stands whole in one of them, and words that are
+scattered over a page do not meet in any. The
 words are ordered by their frequency in the whole corpus, rarest first; a template's prefix are the
 words of which a matching block must have one. Candidates come from the prefixes alone, are thinned
 by length and by position, and are then counted exactly, so none is missed.
@@ -25,27 +28,30 @@ CONTAINED = 0.9
 # Templates travel with the tasks; more words than this must be scanned in several calls.
 MOST_TEMPLATE_WORDS = 200_000
 
+# Words of the longest notice of each kind; a block has twice as many, and the next one begins so many further.
+REACH = {"short": 12, "long": 36}
+
 # Phrases of the base labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Label, block ("line" or "paragraph") and wording of public licence notices.
+# Label, kind of block and wording of public licence notices.
 TEMPLATES = [
-    ("mit", "line", "Released under the MIT License"),
-    ("mit", "paragraph", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "paragraph", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
-    ("apache", "line", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "paragraph", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "line", "licensed under the GNU General Public License, version"),
-    ("gpl", "paragraph", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "line", "GNU Lesser General Public License"),
-    ("agpl", "line", "GNU Affero General Public License"),
-    ("bsd", "paragraph", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "paragraph", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "paragraph", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("unlicense", "paragraph", "This is free and unencumbered software released into the public domain"),
-    ("cc-by", "line", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "line", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "line", "Licensed under CC BY-SA 4.0"),
+    ("mit", "short", "Released under the MIT License"),
+    ("mit", "long", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "long", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("apache", "short", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "long", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("gpl", "short", "licensed under the GNU General Public License, version"),
+    ("gpl", "long", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl", "short", "GNU Lesser General Public License"),
+    ("agpl", "short", "GNU Affero General Public License"),
+    ("bsd", "long", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("isc", "long", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl", "long", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("unlicense", "long", "This is free and unencumbered software released into the public domain"),
+    ("cc-by", "short", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "short", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-sa", "short", "Licensed under CC BY-SA 4.0"),
 ]
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -64,7 +70,7 @@ class Index:
     member: np.ndarray  # templates x words
     needed: np.ndarray  # words that a match must share
     size: np.ndarray
-    line: np.ndarray  # whether the template is held against lines
+    short: np.ndarray  # whether the template is held against short blocks
     prefix_at: np.ndarray  # word number -> first entry of the two lists below
     prefix_of: np.ndarray  # the templates whose prefix holds the word
     prefix_place: np.ndarray  # and the place that it has there
@@ -119,6 +125,9 @@ def frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
 
 
 def build(templates, counts: dict[str, int], contained: float = CONTAINED) -> Index:
+    for _, unit, text in templates:
+        if len(words_of(text)) > REACH[unit]:
+            raise ValueError(f"a {unit} template has at most {REACH[unit]} words")
     ranked = sorted(counts, key=lambda w: (counts[w], w))
     number = {w: i for i, w in enumerate(ranked)}
     h = _hash(ranked)
@@ -133,7 +142,7 @@ def build(templates, counts: dict[str, int], contained: float = CONTAINED) -> In
     entries.sort()
     at = np.searchsorted([e[0] for e in entries], np.arange(len(ranked) + 1))
     return Index(
-        h[order], np.arange(len(ranked))[order], member, needed, member.sum(axis=1), np.array([unit == "line" for _, unit, _ in templates]),
+        h[order], np.arange(len(ranked))[order], member, needed, member.sum(axis=1), np.array([unit == "short" for _, unit, _ in templates]),
         at, np.array([e[1] for e in entries], dtype=np.int64), np.array([e[2] for e in entries], dtype=np.int64), tuple(label for label, _, _ in templates),
     )
 
@@ -145,7 +154,7 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + low[owner]
 
 
-def join(index: Index, block: np.ndarray, word: np.ndarray, line: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def join(index: Index, block: np.ndarray, word: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, template, shared words) of all matches; ``block`` and ``word`` list the template words of each block."""
     width = index.member.shape[1]
     key = np.unique(block * width + word)
@@ -157,7 +166,7 @@ def join(index: Index, block: np.ndarray, word: np.ndarray, line: bool) -> tuple
     template, place = index.prefix_of[entry], index.prefix_place[entry]
     # Length filter, then positions: what is left on the shorter side must reach the needed overlap.
     rest = 1 + np.minimum(index.size[template] - place, size[owner] - (owner - first[owner])) - 1
-    fits = (index.line[template] == line) & (size[owner] >= index.needed[template])
+    fits = (index.short[template] == short) & (size[owner] >= index.needed[template])
     pair = first[owner] * len(index.labels) + template
     # A pair's first shared prefix word bounds its overlap; rows come in rising word order.
     _, once = np.unique(pair, return_index=True)
@@ -206,13 +215,12 @@ def scan(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), templates=None
             count = W.per_row(spots, firsts)
             from_spot = np.searchsorted(spots, firsts)
             known = np.flatnonzero(number >= 0)
-            feed = np.flatnonzero(data == 0x0A)
-            breaks = feed[:-1][np.diff(feed) == 1] if len(feed) else feed
-            for line, cuts in ((True, feed), (False, breaks)):
-                # A block's number grows with every cut and with every row.
-                block = np.searchsorted(cuts, starts[known]) + row[known] * (len(data) + 1)
-                got, template, shared = join(index, block, number[known], line)
-                for r, t, s in zip((got // (len(data) + 1)).tolist(), template.tolist(), shared.tolist()):
+            place = known - firsts[row[known]]
+            for short in (True, False):
+                # Every word lies in two blocks; a block's number grows with the place and with every row.
+                step = place // REACH["short" if short else "long"] + row[known] * (len(data) + 2)
+                got, template, shared = join(index, np.concatenate([step, step + 1]), np.tile(number[known], 2), short)
+                for r, t, s in zip((got // (len(data) + 2)).tolist(), template.tolist(), shared.tolist()):
                     labels[r].add(index.labels[t])
                     score[r] = max(score[r], s / int(index.size[t]))
             has = count > 0
@@ -233,7 +241,8 @@ def _sql() -> str:
     """The same labels from plain set containment in SQL."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    values = ", ".join(f"('{label}', '{unit}', {sorted(set(words_of(text)))})" for label, unit, text in TEMPLATES)
+    values = ", ".join(f"({i}, '{label}', '{unit}', {sorted(set(words_of(text)))})" for i, (label, unit, text) in enumerate(TEMPLATES))
+    blocks = " UNION ALL ".join(f"SELECT doc_id, '{unit}' AS unit, pos // {n} - {back} AS b, word FROM places" for unit, n in REACH.items() for back in (0, 1))
     places = ", ".join(
         f"CASE WHEN {' AND '.join(f'''w[i + {k}] = '{x}' ''' for k, x in enumerate(phrase.split()))} THEN '{label}' END" for phrase, label in PHRASES
     )
@@ -243,11 +252,13 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
 spots AS (SELECT doc_id, i - 1 AS pos, unnest([{places}]) AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS found
   FROM spots WHERE label IS NOT NULL GROUP BY doc_id),
-templates(label, unit, words) AS (VALUES {values}),
-blocks AS (SELECT doc_id, 'line' AS unit, unnest(string_split(t, chr(10))) AS b FROM d
-  UNION ALL SELECT doc_id, 'paragraph', unnest(string_split(t, chr(10) || chr(10))) FROM d),
-sets AS (SELECT doc_id, unit, regexp_extract_all(b, '{word}') AS s FROM blocks),
-shared AS (SELECT doc_id, label, len(list_intersect(words, s)) AS n, len(words) AS size FROM sets JOIN templates USING (unit)),
+templates(number, label, unit, words) AS (VALUES {values}),
+wanted AS (SELECT number, label, unit, len(words) AS size, unnest(words) AS word FROM templates),
+places AS (SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w)
+  WHERE word IN (SELECT word FROM wanted)),
+blocks AS ({blocks}),
+shared AS (SELECT doc_id, label, count(DISTINCT word) AS n, size FROM blocks JOIN wanted USING (unit, word)
+  GROUP BY doc_id, unit, b, number, label, size),
 hits AS (SELECT doc_id, list(DISTINCT label) AS found, max(n::DOUBLE / size) AS best FROM shared
   WHERE n >= greatest(1, ceil({CONTAINED} * size - 1e-9)) GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,

@@ -124,8 +124,9 @@ def scanned(text, templates=L.TEMPLATES, contained=L.CONTAINED):
     labels, score = set(base), 1.0 if spots else 0.0
     for label, unit, wording in templates:
         want = set(L.words_of(wording))
-        for block in (text or "").split("\n" if unit == "line" else "\n\n"):
-            share = len(want & set(L.words_of(block))) / len(want)
+        step = L.REACH[unit]
+        for i in range(0, len(words), step):
+            share = len(want & set(words[i : i + 2 * step])) / len(want)
             if share >= contained - 1e-9:
                 labels.add(label)
                 score = max(score, share)
@@ -143,10 +144,23 @@ def test_licences_equal_brute_force(spark, odd, clashing, empty):
     assert L.scan(clashing, ("score", "row")).select("row.*").columns == ["score", "row"]
 
 
+def test_wrapped_notices_and_scattered_words(spark):
+    isc = L.words_of(next(text for label, _, text in L.TEMPLATES if label == "isc"))
+    cases = {
+        "see the GNU Lesser General Public\nLicense for": {"gpl", "lgpl"}, "GNU Affero\r\n\r\nGeneral\nPublic License": {"gpl", "agpl"},
+        "licensed under a Creative Commons\n# Attribution 4.0\n# International License.": {"cc-by"},
+        " ".join(f"{w} some other words that stand between" for w in isc): set(),
+    }
+    texts = [(" ".join(["word"] * k) + " " + text, labels) for text, labels in cases.items() for k in range(0, 40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, (t, _) in enumerate(texts)], SCHEMA)
+    got = {r["row"]["doc_id"]: r["labels"] for r in L.scan(docs).collect()}
+    assert got == {i: ",".join(sorted(labels)) for i, (_, labels) in enumerate(texts)}
+
+
 def test_set_join_equals_brute_force():
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(40)]
-    templates = [(str(i), "line" if i % 2 else "paragraph", " ".join(rng.choice(words, rng.integers(3, 12), replace=False))) for i in range(25)]
+    templates = [(str(i), "short" if i % 2 else "long", " ".join(rng.choice(words, rng.integers(3, 12), replace=False))) for i in range(25)]
     index = L.build(templates, {w: int(rng.integers(1, 50)) for w in words}, 0.7)
     ranked = np.argsort(index.number)
     number = {int(h): int(n) for h, n in zip(index.hashes, index.number)}
@@ -154,13 +168,13 @@ def test_set_join_equals_brute_force():
     blocks = [set(rng.choice(words, rng.integers(1, 30), replace=False)) for _ in range(200)]
     block = np.array([b for b, s in enumerate(blocks) for _ in s])
     word = np.array([of[w] for s in blocks for w in s])
-    for line in (True, False):
-        got = set(zip(*(x.tolist() for x in L.join(index, block, word, line))))
+    for short in (True, False):
+        got = set(zip(*(x.tolist() for x in L.join(index, block, word, short))))
         want = set()
         for b, s in enumerate(blocks):
             for t, (_, unit, text) in enumerate(templates):
                 shared = len(s & set(text.split()))
-                if (unit == "line") == line and shared >= np.ceil(0.7 * len(text.split()) - 1e-9):
+                if (unit == "short") == short and shared >= np.ceil(0.7 * len(text.split()) - 1e-9):
                     want.add((b, t, shared))
         assert got == want and len(ranked) == len(words)
 
