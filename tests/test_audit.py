@@ -4,10 +4,12 @@ import os
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import audit, catalog, intake, quality, timeline
+from quirework.plans.queries import ORACLES, QUERIES
 from quirework.schemas import MANIFEST, TABLES
 from quirework.sources import files, sinks
 from quirework.streaming import jobs
@@ -355,3 +357,13 @@ def test_stalls_start_new_sessions(spark, tmp_path):
     jobs.run_available(jobs.heartbeat_stream(stream), str(tmp_path / "ck"), str(tmp_path / "out"), "complete")
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("first_tick").collect()
     assert [r.ticks for r in got] == [2, 1, 1]
+
+
+def test_payload_sql_knows_the_sizes(spark, tmp_path):
+    rows = [(1, "abc", "fr"), (2, "abc", "en"), (3, None, "en"), (4, "abcdef", "fr"), (5, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    mine = sorted(tuple(r) for r in QUERIES["b21_check_payloads"](spark, str(tmp_path)).collect())
+    assert mine == [(1, "size"), (2, ""), (3, "size"), (4, "format"), (5, "size")]
+    assert sorted(con.execute(ORACLES["b21_check_payloads"]).fetchall()) == mine
