@@ -67,3 +67,13 @@ def test_set_ranges(spark, text, pages):
         assert [(r.reason, r.page_index) for r in got] == [("invalid", None)]
     else:
         assert {r.page_index for r in got if r.page_index is not None} == pages
+
+
+def test_captions_with_one_place_and_number_have_an_order(spark):
+    page = spark.createDataFrame([(1, 0, 0.0, 0.0, 600.0, 800.0)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
+    rows = [(1, 0, 7, "Figure 2: b", 60.0, 50.0, 460.0, 62.0), (1, 0, 7, "Figure 1: a", 60.0, 50.0, 260.0, 62.0), (1, 0, 7, "Fig. 3: c", 60.0, 50.0, 260.0, 62.0)]
+    schema = "doc_id long, page_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double"
+    for order in (rows, rows[::-1]):
+        found = captions.captions(spark.createDataFrame(order, schema).coalesce(1))
+        got = captions.lane_limits(captions.caption_lane(found, page)).orderBy("caption_no").collect()
+        assert [(r.label, r.lane, r.lower_limit) for r in got] == [("Fig. 3", "left", 0.0), ("Figure 1", "left", 62.0), ("Figure 2", "full", 62.0)]
