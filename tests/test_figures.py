@@ -270,3 +270,23 @@ def test_ranks_of_a_hot_document(spark, monkeypatch):
         same = got.select("key", F.col(name).alias("g")).join(want, "key", "full")
         assert same.where("g IS DISTINCT FROM r").count() == 0 and got.count() == k + 900
         assert {r["size_rank" if name == "size_rank" else "area_rank"] for r in (catalog.largest_assets(rows, 2, ["doc_id"]) if name == "size_rank" else catalog.smallest_regions(rows, 2)).collect()} == {1, 2}
+
+
+def test_boxes_inside_on_crowded_and_other_pages(spark, monkeypatch):
+    rng = random.Random(8)
+
+    def some(n, wide):
+        at = [(rng.randint(0, 1), float(rng.randint(0, 500)), float(rng.randint(0, 700)), rng.randint(1, wide)) for _ in range(n)]
+        return [(1, p, i, x, y, x + w, y + w) for i, (p, x, y, w) in enumerate(at)] + [(1, 2, n, 10.0, 10.0, 90.0, 90.0)]
+
+    boxes, regions = some(200, 30), some(30, 300)
+    schema = "doc_id long, page_no int, {} int, x0 double, y0 double, x1 double, y1 double"
+    b, r = spark.createDataFrame(boxes, schema.format("n")), spark.createDataFrame(regions, schema.format("m"))
+    want = sorted((p[2], q[2]) for p in boxes for q in regions if p[1] == q[1]
+                  and q[3] <= (p[3] + p[5]) / 2 < q[5] and q[4] <= (p[4] + p[6]) / 2 < q[6])
+    for few in (128, 5, 0):
+        monkeypatch.setattr(figures, "FEW_FIGURES", few)
+        inside = figures.boxes_inside(b, r)
+        assert sorted((x.n, x.m) for x in inside.collect()) == want
+        if few == 128:  # no region is repeated for tiles where pages hold few
+            assert "Generate" not in inside._jdf.queryExecution().optimizedPlan().toString()
