@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from llm_data import SCHEMA, prose
-from quirework.llm import shingle_join as J
+from quirework.llm import shingle_join as J, simhash_tree
 
 
 def shingles(text):
@@ -71,3 +71,15 @@ def test_odd_tables(odd, clashing, empty):
         assert J.one_of_each(frame).columns == frame.columns
         assert J.one_of_each(frame).count() == len({shingles(r["text"]) for r in frame.collect()})
     assert J.one_of_each(empty).count() == 0
+
+
+def test_operator_8_names_candidates(spark):
+    """Each set is held against the smallest of its fingerprint's component, as operator 8 finds it."""
+    base = prose(900, 3000)
+    texts = [base, base + " end", base.replace(" ", "  ", 1), prose(901, 60), "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["row"]["doc_id"]: r["component_id"] for r in simhash_tree.near_duplicates(docs).collect()}
+    prints = J._with_sets(docs, "doc_id")
+    sets = {r["id"]: r["set_id"] for r in prints.collect()}
+    assert found[0] == found[1] and sets[0] != sets[1] and sets[0] == sets[2]
+    assert [tuple(r) for r in J._within_radius(prints).collect()] == [tuple(sorted((sets[0], sets[1])))]
