@@ -116,7 +116,7 @@ def _(t: Tables):
 def _parts(t: Tables):
     found = flows.anchored_captions(t("text_line"), t("doc_page"))
     boxes = figures.graphics(t("drawing"), t("image_placement"))
-    return found, figures.graphic_components(figures.caption_candidates(found, boxes))
+    return found, figures.graphic_components(figures.caption_candidates(found, boxes), boxes=boxes)
 
 
 @query("i1_graphic_components", "SELECT doc_id, page_no, caption_no, component_no::INT AS component_no, x0, y0, x1, y1 FROM components", CANDIDATE_VIEWS, COMPONENTS)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.functions import scalars
+from quirework.functions import chunks, scalars
 from quirework.operators import catalog, figures, quality
 from quirework.plans import flows
 from quirework.schemas import TABLES
@@ -290,3 +290,35 @@ def test_boxes_inside_on_crowded_and_other_pages(spark, monkeypatch):
         assert sorted((x.n, x.m) for x in inside.collect()) == want
         if few == 128:  # no region is repeated for tiles where pages hold few
             assert "Generate" not in inside._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_boxes_and_cells_give_the_same_components(spark, monkeypatch):
+    """Few boxes are compared in pairs, many are summed by cell; half of the captions take either way."""
+    rng = random.Random(14)
+    rows = []
+    for caption in range(60):
+        for box in range(rng.randrange(1, 30)):
+            x, y = rng.randrange(0, 400) / 2, rng.randrange(0, 400) / 2
+            rows.append((1, caption % 3, caption, box % 2, box // 2, float(x), float(y), x + rng.randrange(0, 60) / 2, y + rng.randrange(0, 60) / 2))
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, caption_no long, src int, box_no long, x0 double, y0 double, x1 double, y1 double")
+    found = lambda frame: sorted(map(tuple, frame.collect()))
+    expected = found(figures._components_by_cell(df, figures.CAPTION_KEY))
+    monkeypatch.setattr(figures, "_components_by_cell", None)
+    assert found(figures.graphic_components(df)) == expected == found(figures.graphic_components(df, boxes=df))
+    monkeypatch.undo()
+    monkeypatch.setattr(figures, "FEW_BOXES", 14)
+    assert found(figures.graphic_components(df)) == expected == found(figures.graphic_components(df, boxes=df))
+
+
+def test_running_values_of_small_keys_need_no_carry(spark):
+    """Without a key above the limit the values are those of keys that are cut."""
+    rng = random.Random(11)
+    df = spark.createDataFrame([(rng.randrange(4), i, rng.choice([None, 1, 2, 5])) for i in range(200)], "k int, o long, v long")
+    wanted = dict(
+        n=chunks.count(), s=chunks.sum_upto(F.col("v")), b=chunks.sum_before(F.col("v")), m=chunks.max_upto(F.col("v")), p=chunks.last_before(F.col("v")),
+    )
+    found = [
+        sorted(map(str, chunks.scan(df, ["k"], [F.col("o")], chunks.by_width(F.col("o"), 16), only_above=limit, **wanted).collect()))
+        for limit in (None, 10, 1000)
+    ]
+    assert found[0] == found[1] == found[2]
