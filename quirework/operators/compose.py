@@ -232,19 +232,22 @@ def remap_links(page_ref: DataFrame, link: DataFrame) -> DataFrame:
     first = page_ref.groupBy("plan_id", "source", F.col("page_index").alias("target_page")).agg(
         F.min("pos").alias("mapped")
     )
-    usable = link.where("kind <> 'named'").select(
-        F.col("doc_id").alias("source"), F.col("page_no").alias("page_index"), "link_no", "kind",
-        *rects.SIDES, "target_page", *TARGET_POINT, "uri",
+    on_page = [F.col("doc_id").alias("source"), F.col("page_no").alias("page_index")]
+    refs = page_ref.select("plan_id", "source", "page_index", "pos")
+    # Targets are looked up by page, before any rectangle or address is multiplied by the uses of its page.
+    targets = link.where("kind = 'goto'").select(*on_page, "target_page").distinct()
+    reached = refs.join(targets, ["source", "page_index"]).join(first, ["plan_id", "source", "target_page"])
+    inner = reached.join(
+        link.where("kind = 'goto'").select(*on_page, "link_no", "kind", *rects.SIDES, "target_page", *TARGET_POINT, "uri"),
+        ["source", "page_index", "target_page"],
     )
-    return (
-        page_ref.join(usable, ["source", "page_index"])
-        .join(first, ["plan_id", "source", "target_page"], "left")
-        .where("kind <> 'goto' OR mapped IS NOT NULL")
-        .select(
-            "plan_id", F.col("pos").alias("output_page"), "link_no", "kind",
-            *rects.SIDES, F.when(F.col("kind") == "goto", F.col("mapped")).alias("target_page"),
-            *(F.when(F.col("kind") == "goto", F.col(c)).alias(c) for c in TARGET_POINT), "uri",
-        )
+    outer = refs.join(
+        link.where("kind NOT IN ('goto', 'named')").select(*on_page, "link_no", "kind", *rects.SIDES, "uri"), ["source", "page_index"]
+    )
+    nothing = {c: F.lit(None).cast(inner.schema[c].dataType) for c in ("mapped", *TARGET_POINT)}
+    found = inner.drop("target_page").unionByName(outer.withColumns(nothing))
+    return found.select(
+        "plan_id", F.col("pos").alias("output_page"), "link_no", "kind", *rects.SIDES, F.col("mapped").alias("target_page"), *TARGET_POINT, "uri",
     )
 
 
