@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +74,14 @@ def first_terminal(job_event: DataFrame) -> DataFrame:
     )
 
 
-def _micros(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.assign(us=rows["ts"].astype("datetime64[us]").astype("int64"))
+def _columns(rows: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray]:
+    """Columns of one key's new messages, their microseconds last; Spark hands them over in pieces.
+
+    A key has few messages at a time, so whole frames would cost more than the rule that reads them.
+    """
+    parts = [[piece[c].to_numpy() for c in (*names, "ts")] for piece in rows]
+    columns = [one[0] if len(one) == 1 else np.concatenate(one) for one in zip(*parts)]
+    return [*columns[:-1], columns[-1].astype("datetime64[us]").astype("int64")]
 
 
 class _TerminalStates(StatefulProcessor):
@@ -87,19 +94,24 @@ class _TerminalStates(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "asked boolean, last long, done boolean, timer long")
 
+    def _due(self, last: int, done: bool) -> int:
+        return last // 1000 + (self.retain_ms if done else self.timeout_ms)
+
     def _keep(self, asked: bool, last: int, done: bool, timer: int, watermark: int) -> None:
-        wanted = max(last // 1000 + (self.retain_ms if done else self.timeout_ms), watermark + 1)
-        if wanted != timer:
+        """A timer that comes early only asks for the next one, so messages leave it alone; one that is late would not do."""
+        wanted = max(self._due(last, done), watermark + 1)
+        if not timer or wanted < timer:
             if timer:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wanted)
-        self.job.update((asked, last, done, wanted))
+            timer = wanted
+        self.job.update((asked, last, done, timer))
 
     def _verdict(self, key, state: str, us: int) -> pd.DataFrame:
         return pd.DataFrame({"job_id": [key[0]], "state": [state], "ended_at": [pd.Timestamp(us, unit="us")]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked, last, done, timer = self.job.get() if self.job.exists() else (False, 0, False, 0)
+        asked, last, done, timer = self.job.get() or (False, 0, False, 0)
         verdict = None
         # What came while the job was open is taken in the order of its time.
         for kind, us in _ordered(rows):
@@ -116,10 +128,13 @@ class _TerminalStates(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         asked, last, done, _ = self.job.get()
-        if done:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self._due(last, done) > watermark:
+            self._keep(asked, last, done, 0, watermark)
+        elif done:
             self.job.clear()
         else:
-            self._keep(asked, last, True, 0, timerValues.getCurrentWatermarkInMs())
+            self._keep(asked, last, True, 0, watermark)
             yield self._verdict(key, "cancelled" if asked else "failed", last)
 
     def close(self) -> None:
@@ -127,9 +142,10 @@ class _TerminalStates(StatefulProcessor):
 
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
-    """(kind, microseconds) of one job's new messages by time and number; Spark hands them over in pieces."""
-    frame = _micros(pd.concat(list(rows), ignore_index=True)).sort_values(["us", "seq"])
-    return zip(frame["kind"], (int(us) for us in frame["us"]))
+    """(kind, microseconds) of one job's new messages by time and number."""
+    kind, seq, us = _columns(rows, ["kind", "seq"])
+    order = np.lexsort((seq, us))
+    return zip(kind[order], us[order].tolist())
 
 
 def _with_rocksdb(frame: DataFrame) -> DataFrame:
@@ -173,29 +189,37 @@ class _Newest(StatefulProcessor):
 
     def _keep(self, order: tuple, last: int, timer: int, wait: int, watermark: int) -> None:
         wanted = max(last // 1000 + wait, watermark + 1)
-        if wanted != timer:
+        # A timer that comes early only asks for the next one, so messages leave it alone; one that is late would not do.
+        if not timer or wanted < timer:
             if timer:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wanted)
-        self.mark.update((*order, last, wanted))
+            timer = wanted
+        self.mark.update((*order, last, timer))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        *held, last, timer = self.mark.get() if self.mark.exists() else (*[None] * len(self.order), 0, 0)
-        frame = _micros(pd.concat(list(rows), ignore_index=True))
-        newest = frame.sort_values(self.order).iloc[-1:]
-        order, last = tuple(int(newest[c].iloc[0]) for c in self.order), max(last, int(frame["us"].max()))
+        *held, last, timer = self.mark.get() or (*[None] * len(self.order), 0, 0)
+        pieces = list(rows)
+        *columns, us = _columns(iter(pieces), self.order)
+        at = int(np.lexsort(columns[::-1])[-1])
+        order, last = tuple(int(c[at]) for c in columns), max(last, int(us.max()))
         better = held[0] is None or order > tuple(held)
         self._keep(order if better else tuple(held), last, timer, self.retain_ms, timerValues.getCurrentWatermarkInMs())
         if better:
-            row = newest[self.fields]
-            self.row.update(tuple(v.item() if hasattr(v, "item") else v for v in row.iloc[0]))
-            yield row
+            frame = pieces[0] if len(pieces) == 1 else pd.concat(pieces, ignore_index=True)
+            # A whole row as one series would turn its numbers into one type.
+            self.row.update(tuple(v.item() if hasattr(v, "item") else v for v in (frame[c].iat[at] for c in self.fields)))
+            yield frame.iloc[at : at + 1][self.fields]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.row.exists():
-            *held, last, _ = self.mark.get()
+        *held, last, _ = self.mark.get()
+        watermark, there = timerValues.getCurrentWatermarkInMs(), self.row.exists()
+        wait = self.retain_ms if there else 2 * self.retain_ms
+        if last // 1000 + wait > watermark:
+            self._keep(tuple(held), last, 0, wait, watermark)
+        elif there:
             self.row.clear()
-            self._keep(tuple(held), last, 0, 2 * self.retain_ms, timerValues.getCurrentWatermarkInMs())
+            self._keep(tuple(held), last, 0, 2 * self.retain_ms, watermark)
         else:
             self.mark.clear()
         return iter(())

@@ -5,6 +5,7 @@ import random
 import time
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,3 +368,54 @@ def test_payload_sql_knows_the_sizes(spark, tmp_path):
     mine = sorted(tuple(r) for r in QUERIES["b21_check_payloads"](spark, str(tmp_path)).collect())
     assert mine == [(1, "size"), (2, ""), (3, "size"), (4, "format"), (5, "size")]
     assert sorted(con.execute(ORACLES["b21_check_payloads"]).fetchall()) == mine
+
+
+def test_stream_handlers_ask_for_few_state_calls(monkeypatch):
+    """A message leaves an early timer alone; that one asks for the next, and settles when it is due."""
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+            calls.append("update")
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+            calls.append("register")
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+            calls.append("delete")
+
+    class Times:
+        def __init__(self, watermark):
+            self.watermark = watermark
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+    def rows(*seconds):
+        return iter([pd.DataFrame({"kind": ["progress"], "seq": [s], "ts": [pd.Timestamp(s, unit="s")]}) for s in seconds])
+
+    states = jobs._TerminalStates(10_000, 100_000)
+    states.init(Handle())
+    for k in range(4):
+        assert not list(states.handleInputRows((1,), rows(3 * k + 1, 3 * k + 2), Times(0)))
+    assert calls == ["update", "register", "update", "update", "update"] or calls == ["register", "update", "update", "update", "update"]
+    assert Handle.timers == {12_000}
+    assert not list(states.handleExpiredTimer((1,), Times(13_000), None)) and 21_000 in Handle.timers
+    assert [tuple(f.iloc[0]) for f in states.handleExpiredTimer((1,), Times(21_000), None)] == [(1, "failed", pd.Timestamp(11, unit="s"))]
