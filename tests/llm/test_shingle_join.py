@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -83,3 +85,31 @@ def test_operator_8_names_candidates(spark):
     sets = {r["id"]: r["set_id"] for r in prints.collect()}
     assert found[0] == found[1] and sets[0] != sets[1] and sets[0] == sets[2]
     assert [tuple(r) for r in J._within_radius(prints).collect()] == [tuple(sorted((sets[0], sets[1])))]
+
+
+def test_texts_stay_where_they_are_stored(spark):
+    """Rows are found by their numbers; only numbers are shuffled."""
+    rows = edited_copies()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = J.one_of_each(docs)
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    prints = J._with_sets(docs, "doc_id").select("id", "at")
+    stored = {r["at"]: r["id"] for r in prints.collect()}
+    for some in (sorted(stored)[::7], [min(stored)], []):
+        numbers = spark.createDataFrame([(at,) for at in some], "at long")
+        assert sorted(r["id"] for r in J._rows_at(prints, numbers).collect()) == sorted(stored[at] for at in some)
+
+
+def test_members_without_a_possible_partner_leave_the_list():
+    """Of a list of unlike sets and two near ones only the two are compared again."""
+    rng = np.random.default_rng(1)
+    gram = np.sort(rng.integers(1, 1 << 62, 1200).astype(np.uint64))
+    sets = [gram[:200], gram[2:202], gram[400:600], gram[800:1000]]
+    flat, firsts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    names = pa.array([1, 2, 3, 4])
+    batch = pa.RecordBatch.from_arrays([pa.array([9] * 4), pa.array([200 << 32] * 4), names, names, J._parities(flat, firsts)], names=["gram", "spot", "node", "root", "parities"])
+    found = pa.Table.from_batches(J._candidates(True)([batch])).to_pylist()
+    assert {(r["u"], r["v"]) for r in found if r["gram"] is None} == {(1, 2)}
+    assert sorted((r["gram"], r["u"], r["spot"]) for r in found if r["gram"] is not None) == [(9, 1, 200 << 32), (9, 2, 200 << 32)]
+    alone = J._candidates(False)([batch])
+    assert [(r["gram"], r["u"], r["v"]) for one in alone for r in one.to_pylist()] == [(None, 1, 2)]
