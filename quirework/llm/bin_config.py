@@ -276,17 +276,16 @@ def pack(encoded: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     lookup = (table[:, 0] << 48) + table[:, 1]
     names = [c for c in encoded.columns if c not in ("task", "place")]
 
-    def assign(batches):
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(lookup, (length << 48) + rank, "right") - 1
-            sequence = table[at, 3] + rank - table[at, 1]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(table[at, 4])], names=[*names, "sequence_id", "offset"])
-
-    ranked = encoded.join(based.select("length", "task", "base"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("place"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema.fields)
-    return ranked.select(*names, "rank").mapInArrow(assign, f"{schema}, sequence_id long, offset long")
+    @F.arrow_udf("sequence_id long, offset long")
+    def assign(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(lookup, (length << 48) + rank, "right") - 1
+        sequence = table[at, 3] + rank - table[at, 1]
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(table[at, 4])], names=["sequence_id", "offset"])
+
+    # Only two numbers of a piece go to Python; its ids stay in Spark.
+    ranked = encoded.join(based.select("length", "task", "base"), ["length", "task"])
+    return ranked.select(*names, assign("length", F.col("base") + F.col("place")).alias("_at")).select(*names, "_at.sequence_id", "_at.offset")
 
 
 def packed(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

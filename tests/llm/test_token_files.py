@@ -125,3 +125,12 @@ def test_attribution_to_lines(odd, empty, clashing):
     assert sum(r["section"] >= 0 for r in got) == sum(len((t or "").split("\n")) for _, t in rows)
     assert T.attribute(empty).count() == 0
     assert T.attribute(clashing, ("doc_id", "length", "a.b")).select("row.*").columns == ["doc_id", "length", "a.b"]
+
+
+def test_ids_of_pieces_stay_in_spark(corpus):
+    """What Python gets of a piece when it is packed are two numbers; its ids go past."""
+    packed = B.packed(corpus)
+    assert "ids" in packed.columns
+    assert "MapInArrow" not in packed._jdf.queryExecution().executedPlan().toString()
+    for row in packed.collect():
+        assert len(row["ids"]) % row["length"] == 0 and 0 <= row["offset"] <= B.CAPACITY - row["length"]
