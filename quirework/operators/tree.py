@@ -67,15 +67,23 @@ def _with_group(nodes: DataFrame, groups: DataFrame, *columns: str) -> DataFrame
     return nodes.join(parents.dropDuplicates(["plan_id", "parent_uid"]), ["plan_id", "parent_uid"], "left")
 
 
+def _weighted_groups(plan_node: DataFrame) -> DataFrame:
+    """Groups with ``depth`` 1, the ``pages`` directly in them, and ``held``: those and themselves."""
+    own = plan_node.where("page_index IS NOT NULL").groupBy("plan_id", F.col("parent_uid").alias("uid")).agg(F.count(F.lit(1)).alias("pages"))
+    groups = plan_node.where("page_index IS NULL").join(own, NODE, "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
+    return groups.withColumn("depth", F.lit(1)).withColumn("held", F.col("pages") + 1)
+
+
 def tree_levels(plan_node: DataFrame) -> DataFrame:
     """``depth`` and ``rooted`` of every node, and ``pages``: the pages at or below it.
 
     A node is rooted if its line of parents ends at a root; the depth of others is null.
     """
-    own = plan_node.where("page_index IS NOT NULL").groupBy("plan_id", F.col("parent_uid").alias("uid")).agg(F.count(F.lit(1)).alias("pages"))
-    groups = plan_node.where("page_index IS NULL").join(own, NODE, "left")
-    groups = groups.withColumn("pages", F.coalesce("pages", F.lit(0))).withColumn("depth", F.lit(1))
-    found = _doubled(groups, ("depth",), ("pages",))
+    return _levels(plan_node, _doubled(_weighted_groups(plan_node), ("depth",), ("pages",)))
+
+
+def _levels(plan_node: DataFrame, found: DataFrame) -> DataFrame:
+    """``tree_levels`` from the sums of depths and pages over the groups."""
     below = found.select("plan_id", F.col("uid").alias("_uid"), F.col("pages").alias("_pages")).dropDuplicates(["plan_id", "_uid"])
     # Pages have no entry of their own there.
     key = F.when(F.col("page_index").isNull(), F.col("uid"))
@@ -162,7 +170,12 @@ def validate_tree(
 
 def top_selected(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     """Selected nodes without a selected ancestor; the root never counts."""
-    return _tops(tree_levels(plan_node), plan_node, _chosen(plan_node, selection)).select("plan_id", "uid", "parent_uid", "ord", "depth")
+    return _top_selected(plan_node, _chosen(plan_node, selection)).select("plan_id", "uid", "parent_uid", "ord", "depth")
+
+
+def _top_selected(plan_node: DataFrame, chosen: DataFrame) -> DataFrame:
+    found = _doubled(_marked(_weighted_groups(plan_node), chosen), ("depth", "marks"), ("pages",))
+    return _tops(_levels(plan_node, found), found, chosen)
 
 
 def _chosen(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
@@ -170,15 +183,18 @@ def _chosen(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     return selection.select(*NODE).distinct().join(roots, NODE, "left_anti")
 
 
+def _marked(groups: DataFrame, chosen: DataFrame) -> DataFrame:
+    return groups.join(chosen.withColumn("marks", F.lit(1)), NODE, "left").withColumn("marks", F.coalesce("marks", F.lit(0)))
+
+
 def _marks_above(plan_node: DataFrame, chosen: DataFrame) -> DataFrame:
     """(plan_id, uid, marks) of every group: 0 if neither it nor an ancestor is chosen."""
-    marked = plan_node.where("page_index IS NULL").join(chosen.withColumn("marks", F.lit(1)), NODE, "left")
-    return _doubled(marked.withColumn("marks", F.coalesce("marks", F.lit(0))), ("marks",))
+    return _doubled(_marked(plan_node.where("page_index IS NULL"), chosen), ("marks",))
 
 
-def _tops(levels: DataFrame, plan_node: DataFrame, chosen: DataFrame) -> DataFrame:
+def _tops(levels: DataFrame, marks: DataFrame, chosen: DataFrame) -> DataFrame:
     picked = levels.where("rooted").join(chosen, NODE, "left_semi")
-    return _with_group(picked, _marks_above(plan_node, chosen), "marks").where("coalesce(_marks, 0) = 0").drop("_marks")
+    return _with_group(picked, marks, "marks").where("coalesce(_marks, 0) = 0").drop("_marks")
 
 
 def remove_subtrees(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
@@ -188,13 +204,6 @@ def remove_subtrees(plan_node: DataFrame, selection: DataFrame) -> DataFrame:
     return below.select(*plan_node.columns).join(chosen, NODE, "left_anti")
 
 
-def _weighted_groups(plan_node: DataFrame) -> DataFrame:
-    """Groups with ``held``: themselves and the pages directly in them."""
-    pages = plan_node.where("page_index IS NOT NULL").groupBy("plan_id", F.col("parent_uid").alias("uid")).agg(F.count(F.lit(1)).alias("_n"))
-    groups = plan_node.where("page_index IS NULL").join(pages, NODE, "left")
-    return groups.withColumn("held", F.coalesce("_n", F.lit(0)) + 1)
-
-
 def move_subtrees(plan_node: DataFrame, moves: DataFrame, selection: DataFrame) -> DataFrame:
     """Move the selected subtrees below ``parent_uid`` at ``index``, one move per plan.
 
@@ -203,11 +212,13 @@ def move_subtrees(plan_node: DataFrame, moves: DataFrame, selection: DataFrame)
     The index is clamped and counts only the siblings that stay; children of the target
     are renumbered from 0.
     """
-    levels = tree_levels(plan_node).checkpoint()
     chosen = _chosen(plan_node, selection).checkpoint()
-    top = _tops(levels, plan_node, chosen).select(*NODE).checkpoint()
+    # Depths, marks, pages and weights are summed in the same rounds.
+    found = _doubled(_marked(_weighted_groups(plan_node), chosen), ("depth", "marks"), ("pages", "held"))
+    levels = _levels(plan_node, found).checkpoint()
+    top = _tops(levels, found, chosen).select(*NODE).checkpoint()
     # All nodes weigh one; what a group weighs is all that it holds.
-    held = _doubled(_weighted_groups(plan_node), (), ("held",)).dropDuplicates(NODE).select("plan_id", F.col("uid").alias("_uid"), "held")
+    held = found.dropDuplicates(NODE).select("plan_id", F.col("uid").alias("_uid"), "held")
     group_uid = F.when(F.col("page_index").isNull(), F.col("uid")).otherwise(F.concat(F.lit("\u0000"), F.col("uid")))
     weighed = levels.withColumn("_uid", group_uid).join(held, ["plan_id", "_uid"], "left").drop("_uid")
     ordered_top = _with_preorder(weighed, F.coalesce("held", F.lit(1)), F.lit(True), "_pre").join(top, NODE, "left_semi").select(*NODE, "_pre")
