@@ -6,12 +6,14 @@ dynamic programming finds the dearest configuration, and the prices of the lengt
 fall. The plan is rounded down to whole sequences, and the few pieces left over are packed best-fit or by
 exact subset sums, whichever takes fewer.
 The plan is made from the histogram of lengths alone, whose size is the capacity. Spark counts that
-histogram, ranks the pieces of each length, and joins the ranks with the plan.
+histogram and, for each length, the pieces of the tasks before each task. Those counts lie in files that
+the tasks map, so a piece gets its rank and its place in the plan where it stands, and is not shuffled.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quirework.llm import pieces, words as W
 from quirework.llm.carry import name
 from quirework.llm.registry import query, read
+from quirework.llm.shared_files import map_file, write_whole
 from quirework.session import fresh_dir
 
 CAPACITY = 1024
@@ -27,6 +30,9 @@ END = 2
 ROUNDS = 90
 # Share of a sequence that may stay empty when a length of its configuration has run out.
 WASTE = 0.05
+# Bytes of text that a worker encodes at a time, and tasks whose counts share a file.
+BLOCK = 1 << 20
+GROUP = 256
 # Pieces that may be left over for the last fit, and turns until then at most.
 FEW = 20_000
 TURNS = 16
@@ -48,8 +54,8 @@ def encode_pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY
 
         encoder = pieces.byte_bpe(path)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for low, high, data, bounds in W.blocks(batch.column(1)):
+        for batch in W.released(batches):
+            for low, high, data, bounds in W.blocks(batch.column(1), BLOCK):
                 ids, firsts = encoder.encode(data, bounds)
                 ids = np.insert(ids, firsts[1:], encoder.dtype(end))
                 firsts = firsts + np.arange(len(firsts))
@@ -258,6 +264,32 @@ def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple], int,
     return rows, sequences, bound
 
 
+def _store_bases(based: DataFrame) -> str:
+    """A folder of files, one for each ``GROUP`` tasks: sorted keys ``task << 32 | length``, then for each the pieces of that length in earlier tasks."""
+    folder = fresh_dir(based.sparkSession, "bases")
+
+    def store(rows: pa.Table) -> pa.Table:
+        # At most as many rows as lengths in the tasks of a group.
+        part, key, base = (c.to_numpy() for c in rows.columns)
+        order = np.argsort(key)
+        whole = np.concatenate([key[order], base[order]]).astype("<i8").tobytes()
+        write_whole(f"{folder}/{part[0]}", lambda sink: sink.write(whole))
+        return rows.select(["part"]).slice(0, 1)
+
+    task = F.col("task").cast("long")
+    rows = based.select(F.floor(task / GROUP).alias("part"), F.shiftleft(task, 32).bitwiseOR(F.col("length")).alias("key"), "base")
+    rows.groupBy("part").applyInArrow(store, "part long").count()
+    return folder
+
+
+@lru_cache(maxsize=16)
+def _bases(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of a file of ``_store_bases``, and their bases; mapped where that can be."""
+    source = map_file(uri)
+    rows = np.frombuffer(source.read_buffer(source.size()), "<i8")
+    return rows[: len(rows) // 2], rows[len(rows) // 2 :]
+
+
 def pack(encoded: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``encode_pieces`` with ``sequence_id`` and ``offset`` instead of task and place.
 
@@ -275,17 +307,22 @@ def pack(encoded: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
     lookup = (table[:, 0] << 48) + table[:, 1]
     names = [c for c in encoded.columns if c not in ("task", "place")]
+    folder = _store_bases(based)
 
     @F.arrow_udf("sequence_id long, offset long")
-    def assign(length: pa.Array, rank: pa.Array) -> pa.Array:
-        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+    def assign(length: pa.Array, task: pa.Array, place: pa.Array) -> pa.Array:
+        length, task, place = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, task, place))
+        rank = np.empty(len(length), np.int64)
+        for group in np.unique(task // GROUP).tolist():
+            mine = np.flatnonzero(task // GROUP == group)
+            keys, bases = _bases(f"{folder}/{group}")
+            rank[mine] = bases[np.searchsorted(keys, task[mine] << 32 | length[mine])] + place[mine]
         at = np.searchsorted(lookup, (length << 48) + rank, "right") - 1
         sequence = table[at, 3] + rank - table[at, 1]
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(table[at, 4])], names=["sequence_id", "offset"])
 
-    # Only two numbers of a piece go to Python; its ids stay in Spark.
-    ranked = encoded.join(based.select("length", "task", "base"), ["length", "task"])
-    return ranked.select(*names, assign("length", F.col("base") + F.col("place")).alias("_at")).select(*names, "_at.sequence_id", "_at.offset")
+    # Only three numbers of a piece go to Python; its ids stay in Spark, in the task that reads them.
+    return encoded.select(*names, assign("length", "task", "place").alias("_at")).select(*names, "_at.sequence_id", "_at.offset")
 
 
 def packed(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

@@ -1,8 +1,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from quirework.llm import arrow_tokens as A, bin_config as B, pieces, token_spans as T
+from quirework.llm import arrow_tokens as A, bin_config as B, pieces, token_spans as T, words as W
 from quirework.session import fresh_dir
 
 
@@ -134,3 +135,27 @@ def test_ids_of_pieces_stay_in_spark(corpus):
     assert "MapInArrow" not in packed._jdf.queryExecution().executedPlan().toString()
     for row in packed.collect():
         assert len(row["ids"]) % row["length"] == 0 and 0 <= row["offset"] <= B.CAPACITY - row["length"]
+
+
+def test_pieces_are_packed_where_they_stand(corpus, monkeypatch):
+    """No piece is shuffled for its place, whatever files hold the counts of the tasks."""
+    want = sorted((r["doc_key"], r["piece"], r["sequence_id"], r["offset"]) for r in B.packed(corpus, with_ids=False).collect())
+    monkeypatch.setattr(B, "GROUP", 2)
+    packed = B.packed(corpus)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    got = packed.collect()
+    assert sorted((r["doc_key"], r["piece"], r["sequence_id"], r["offset"]) for r in got) == want
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(end == start for p in places.values() for (a, n), (start, _) in zip(sorted(p), sorted(p)[1:]) for end in [a + n])
+
+
+def test_freed_memory_goes_back(monkeypatch):
+    """Batches come through whole and in order; what they leave is given back before the next."""
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    W.release()
+    freed = []
+    monkeypatch.setattr(W, "release", lambda: freed.append(1))
+    assert [b["x"][0].as_py() for b in W.released(iter(batches))] == [0, 1, 2]
+    assert len(freed) == 4
