@@ -155,7 +155,8 @@ def validate_tasks(tasks: DataFrame) -> DataFrame:
 
 def check_payloads(binary_files: DataFrame) -> DataFrame:
     """Encoded images must have a sane length and the right first and last bytes; none at all has no length."""
-    head, tail = F.hex(F.substring("content", 1, 2)), F.hex(F.expr("right(content, 2)"))
+    # right() would count characters: in FFD8FFD9 it takes the second and third byte for one.
+    head, tail = F.hex(F.substring("content", 1, 2)), F.hex(F.substring("content", -2, 2))
     reason = (
         F.when(F.col("content").isNull() | ~F.col("length").between(MIN_PAYLOAD, MAX_PAYLOAD), "size")
         .when((head != JPEG_START) | (tail != JPEG_END), "format")

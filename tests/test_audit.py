@@ -370,6 +370,18 @@ def test_payload_sql_knows_the_sizes(spark, tmp_path):
     assert sorted(con.execute(ORACLES["b21_check_payloads"]).fetchall()) == mine
 
 
+def test_payload_of_marks_alone_is_sound(spark, tmp_path):
+    """An empty marked text is four bytes, which are no characters."""
+    texts = ["", "a", "é", "日本", "a\0b", None]
+    rows = [(k, text, lang) for k, (text, lang) in enumerate((t, m) for t in texts for m in ("en", "fr"))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    mine = sorted(tuple(r) for r in QUERIES["b21_check_payloads"](spark, str(tmp_path)).collect())
+    assert mine[:4] == [(0, ""), (1, "size"), (2, ""), (3, "size")]
+    assert sorted(con.execute(ORACLES["b21_check_payloads"]).fetchall()) == mine
+
+
 def test_stream_handlers_ask_for_few_state_calls(monkeypatch):
     """A message leaves an early timer alone; that one asks for the next, and settles when it is due."""
     calls = []
